@@ -86,7 +86,7 @@ def heavy_keys(records: DataFrame, commits: DataFrame, record_share: float = 0.0
     keys = record_keys(records).select("topic", "rec_key", "n_rows")
     keyless = records.where("rec_key is null").select("topic", "partition_id", "log_offset").distinct()
     all_records = keys.select("n_rows").unionByName(keyless.agg(F.count(F.lit(1)).alias("n_rows"))).agg(F.sum("n_rows").alias("all_rows"))
-    by_record = keys.crossJoin(F.broadcast(all_records)).where(F.col("n_rows") >= F.col("all_rows") * record_share)  # one row
+    by_record = keys.where(F.col("n_rows") >= all_records.scalar() * record_share)
 
     lanes = commits.select("group_id", "topic", "partition_id", "seq", F.lit(1).alias("one"))
     spots = per_key(lanes, ["group_id", "topic", "partition_id"], [], "seq", "one").select("group_id", "topic", "partition_id", "n_rows")
