@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.common import table
-from tidelog.llm import pack, ribbon, tokenize
+from tidelog.llm import mojibake, pack, ribbon, tokenize
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -28,7 +28,15 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack_report(p8_packs(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p7_ids, p8_packs, p8_report)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled(table(spark, d, "documents"))
+
+
+def p9_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.repaired(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p7_ids, p8_packs, p8_report, p9_found, p9_repaired)}
 
 _DIGEST = """(SELECT CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END::BIGINT FROM (SELECT list_reduce(
   list_prepend({start}::HUGEINT, list_transform(range(octet_length(rec_key)), lambda i: ('0x' || substr(hex(rec_key), 2 * i + 1, 2))::HUGEINT)),
