@@ -92,3 +92,40 @@ def chunked_running_max(df: DataFrame, group: list[str], order: str, value: str,
         .withColumn(out, F.greatest("__inside", "__carry"))
         .drop("__inside", "__carry", "__chunk")
     )
+
+
+def chunked_running_sum(df: DataFrame, group: list[str], order: str, value: str, out: str, chunk: int = CHUNK_OFFSETS) -> DataFrame:
+    """Sum of ``value`` over the rows of the same ``group`` with a smaller ``order`` (0 at the first), taken in chunks like the running maximum."""
+    from pyspark.sql import Window as W
+
+    cut = df.withColumn("__chunk", F.floor(F.col(order) / chunk))
+    keys = [*group, "__chunk"]
+    inside = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    carried = W.partitionBy(*group).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+    heads = cut.groupBy(*keys).agg(F.sum(value).alias("__sum")).withColumn("__carry", F.coalesce(F.sum("__sum").over(carried), F.lit(0))).drop("__sum")
+    return (
+        cut.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .join(heads, keys)
+        .withColumn(out, F.col("__inside") + F.col("__carry"))
+        .drop("__inside", "__carry", "__chunk")
+    )
+
+
+def asof(points: DataFrame, at: str, rows: DataFrame, order: str, by: list[str], payload: list[str], chunk: int = CHUNK_OFFSETS) -> DataFrame:
+    """Each point with the ``payload`` of the row of the same ``by`` that has the greatest ``order`` <= ``at``; null where there is none.
+
+    One union and sort, without a range join; groups are cut into chunks of ``order`` and the last row of each is carried forward.
+    """
+    from pyspark.sql import Window as W
+
+    row_type = rows.select(F.struct(F.col(order).cast("bigint").alias("o"), *payload)).schema[0].dataType
+    point_type = points.select(F.struct(*points.columns)).schema[0].dataType
+    left = points.select(*by, F.col(at).cast("bigint").alias("__o"), F.lit(None).cast(row_type).alias("__row"), F.struct(*points.columns).alias("__point"))
+    right = rows.select(*by, F.col(order).cast("bigint").alias("__o"), F.struct(F.col(order).cast("bigint").alias("o"), *payload).alias("__row"), F.lit(None).cast(point_type).alias("__point"))
+    both = left.unionByName(right).withColumn("__chunk", F.floor(F.col("__o") / chunk))
+    keys = [*by, "__chunk"]
+    inside = W.partitionBy(*keys).orderBy("__o").rangeBetween(W.unboundedPreceding, W.currentRow)
+    carried = W.partitionBy(*by).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+    heads = both.groupBy(*keys).agg(F.max("__row").alias("__last")).withColumn("__carry", F.max("__last").over(carried)).drop("__last")
+    found = both.withColumn("__found", F.max("__row").over(inside)).join(heads, keys, "left").where("__point is not null")
+    return found.withColumn("__found", F.coalesce("__found", "__carry")).select("__point.*", *[F.col(f"__found.{c}").alias(c) for c in payload])

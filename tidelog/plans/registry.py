@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidelog.plans import pipeline
+from tidelog.plans import pipeline, reference
 
-QUERIES = {**pipeline.QUERIES}
-SQL = {**pipeline.SQL}
+QUERIES = {**reference.QUERIES, **pipeline.QUERIES}
+SQL = {**reference.SQL, **pipeline.SQL}
