@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.common import shared_dir, table
@@ -15,7 +15,11 @@ NOW_MS = 1_743_292_800_000
 MAX_BYTES = 4_096
 DEFAULTS = {"retention_ms": 604_800_000, "max_segment_bytes": 1_073_741_824}
 TP, GTP = log.TP, offsets.GTP
-PARTITION = F.pmod(F.col("user_id"), F.lit(4)).cast("int")
+
+
+def _partition() -> Column:
+    return F.pmod(F.col("user_id"), F.lit(4)).cast("int")
+
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -68,7 +72,7 @@ EVENT_LOG = """elog AS (SELECT *, (user_id % 4)::INT AS partition_id,
 
 def _event_log(spark: SparkSession, d: str, columns: tuple[str, ...] = ("user_id", "event_type", "value", "props")) -> DataFrame:
     e = table(spark, d, "events").select("event_id", "ts", *columns)
-    return log.append(e, PARTITION, ["ts", "event_id"], F.date_trunc("hour", "ts"))
+    return log.append(e, _partition(), ["ts", "event_id"], F.date_trunc("hour", "ts"))
 
 
 @query(f"WITH {EVENT_LOG} SELECT event_id, partition_id, log_offset FROM elog")
@@ -80,8 +84,8 @@ def append_offsets(spark, d):
 def append_carry_over(spark, d):
     e = table(spark, d, "events").select("event_id", "ts", "user_id")
     old, new = e.where("ts < timestamp_ntz'2024-01-15'"), e.where("ts >= timestamp_ntz'2024-01-15'")
-    ends = old.groupBy(PARTITION.alias("partition_id")).agg(F.count(F.lit(1)).alias("log_end"))
-    return log.append(new, PARTITION, ["ts", "event_id"], F.date_trunc("hour", "ts"), ends).select("event_id", "partition_id", "log_offset")
+    ends = old.groupBy(_partition().alias("partition_id")).agg(F.count(F.lit(1)).alias("log_end"))
+    return log.append(new, _partition(), ["ts", "event_id"], F.date_trunc("hour", "ts"), ends).select("event_id", "partition_id", "log_offset")
 
 
 @query(f"""WITH {REC}, st AS (SELECT topic, partition_id, min(next_offset) AS fetch_offset FROM commits WHERE next_offset >= 0 GROUP BY ALL)
@@ -430,12 +434,12 @@ def recover_prefix(spark, d):
 _LIMITED = f"""lim AS (SELECT s.*, m.retention_ms, m.retention_bytes FROM segments s JOIN (SELECT DISTINCT topic, retention_ms, LEAST(coalesce(retention_bytes, 40000), 40000) AS retention_bytes, cleanup FROM topic_meta) m USING (topic) WHERE m.cleanup = 0),
 aged AS (SELECT *, NOT bool_or(NOT sealed OR NOT (next_offset = base_offset OR coalesce(max_ts_ms >= 0 AND {NOW_MS} - max_ts_ms >= retention_ms, false))) OVER (
   PARTITION BY topic, partition_id ORDER BY base_offset) AS expired FROM lim)"""
-_LIMIT_BYTES = F.least(F.coalesce("retention_bytes", F.lit(40_000)), F.lit(40_000))
 
 
 def _meta(spark: SparkSession, d: str) -> DataFrame:
     """The topics with a byte limit that these small logs reach."""
-    return table(spark, d, "topic_meta").withColumn("retention_bytes", _LIMIT_BYTES)
+    limit = F.least(F.coalesce("retention_bytes", F.lit(40_000)), F.lit(40_000))
+    return table(spark, d, "topic_meta").withColumn("retention_bytes", limit)
 
 
 @query(f"WITH {_LIMITED} SELECT topic, partition_id, base_offset, expired FROM aged")
@@ -688,7 +692,7 @@ def group_replay(spark, d):
 @query(SQL["append_offsets"])
 def stream_offsets(spark, d):
     """Offsets given out by a stream; equal to those of one append."""
-    e = live.read_table(spark, d, "events").withColumn("partition_id", PARTITION)
+    e = live.read_table(spark, d, "events").withColumn("partition_id", _partition())
     out = live.run_to_end(live.give_offsets(e, "event_id"), shared_dir(spark, "stream-offsets"))
     return out.select("event_id", "partition_id", "log_offset")
 

@@ -1,6 +1,6 @@
 """Reading a directory of segments: ``<topic>-<partition>/<20 digits>.log``, each a run of record batches.
 
-``spark.dataSource.register(SegmentSource)``, then ``spark.read.format("segments").load(directory)``. One input partition per segment
+``register(spark)``, then ``spark.read.format("segments").load(directory)``. One input partition per segment
 file, found by listing; directories and files under other names are passed over, those ending in ``.delete`` among them. A file
 is read to its first torn or corrupt batch. Selecting no record columns still reads headers only through ``headers_only``.
 """
@@ -11,9 +11,11 @@ import re
 from collections.abc import Iterator
 from pathlib import Path
 
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from tidelog.common import ship
 from tidelog.functions.codec import DECODED, HEADER, decode_batch, walk
 
 _DIRECTORY, _FILE = re.compile(r"([A-Za-z0-9._-]+)-(0|[1-9][0-9]*)"), re.compile(r"([0-9]{20})\.log")
@@ -59,13 +61,19 @@ class SegmentSource(DataSource):
     def _headers_only(self) -> bool:
         return str(self.options.get("headers_only", "false")).lower() == "true"
 
-    def schema(self) -> StructType:
-        return StructType.fromDDL(HEADERS if self._headers_only() else DECODED)
+    def schema(self) -> str:
+        return HEADERS if self._headers_only() else DECODED
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return SegmentReader(self.options["path"].removeprefix("file://"), self._headers_only())
 
 
+def register(spark: SparkSession) -> None:
+    """Make the format ``segments`` known to a session and its executors."""
+    ship(spark)
+    spark.dataSource.register(SegmentSource)
+
+
 def write_segments(encoded, root: str) -> None:
     """Write encoded batches (see ``encode_batches``) of a small log as segment files, in order; for fixtures and exchange."""
     rows = sorted(encoded.collect(), key=lambda r: (r["topic"], r["partition_id"], r["segment_base"], r["base_offset"]))
