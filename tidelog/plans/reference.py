@@ -674,10 +674,10 @@ def group_events_of(stream: DataFrame) -> DataFrame:
     """A history of joins, syncs, heartbeats and departures made of commits, a table or a stream: what a member does follows from ``seq``."""
     seq = F.col("seq")
     op = F.when(seq % 11 == 0, "leave").when(seq % 3 == 0, "heartbeat").when(seq % 3 == 1, "sync").otherwise("join")
-    known = F.when(seq % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("c-"), (seq % 5).cast("string")))
+    known = F.when(seq % 6 == 2, F.lit("")).otherwise(F.concat(F.lit("c-"), (seq % 4).cast("string")))
     return stream.dropDuplicates(["seq"]).select(
-        "seq", "group_id", op.alias("op"), known.alias("member_id"), F.lit("c").alias("client_id"), (seq % 50).cast("int").alias("generation"), F.array("topic").alias("topics"),
-        F.array(F.lit("range")).alias("protocols"), F.lit(86_400_000).alias("timeout_ms"), F.col("commit_ts_ms").alias("ts_ms"),
+        "seq", "group_id", op.alias("op"), known.alias("member_id"), F.lit("c").alias("client_id"), (seq % 5).cast("int").alias("generation"), F.array("topic").alias("topics"),
+        F.array(F.lit("range")).alias("protocols"), F.lit(2_000_000_000).alias("timeout_ms"), F.col("commit_ts_ms").alias("ts_ms"),
     )
 
 
