@@ -13,7 +13,7 @@ answers may then be verified against the digests kept elsewhere.
 Scale: keys are combined before every shuffle, so a hot key is one row per task and generation; shards follow from the number of keys; filters meet
 keys by shard, so neither is broadcast, and a shard holds about ``SHARD_KEYS`` keys over all generations. Filters are written to the shared folder.
 
-Nulls and odd input: a null key is no key and never seen, an empty key is one; digests are always taken from the key itself, as those in
+Nulls and odd input: a null key is no key and never seen, an empty key is one; a record without partition or offset isn't in the log; digests are always taken from the key itself, as those in
 the records may be absent; rows written twice are one record; empty tables give empty filters and an empty result.
 """
 
@@ -170,7 +170,7 @@ def _probe_shard(key: tuple, arrivals: pd.DataFrame, filters: pd.DataFrame) -> p
 
 def arrivals_of(records: DataFrame, topic: str, generations: int = GENERATIONS) -> tuple[DataFrame, DataFrame]:
     """The keyed records of ``topic`` with their generation, and one row per generation and key: first offset and count."""
-    keyed = records.where((F.col("topic") == topic) & F.col("rec_key").isNotNull()).select("topic", "partition_id", "log_offset", "rec_key")
+    keyed = records.where(F.col("topic") == topic).select("topic", "partition_id", "log_offset", "rec_key").dropna()
     bounds = keyed.groupBy("topic", "partition_id").agg(F.min("log_offset").alias("lo"), F.max("log_offset").alias("hi"))
     share = (F.col("log_offset") - F.col("lo")) * generations / (F.col("hi") - F.col("lo") + 1)
     cut = keyed.join(bounds, ["topic", "partition_id"]).withColumn("gen", F.floor(share).cast("int")).drop("lo", "hi")
