@@ -79,6 +79,7 @@ def crc32c_column(value: Column) -> Column:
     return checksum(value)
 
 
+@lru_cache(16_384)
 def zigzag(n: int) -> bytes:
     """Variable-length zigzag form of a signed integer of up to 64 bits."""
     z, out = (n << 1) ^ (n >> 63), bytearray()
@@ -172,6 +173,9 @@ def decode_batch(batch: bytes) -> tuple[dict, list[tuple]]:
 
     def number(most: int) -> int:
         nonlocal at
+        if at < len(batch) and (b := batch[at]) < 0x80:  # mostly one byte
+            at += 1
+            return (b >> 1) ^ -(b & 1)
         n, at = read_zigzag(batch, at, most)
         return n
 

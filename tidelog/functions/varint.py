@@ -9,12 +9,9 @@ from pyspark.sql import functions as F
 def varint_size(value: Column) -> Column:
     """Bytes of the zigzag variable-length form of an integer column: seven bits a byte, at most ten."""
     v = value.cast("bigint")
-    # zigzag takes one more bit than the magnitude; comparing magnitudes avoids unsigned arithmetic
-    magnitude = F.when(v < 0, -(v + 1)).otherwise(v)
-    size = F.lit(10)
-    for n in range(9, 0, -1):
-        size = F.when(magnitude < F.lit(1 << (7 * n - 1)), n).otherwise(size)
-    return F.when(v.isNull(), F.lit(None)).otherwise(size).cast("int")
+    # zigzag takes one more bit than the magnitude, which is the value with the bits of a negative one turned over
+    bits = F.length(F.bin(v.bitwiseXOR(F.shiftright(v, 63))))
+    return F.floor((bits + 7) / 7).cast("int")
 
 
 def bytes_size(value: Column) -> Column:
