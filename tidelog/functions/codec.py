@@ -14,6 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
@@ -40,6 +41,8 @@ def crc_table() -> np.ndarray:
 
 def crc32c_many(blobs: list[bytes]) -> np.ndarray:
     """Checksums of many byte strings, all advancing by one byte at a time."""
+    if len(blobs) < 16:  # too few to share the steps
+        return np.array([crc32c(b) for b in blobs], np.uint32)
     table, sizes = crc_table(), np.array([len(b) for b in blobs], np.int64)
     data, starts = np.frombuffer(b"".join(blobs), np.uint8), np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(blobs) else np.zeros(0, np.int64)
     crc, order = np.full(len(blobs), 0xFFFFFFFF, np.uint32), np.argsort(-sizes, kind="stable")
@@ -237,7 +240,9 @@ def encode_batches(records: DataFrame, batches: DataFrame) -> DataFrame:
     ship(records.sparkSession)
     held = F.sort_array(F.collect_list(F.struct("offset_delta", "timestamp_delta", "rec_key", "rec_value", "headers"))).alias("rows")
     key = ["topic", "partition_id", "base_offset"]
-    grouped = records.withColumnRenamed("batch_base", "base_offset").groupBy(*key).agg(held)
+    # one shuffle by batch, in as many partitions as the session says: encoding takes longer per byte than the sizes of partitions suggest
+    placed = records.withColumnRenamed("batch_base", "base_offset").repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+    grouped = placed.groupBy(*key).agg(held)
     joined = batches.join(grouped, key).select(*_ROW)
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,16 +266,29 @@ def decode_segments(segments: DataFrame) -> DataFrame:
     """Records of segment bytes (topic, partition_id, segment_base, content), up to the first batch that is torn or corrupt."""
     ship(segments.sparkSession)
 
-    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tidelog.functions import codec as c
 
         for part in parts:
-            out = []
-            for topic, partition, segment, content in zip(part["topic"], part["partition_id"], part["segment_base"], part["content"], strict=True):
-                for at, batch in c.walk(bytes(content)):
+            places: list[tuple] = []
+            rows: list[tuple] = []
+            for topic, partition, segment, content in zip(*(col.to_pylist() for col in part.columns), strict=True):
+                for at, batch in c.walk(content or b""):
                     head, records = c.decode_batch(batch)
-                    base = head["base_offset"]
-                    out += [(topic, partition, segment, base, base + d, d, t, head["first_timestamp"], k, v, [{"hkey": a, "hvalue": b} for a, b in h], at) for d, t, k, v, h in records]
-            yield pd.DataFrame(out, columns=c.DECODED_COLUMNS)
-
-    return segments.select("topic", "partition_id", "segment_base", "content").mapInPandas(decode, DECODED)
+                    place = (topic, partition, segment, head["base_offset"], head["first_timestamp"], at)
+                    places += [place] * len(records)
+                    rows += records
+            topic, partition, segment, base, first, at = zip(*places, strict=True) if places else ((),) * 6
+            delta, time, key, value, headers = zip(*rows, strict=True) if rows else ((),) * 5
+            base, delta = pa.array(base, pa.int64()), pa.array(delta, pa.int32())
+            header = pa.list_(pa.struct([("hkey", pa.binary()), ("hvalue", pa.binary())]))
+            named = [[{"hkey": a, "hvalue": b} for a, b in h] if h else () for h in headers]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(topic, pa.string()), pa.array(partition, pa.int32()), pa.array(segment, pa.int64()), base, pc.add(base, delta.cast(pa.int64())), delta,
+                    pa.array(time, pa.int64()), pa.array(first, pa.int64()), pa.array(key, pa.binary()), pa.array(value, pa.binary()), pa.array(named, header), pa.array(at, pa.int64()),
+                ],
+                names=c.DECODED_COLUMNS,
+            )
+
+    return segments.select("topic", "partition_id", "segment_base", "content").mapInArrow(decode, DECODED)
