@@ -62,6 +62,12 @@ def materialize(df: DataFrame, purpose: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for work that takes long per row; a table of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *by)
+
+
 def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:
     """Shuffle partitions holding about ``rows_each`` rows, at least the session's own number."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
