@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.common import table
+from tidelog.common import materialize, table
 from tidelog.operators import chunking, dedup, kslack, ledger, lsm
 
 
@@ -43,7 +43,7 @@ def _feed(spark: SparkSession, d: str) -> DataFrame:
     key = ["topic", "partition_id", "log_offset"]
     twice = dedup.copies(records, table(spark, d, "batches"))
     keyed = records.where("rec_key is not null").select(*key, "rec_key", "rec_value")
-    return keyed.join(twice, key, "left_anti").withColumnRenamed("log_offset", "seq")
+    return materialize(keyed.join(twice, key, "left_anti").withColumnRenamed("log_offset", "seq"), "feed")  # read once per run
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
