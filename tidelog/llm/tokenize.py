@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.common import ship
+from tidelog.common import ship, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # fixed: published with the vocabulary
@@ -213,12 +213,12 @@ def _lists(path: str, pattern: str, only_counts: bool):
 def encode(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """``id_column`` and ``ids`` of every row."""
     ship(df.sparkSession)
-    rows = df.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
+    rows = spread(df.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text")))
     return rows.mapInArrow(_lists(path, pattern, False), "id bigint, ids array<int>").withColumnRenamed("id", id_column)
 
 
 def count_tokens(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """``id_column`` and ``n_tokens`` of every row."""
     ship(df.sparkSession)
-    rows = df.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
+    rows = spread(df.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text")))
     return rows.mapInArrow(_lists(path, pattern, True), "id bigint, n int").toDF(id_column, "n_tokens")
