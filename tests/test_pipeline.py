@@ -191,6 +191,38 @@ def test_leases_expire_and_stale_tokens_are_refused(spark):
     assert again.load().where("state = 'done'").count() == 3
 
 
+def test_a_crash_at_any_step_neither_skips_nor_repeats(spark):
+    log = spark.range(40).select(F.lit("t").alias("topic"), F.lit(0).alias("partition_id"), F.col("id").alias("log_offset"))
+    commits = spark.createDataFrame([(1, "g", "t", 0, 5)], COM)
+    want = list(range(5, 40))
+
+    def reopened(book):
+        again = ledger.Ledger(spark, book.base)
+        again.version = book.version
+        return again
+
+    offsets = lambda book: sorted(r["log_offset"] for r in book.results().collect())
+    book = ledger.Ledger(spark)
+    book.save(ledger.plan_items(commits, log))
+    held = book.take("one", 0, 100)
+    book.process(held, log)  # ... and the worker dies before it can say so
+    book = reopened(book)
+    assert offsets(book) == []
+    held = book.take("one", 50, 100)  # it comes back in time and goes on with its lease
+    book.process(held, log)
+    book.process(held, log)
+    stale = book.take("one", 60, 100)
+    book = reopened(book)
+    other = book.take("two", 200, 100)  # too late this time: another has the items now
+    book.process(other, log)
+    book.finish(stale, 210)  # refused
+    assert offsets(book) == []
+    book.finish(other, 220)
+    assert offsets(book) == want
+    assert book.take("three", 10_000, 100).count() == 0
+    assert sorted(r["log_offset"] for r in book.run(log, "four", 10**6).collect()) == want
+
+
 def test_a_run_gives_each_record_once(spark):
     log = spark.range(40).select(F.lit("t").alias("topic"), F.lit(0).alias("partition_id"), F.col("id").alias("log_offset"))
     book = ledger.Ledger(spark)

@@ -48,7 +48,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         base = "file:///tmp/tidelog-shared"
     return f"{base.rstrip('/')}/tidelog/{purpose}-{uuid.uuid4().hex}"

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tidelog.common import HOT_KEYS, materialize, shared_dir, ship
 
 PREFIX_IDS = 1 << 18
-MAX_RUNS = 4
+MAX_RUNS = 2
 SLICES = 3
 NAME = ["topic", "partition_id", "producer_id", "producer_epoch", "sequence"]
 OUT = "kind string, prefix int, run int, high bigint, low bigint, first_offset bigint, n bigint, sorted_high binary, sorted_low binary, offsets binary"

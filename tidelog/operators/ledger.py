@@ -3,8 +3,8 @@
 A run plans *work items*: for each reader (group) and log partition the offsets from its committed position to the log
 end, cut at multiples of ``ITEM_OFFSETS``. An item is ``pending``, ``leased`` (to a worker until a time, under a fencing token
 greater than any before) or ``done``. A lease that expires returns the item to pending; a completion under an older token than
-the item's present one is refused. The result of an item goes to a path made of the item and its input only, so a retry
-writes the same rows to the same place, and readers take only items that are done.
+the item's present one is refused. Results go to a path made of the snapshot that gave the lease, so a retry
+writes the same rows to the same place, and readers take only rows of items that are done, written under the accepted token.
 
 The ledger is a DataFrame; each step is a pure function from one state to the next, and ``Ledger`` keeps the states as numbered
 snapshots in the shared folder: a crash between two snapshots loses nothing but time.
@@ -63,10 +63,11 @@ def expire(ledger: DataFrame, now_ms: int) -> DataFrame:
     return _change(ledger, out, state=F.lit("pending"), worker=F.lit(None).cast("string"), lease_until_ms=F.lit(None).cast("bigint"))
 
 
-def lease(ledger: DataFrame, worker: str, now_ms: int, for_ms: int, which: Column | None = None) -> DataFrame:
-    """Give the pending items (of ``which``) to ``worker`` under the next token."""
+def lease(ledger: DataFrame, worker: str, now_ms: int, for_ms: int, which: Column | None = None, path: str | None = None) -> DataFrame:
+    """Give the pending items (of ``which``) to ``worker`` under the next token, their results to go to ``path``."""
     free = (F.col("state") == "pending") & (F.lit(True) if which is None else which)
-    return _change(ledger, free, state=F.lit("leased"), worker=F.lit(worker), lease_until_ms=F.lit(now_ms + for_ms).cast("bigint"), token=F.col("token") + 1)
+    where = {} if path is None else {"path": F.lit(path)}
+    return _change(ledger, free, state=F.lit("leased"), worker=F.lit(worker), lease_until_ms=F.lit(now_ms + for_ms).cast("bigint"), token=F.col("token") + 1, **where)
 
 
 def complete(ledger: DataFrame, claims: DataFrame, now_ms: int) -> DataFrame:
@@ -99,18 +100,38 @@ class Ledger:
     def load(self) -> DataFrame:
         return self.spark.read.schema(LEDGER).parquet(f"{self.base}/v{self.version:08d}")
 
+    def take(self, worker: str, now_ms: int, for_ms: int = 600_000) -> DataFrame:
+        """The items that ``worker`` holds: those of a lease it still has (a restart goes on with them), else all that are pending."""
+        mine = (F.col("state") == "leased") & (F.col("worker") == worker) & (F.col("lease_until_ms") > now_ms)
+        held = self.load().where(mine)
+        if held.take(1):
+            return held
+        return self.save(lease(expire(self.load(), now_ms), worker, now_ms, for_ms, path=f"results/v{self.version + 1:08d}")).where(mine)
+
+    def process(self, held: DataFrame, records: DataFrame) -> None:
+        """Write the rows of held items. The path is that of their lease, so doing it again replaces them."""
+        path = (held.select("path").first() or [f"results/v{self.version:08d}"])[0]  # one lease, one path
+        rows_of(held, records).write.mode("overwrite").parquet(f"{self.base}/{path}")
+
+    def finish(self, held: DataFrame, now_ms: int) -> None:
+        """Mark held items done, as far as their tokens still are those of the ledger."""
+        self.save(complete(self.load(), held.select(*ITEM, "worker", "token"), now_ms))
+
+    def results(self) -> DataFrame:
+        """Rows of the items that are done, written under the token that was accepted."""
+        done = self.load().where("state = 'done'").select(*ITEM, "token")
+        return self.spark.read.parquet(f"{self.base}/results/*").join(done, [*ITEM, "token"], "left_semi").select("group_id", *TP, "log_offset")
+
     def run(self, records: DataFrame, worker: str, now_ms: int, for_ms: int = 600_000) -> DataFrame:
-        """Lease what is pending, process it, and mark it done; returns the rows of all done items of this worker's token."""
-        held = self.save(lease(expire(self.load(), now_ms), worker, now_ms, for_ms)).where((F.col("state") == "leased") & (F.col("worker") == worker))
-        out = f"{self.base}/results/v{self.version:08d}"  # made of the snapshot: a retry overwrites its own rows only
-        rows_of(held, records).write.mode("overwrite").parquet(out)
-        done = self.save(complete(self.load(), held.select(*ITEM, "worker", "token"), now_ms))
-        rows = self.spark.read.parquet(out)
-        return rows.join(done.where("state = 'done'").select(*ITEM, "token"), [*ITEM, "token"], "left_semi")
+        """Take, process and finish what is pending; returns all results so far."""
+        held = self.take(worker, now_ms, for_ms)
+        self.process(held, records)
+        self.finish(held, now_ms)
+        return self.results()
 
 
 def unprocessed(commits: DataFrame, records: DataFrame, worker: str = "run", now_ms: int = 0) -> DataFrame:
     """The records that a next run of each group still has to process, through the ledger."""
     ledger = Ledger(records.sparkSession)
     ledger.save(plan_items(commits, records))
-    return ledger.run(records, worker, now_ms).select("group_id", *TP, "log_offset")
+    return ledger.run(records, worker, now_ms)

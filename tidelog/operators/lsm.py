@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidelog.common import shared_dir, ship
 
-MAX_RUNS = 3
+MAX_RUNS = 2
 BUCKET_ROWS = 100_000
 RUN = "topic string, partition_id int, rec_key binary, seq bigint, deleted boolean, rec_value binary, bucket int, run int"
 KEY = ["topic", "partition_id", "rec_key"]
