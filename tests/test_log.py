@@ -198,3 +198,20 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], SEGMENTS)
     assert log.bounds(none).count() == log.metadata(none).count() == segments.contiguity(none, meta(spark)).count() == 0
     assert compaction.dirty_ratio(none, spark.createDataFrame([], "topic string, partition_id int, mark bigint")).count() == 0
+
+
+def test_cleaned_segments_take_the_place_of_old_ones(spark, tmp_path):
+    path = f"file://{tmp_path}/table"
+    old = spark.createDataFrame([("t", 0, o // 2 * 2, o) for o in range(8)], "topic string, partition_id int, segment_base bigint, log_offset bigint")
+    old.write.partitionBy("topic", "partition_id", "segment_base").parquet(path)
+    cleaned = old.where("log_offset not in (0, 4, 5)")
+    touched = spark.createDataFrame([("t", 0, 0), ("t", 0, 4)], "topic string, partition_id int, segment_base bigint")
+    compaction.replace_segments(cleaned, touched, path)
+    assert [r[0] for r in sorted(spark.read.parquet(path).select("log_offset").collect())] == [1, 2, 3, 6, 7]
+
+
+def test_a_follower_refuses_from_the_first_gap_on(spark):
+    ends = spark.createDataFrame([("t", 0, 4), ("t", 1, 0)], "topic string, partition_id int, log_end bigint")
+    sent = spark.createDataFrame([("t", 0, 4, 1), ("t", 0, 6, 0), ("t", 0, 8, 0), ("t", 0, 9, 0), ("t", 1, 2, 0)], "topic string, partition_id int, base_offset bigint, last_offset_delta int")
+    got = {(r["partition_id"], r["base_offset"]): r["accepted"] for r in log.follow(sent, ends).collect()}
+    assert got == {(0, 4): True, (0, 6): True, (0, 8): False, (0, 9): False, (1, 2): False}

@@ -37,3 +37,8 @@ def parsed_segment(name: Column, suffix: str = ".log") -> Column:
 def removed_name(topic: Column, partition: Column, at_ms: Column) -> Column:
     """The name under which a removed partition waits to be deleted."""
     return F.concat(directory_name(topic, partition), F.lit("."), at_ms.cast("string"), F.lit(".delete"))
+
+
+def bucket_of(key: Column, n: int) -> Column:
+    """Partition of a text or binary key among ``n``: the first eight hex digits of its MD5, which any engine can repeat."""
+    return (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % n).cast("int")

@@ -89,3 +89,20 @@ def dump(records: DataFrame, segments: DataFrame) -> DataFrame:
     listed = segments.select(*TP, F.col("base_offset").alias("segment_base"), "next_offset", "size_bytes", "sealed", F.greatest(F.col("base_offset") - before, F.lit(0)).alias("gap_before"))
     out = listed.join(by_segment, [*TP, "segment_base"], "left").join(missing, [*TP, "segment_base"], "left")
     return out.fillna(0, ["n_records", "n_batches", "n_tombstones", "n_holes", "gap_before"])
+
+
+def replace_segments(cleaned: DataFrame, touched: DataFrame, path: str) -> None:
+    """Put cleaned segments in the place of old ones in a table partitioned by topic, partition_id and segment_base.
+
+    ``touched`` names the segments from which something was dropped; only those are written. The folder of a touched segment without
+    survivors is deleted. ``cleaned`` must not be read from ``path`` itself.
+    """
+    spark = cleaned.sparkSession
+    part = [*TP, "segment_base"]
+    written = cleaned.join(F.broadcast(touched.select(*part).distinct()), part, "left_semi")  # a row per segment of the pass
+    written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*part).parquet(path)
+    gone = touched.select(*part).distinct().join(cleaned.select(*part).distinct(), part, "left_anti")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for r in gone.toLocalIterator():  # names of emptied segments, one at a time
+        folder = hadoop.Path(f"{path}/topic={r['topic']}/partition_id={r['partition_id']}/segment_base={r['segment_base']}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -160,3 +160,56 @@ def error_text(code: Column) -> Column:
     for k, text in ERRORS.items():
         out = F.when(code == k, text).otherwise(out)
     return out
+
+
+# The requests of the protocol by number; all have version 0 only.
+APIS = {
+    0: "Produce",
+    1: "Fetch",
+    2: "ListOffsets",
+    3: "Metadata",
+    8: "OffsetCommit",
+    9: "OffsetFetch",
+    10: "FindCoordinator",
+    11: "JoinGroup",
+    12: "Heartbeat",
+    13: "LeaveGroup",
+    14: "SyncGroup",
+    19: "CreateTopic",
+}
+#: Partitions of the topic that keeps committed positions.
+OFFSETS_PARTITIONS = 8
+
+
+def list_offsets(requests: DataFrame, log_bounds: DataFrame) -> DataFrame:
+    """Answers to (topic, partition_id, timestamp): -2 is the log start, -1 the log end; a search by time isn't offered and is an error."""
+    joined = requests.join(log_bounds.select(*TP, "log_start", "log_end"), TP, "left")
+    at = F.col("timestamp")
+    code = F.when(F.col("log_end").isNull(), UNKNOWN_TOPIC).when(~at.isin(-2, -1), UNKNOWN).otherwise(OK)
+    return joined.withColumn("error", code).select(*requests.columns, "error", F.when(F.col("error") != OK, -1).when(at == -2, F.col("log_start")).otherwise(F.col("log_end")).alias("answer"))
+
+
+def supported(requests: DataFrame) -> DataFrame:
+    """Requests (api, version) with their error code: another number or version isn't supported."""
+    known = F.col("api").isin(*APIS) & (F.col("version") == 0)
+    return requests.withColumn("error", F.when(known, OK).otherwise(9))
+
+
+def visible(records: DataFrame, ceilings: DataFrame, follower: bool = False) -> DataFrame:
+    """What a reader may see: a consumer what lies below the high watermark (topic, partition_id, high_watermark, log_end), a follower everything."""
+    top = F.col("log_end") if follower else F.col("high_watermark")
+    return records.join(F.broadcast(ceilings.select(*TP, "high_watermark", "log_end")), TP).where(F.col("log_offset") < top).drop("high_watermark", "log_end")  # a row per partition
+
+
+def settings(meta: DataFrame, fallback: dict[str, int]) -> DataFrame:
+    """Settings of each topic: what its own metadata say wins over the fallback."""
+    return meta.select("topic", *[F.coalesce(F.col(c), F.lit(v)).cast("bigint").alias(c) for c, v in fallback.items()]).distinct()
+
+
+def follow(batches: DataFrame, ends: DataFrame) -> DataFrame:
+    """Batches a follower appends unchanged (topic, partition_id, base_offset, last_offset_delta) onto its own end: the first must begin
+    there and each where the one before ended; from the first that doesn't, all of the partition are refused."""
+    order = W.partitionBy(*TP).orderBy("base_offset")
+    expected = F.coalesce(F.lag(F.col("base_offset") + F.col("last_offset_delta") + 1).over(order), F.col("log_end"))
+    marked = batches.join(F.broadcast(ends.select(*TP, "log_end")), TP).withColumn("__bad", F.col("base_offset") != expected)
+    return marked.withColumn("accepted", ~F.bool_or("__bad").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("__bad", "log_end")

@@ -59,3 +59,14 @@ def new_bounds(judged: DataFrame) -> DataFrame:
         F.count_if(~gone).alias("n_kept"),
         F.count_if(gone).alias("n_deleted"),
     )
+
+
+def sweep(segments: DataFrame, meta: DataFrame, now_ms: int) -> DataFrame:
+    """One maintenance pass over all segments: what becomes of each. The active segment is ``rolled`` when it has reached a limit of its topic and isn't
+    empty, sealed ones are ``expired`` or ``evicted`` by retention, the rest are ``kept``."""
+    limits = meta.select("topic", "max_segment_bytes", "max_segment_age_ms").distinct()
+    judged = by_both(segments, meta, now_ms).select(*TP, "base_offset", "expired", "evicted")
+    joined = segments.join(F.broadcast(limits), "topic").join(judged, [*TP, "base_offset"], "left")
+    full = (F.col("size_bytes") >= F.col("max_segment_bytes")) | ((F.col("max_ts_ms") >= 0) & (F.lit(now_ms) - F.col("max_ts_ms") >= F.col("max_segment_age_ms")))
+    rolled = ~F.col("sealed") & (F.col("next_offset") > F.col("base_offset")) & full
+    return joined.select(*TP, "base_offset", F.when(F.col("expired"), "expired").when(F.col("evicted"), "evicted").when(rolled, "rolled").otherwise("kept").alias("fate"))

@@ -67,6 +67,8 @@ POS = """pos AS (SELECT group_id, topic, partition_id, seq, next_offset, metadat
 EVENT_LOG = """elog AS (SELECT *, (user_id % 4)::INT AS partition_id,
   row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) - 1 AS log_offset FROM events)"""
 
+_CUTS = "cuts AS (SELECT topic, partition_id, (min(base_offset) + max(next_offset)) // 2 AS cut FROM segments GROUP BY ALL)"
+
 # ---- appending and reading
 
 
@@ -203,6 +205,62 @@ def create_topics(spark, d):
     return log.create_topics(requests, table(spark, d, "topic_meta"), DEFAULTS)
 
 
+@query(f"""WITH {REQ}, {BOUNDS} SELECT q.seq, q.topic, q.partition_id, q.seq % 3 - 2 AS timestamp,
+  CASE WHEN b.log_end IS NULL THEN 5 WHEN q.seq % 3 = 2 THEN 1 ELSE 0 END AS error, CASE WHEN b.log_end IS NULL OR q.seq % 3 = 2 THEN -1 WHEN q.seq % 3 = 0 THEN log_start ELSE log_end END AS answer
+FROM req q LEFT JOIN bnd b ON q.topic = b.topic AND q.partition_id = b.partition_id""")
+def list_offsets_answers(spark, d):
+    asked = _requests(spark, d).select("seq", *TP, (F.col("seq") % 3 - 2).alias("timestamp"))
+    return log.list_offsets(asked, _bounds(spark, d))
+
+
+@query("SELECT api::INT AS api, version::INT AS version, CASE WHEN api IN (" + ", ".join(map(str, log.APIS)) + ") AND version = 0 THEN 0 ELSE 9 END AS error FROM range(20) a(api), range(2) v(version)")
+def api_support(spark, d):
+    asked = spark.range(40).select((F.col("id") / 2).cast("int").alias("api"), (F.col("id") % 2).cast("int").alias("version"))
+    return log.supported(asked)
+
+
+@query("SELECT DISTINCT group_id, (('0x' || substr(md5(group_id), 1, 8))::BIGINT % 8)::INT AS offsets_partition FROM commits")
+def find_coordinator(spark, d):
+    """The partition of the positions topic, and so the broker, that a group belongs to."""
+    g = table(spark, d, "commits").select("group_id").distinct()
+    return g.withColumn("offsets_partition", names.bucket_of(F.col("group_id"), log.OFFSETS_PARTITIONS))
+
+
+@query(f"WITH {REC} SELECT topic, (('0x' || substr(md5(rec_key), 1, 8))::BIGINT % 6)::INT AS bucket, count(*) AS n_records FROM rec WHERE rec_key IS NOT NULL GROUP BY ALL")
+def key_partitions(spark, d):
+    """How keys would spread over six partitions."""
+    r = _records(spark, d, "rec_key").where("rec_key is not null")
+    return r.groupBy("topic", names.bucket_of(F.col("rec_key"), 6).alias("bucket")).agg(F.count(F.lit(1)).alias("n_records"))
+
+
+def _ceilings(spark: SparkSession, d: str) -> DataFrame:
+    return _bounds(spark, d).withColumn("high_watermark", F.col("log_end") - 5 * F.col("partition_id"))
+
+
+@query(f"""WITH {REC}, {BOUNDS} SELECT r.topic, r.partition_id, count(*) FILTER (log_offset < log_end - 5 * r.partition_id) AS consumer_sees, count(*) FILTER (log_offset < log_end) AS follower_sees
+FROM rec r JOIN bnd b ON r.topic = b.topic AND r.partition_id = b.partition_id GROUP BY ALL""")
+def fetch_ceiling(spark, d):
+    """What a consumer sees, up to the high watermark, and a follower, up to the end."""
+    r, top = _records(spark, d), _ceilings(spark, d)
+    seen = lambda f, c: log.visible(r, top, f).groupBy(*TP).agg(F.count(F.lit(1)).alias(c))
+    return seen(True, "follower_sees").join(seen(False, "consumer_sees"), TP, "left").fillna(0)
+
+
+@query(f"""WITH {BAT}, {_CUTS}, f AS (SELECT b.*, c.cut, base_offset <> coalesce(lag(base_offset + last_offset_delta + 1) OVER w, cut) AS bad FROM bat b JOIN cuts c ON b.topic = c.topic AND b.partition_id = c.partition_id
+  WHERE base_offset >= cut AND base_offset % 41 <> 7 WINDOW w AS (PARTITION BY b.topic, b.partition_id ORDER BY base_offset))
+SELECT topic, partition_id, base_offset, NOT bool_or(bad) OVER (PARTITION BY topic, partition_id ORDER BY base_offset) AS accepted FROM f""")
+def follower_append(spark, d):
+    """The second half of each log as batches for a follower, some of which were lost on the way."""
+    ends = _bounds(spark, d).select(*TP, F.floor((F.col("log_start") + F.col("log_end")) / 2).alias("log_end"))
+    sent = _batches(spark, d).where("base_offset % 41 <> 7").join(ends, TP).where("base_offset >= log_end").select(*TP, "base_offset", "last_offset_delta")
+    return log.follow(sent, ends).select(*TP, "base_offset", "accepted")
+
+
+@query("SELECT DISTINCT topic, coalesce(retention_ms, 1) AS retention_ms, coalesce(retention_bytes, -1) AS retention_bytes FROM topic_meta")
+def topic_settings(spark, d):
+    return log.settings(table(spark, d, "topic_meta"), {"retention_ms": 1, "retention_bytes": -1})
+
+
 # ---- names, sizes, codec
 
 
@@ -411,9 +469,6 @@ def segment_end_state(spark, d):
     return segments.end_states(_batches(spark, d))
 
 
-_CUTS = "cuts AS (SELECT topic, partition_id, (min(base_offset) + max(next_offset)) // 2 AS cut FROM segments GROUP BY ALL)"
-
-
 @query(f"""WITH {BAT}, {_CUTS} SELECT b.topic, b.partition_id, c.cut, coalesce(max(base_offset + last_offset_delta + 1) FILTER (base_offset + last_offset_delta < cut), cut) AS log_end,
   count(*) FILTER (base_offset + last_offset_delta < cut) AS n_kept, count(*) FILTER (base_offset + last_offset_delta >= cut) AS n_cut
 FROM bat b JOIN cuts c ON b.topic = c.topic AND b.partition_id = c.partition_id GROUP BY b.topic, b.partition_id, c.cut""")
@@ -459,6 +514,15 @@ def retention_both(spark, d):
     return retention.new_bounds(retention.by_both(table(spark, d, "segments"), _meta(spark, d), NOW_MS))
 
 
+@query(f"""WITH {_LIMITED}, j AS (SELECT *, NOT expired AND sealed AND sum(CASE WHEN expired THEN 0 ELSE size_bytes END) OVER (PARTITION BY topic, partition_id ORDER BY base_offset DESC) > retention_bytes AS evicted FROM aged)
+SELECT s.topic, s.partition_id, s.base_offset, CASE WHEN j.expired THEN 'expired' WHEN j.evicted THEN 'evicted'
+  WHEN NOT s.sealed AND s.next_offset > s.base_offset AND (s.size_bytes >= m.max_segment_bytes OR (s.max_ts_ms >= 0 AND {NOW_MS} - s.max_ts_ms >= m.max_segment_age_ms)) THEN 'rolled' ELSE 'kept' END AS fate
+FROM segments s JOIN (SELECT DISTINCT topic, max_segment_bytes, max_segment_age_ms FROM topic_meta) m ON s.topic = m.topic
+LEFT JOIN j ON s.topic = j.topic AND s.partition_id = j.partition_id AND s.base_offset = j.base_offset""")
+def maintenance_sweep(spark, d):
+    return retention.sweep(table(spark, d, "segments"), _meta(spark, d), NOW_MS)
+
+
 @query("SELECT topic, partition_id, sum(size_bytes)::BIGINT AS size_bytes, count(*) AS n_segments FROM segments GROUP BY ALL")
 def partition_bytes(spark, d):
     return table(spark, d, "segments").groupBy(*TP).agg(F.sum("size_bytes").alias("size_bytes"), F.count(F.lit(1)).alias("n_segments"))
@@ -727,6 +791,16 @@ def stream_consume(spark, d):
     return spark.read.parquet(f"{base}/out").select(*TP, "log_offset").distinct().groupBy(*TP).agg(F.count(F.lit(1)).alias("n_records"))
 
 
+@query("SELECT 'reader' AS group_id, topic, partition_id, max(log_offset) + 1 AS next_offset FROM log_records GROUP BY ALL")
+def stream_group_consume(spark, d):
+    """Everything consumed for a group, which commits its positions after each output."""
+    base = shared_dir(spark, "stream-group-consume")
+    stream = live.read_table(spark, d, "log_records").select(*TP, "log_offset")
+    live.consume_group(stream, "reader", base, lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}"), f"{base}/positions")
+    commits = spark.read.parquet(f"{base}/positions/*/*")
+    return commits.groupBy(*GTP).agg(F.max_by("next_offset", "seq").alias("next_offset"))
+
+
 @query()
 def stream_hourly(spark, d):
     """Counts per hour and type of event, given out as the watermark passes."""

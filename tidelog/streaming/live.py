@@ -127,6 +127,20 @@ def consume(stream: DataFrame, base: str, handle: Callable[[DataFrame, int], Non
     return len(seen)
 
 
+def consume_group(stream: DataFrame, group: str, base: str, handle: Callable[[DataFrame, int], None], positions: str) -> int:
+    """Consume for a group: after the output of a micro-batch, its next offsets are added to the commits at ``positions``.
+
+    A batch handed out again commits the same positions under the same epoch, in the same place.
+    """
+
+    def one(batch: DataFrame, epoch: int) -> None:
+        handle(batch, epoch)
+        ends = batch.groupBy("topic", "partition_id").agg((F.max("log_offset") + 1).alias("next_offset"))
+        ends.select(F.lit(epoch).cast("bigint").alias("seq"), F.lit(group).alias("group_id"), "topic", "partition_id", "next_offset").write.mode("overwrite").parquet(f"{positions}/group={group}/epoch={epoch}")
+
+    return consume(stream, base, one)
+
+
 def coordinate(events: DataFrame) -> DataFrame:
     """The group coordinator over a stream of group events, one state per group."""
     ship(events.sparkSession)
