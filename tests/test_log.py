@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.common import asof, chunked_running_max, chunked_running_sum
+from tidelog.common import asof, chunked_lag, chunked_running_max, chunked_running_sum
 from tidelog.functions import names, varint
 from tidelog.operators import compaction, log, retention, segments
 from tidelog.sources.generator import generate, read_lines
@@ -178,6 +178,14 @@ def test_chunked_running_values(spark, chunk):
             assert r[name] == (fold(before) if before else (None if name == "m" else 0))
 
 
+@pytest.mark.parametrize("chunk", [1, 3, 1000])
+def test_chunked_lag(spark, chunk):
+    df = spark.range(40).select((F.col("id") % 3).alias("g"), (F.col("id") * 2).alias("o"), F.when(F.col("id") % 5 != 0, F.col("id")).alias("v"))
+    for r in chunked_lag(df, ["g"], "o", F.col("v"), "before", chunk).collect():
+        k = r["o"] // 2 - 3
+        assert r["before"] == (None if k < 0 or k % 5 == 0 else k)
+
+
 @pytest.mark.parametrize("chunk", [1, 7, 1000])
 def test_asof(spark, chunk):
     table = spark.createDataFrame([(0, 5, "a"), (0, 9, "b"), (1, 0, "c")], "g int, o bigint, name string")

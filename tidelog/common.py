@@ -117,6 +117,19 @@ def chunked_running_sum(df: DataFrame, group: list[str], order: str, value: str,
     )
 
 
+def chunked_lag(df: DataFrame, group: list[str], order: str, value: Column, out: str, chunk: int = CHUNK_OFFSETS) -> DataFrame:
+    """``value`` of the row before in the order of its ``group``; null at the first. Taken in chunks like the running maximum."""
+    from pyspark.sql import Window as W
+
+    cut = df.withColumns({"__chunk": F.floor(F.col(order) / chunk), "__value": value})
+    keys = [*group, "__chunk"]
+    carried = W.partitionBy(*group).orderBy("__chunk")
+    heads = cut.groupBy(*keys).agg(F.max_by("__value", order).alias("__last")).withColumn("__carry", F.lag("__last").over(carried)).drop("__last")
+    inside = W.partitionBy(*keys).orderBy(order)
+    lagged = cut.withColumns({"__before": F.lag("__value").over(inside), "__nth": F.row_number().over(inside)})
+    return lagged.join(heads, keys).withColumn(out, F.when(F.col("__nth") == 1, F.col("__carry")).otherwise(F.col("__before"))).drop("__before", "__nth", "__carry", "__chunk", "__value")
+
+
 def asof(points: DataFrame, at: str, rows: DataFrame, order: str, by: list[str], payload: list[str], chunk: int = CHUNK_OFFSETS) -> DataFrame:
     """Each point with the ``payload`` of the row of the same ``by`` that has the greatest ``order`` <= ``at``; null where there is none.
 

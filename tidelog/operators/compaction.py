@@ -99,7 +99,7 @@ def replace_segments(cleaned: DataFrame, touched: DataFrame, path: str) -> None:
     """
     spark = cleaned.sparkSession
     part = [*TP, "segment_base"]
-    written = cleaned.join(F.broadcast(touched.select(*part).distinct()), part, "left_semi")  # a row per segment of the pass
+    written = cleaned.join(touched.select(*part).distinct(), part, "left_semi")
     written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*part).parquet(path)
     gone = touched.select(*part).distinct().join(cleaned.select(*part).distinct(), part, "left_anti")
     hadoop = spark._jvm.org.apache.hadoop.fs

@@ -10,11 +10,11 @@ import json
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.common import ship
+from tidelog.common import chunked_lag, ship
 
 SESSION_MS = 10_000
 
@@ -86,15 +86,13 @@ def leaders(members: DataFrame) -> DataFrame:
 
 def expiry(heartbeats: DataFrame, now_ms: int, timeout_ms: int = SESSION_MS) -> DataFrame:
     """Members whose last heartbeat (group_id, member_id, ts_ms) is ``timeout_ms`` old, and the longest silence each had before."""
-    silence = F.col("ts_ms") - F.lag("ts_ms").over(W.partitionBy("group_id", "member_id").orderBy("ts_ms"))
-    seen = heartbeats.withColumn("silence", silence).groupBy("group_id", "member_id").agg(F.max("ts_ms").alias("last_ms"), F.coalesce(F.max("silence"), F.lit(0)).alias("longest_silence_ms"))
+    once = heartbeats.select("group_id", "member_id", "ts_ms").distinct()
+    lagged = chunked_lag(once, ["group_id", "member_id"], "ts_ms", F.col("ts_ms"), "before_ms", 86_400_000)  # chunks of a day
+    silence = F.col("ts_ms") - F.col("before_ms")
+    seen = lagged.groupBy("group_id", "member_id").agg(F.max("ts_ms").alias("last_ms"), F.coalesce(F.max(silence), F.lit(0)).alias("longest_silence_ms"))
     return seen.withColumn("expired", F.lit(now_ms) - F.col("last_ms") >= timeout_ms)
 
 
-def timed_out(silence_ms: Column, timeout_ms: int) -> Column:
-    return silence_ms >= timeout_ms
-
-
 # The coordinator: one group is one value, changed by one event at a time.
 
 NONE, ILLEGAL_GENERATION, UNKNOWN_MEMBER, REBALANCING, INVALID_GROUP = 0, 12, 13, 14, 15

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.common import asof, chunked_running_sum
+from tidelog.common import asof, chunked_lag, chunked_running_sum
 
 TP = ["topic", "partition_id"]
 # The error codes of the protocol.
@@ -36,6 +36,8 @@ ERRORS = {
     15: "invalid group id",
 }
 OK, UNKNOWN, OUT_OF_RANGE, CORRUPT, NOT_LEADER, UNKNOWN_TOPIC, TOPIC_EXISTS, INVALID_TOPIC = range(8)
+#: Ordered passes over positions in bytes take chunks of this many.
+CHUNK_BYTES = 1 << 30
 #: Bytes of the header of a batch, and those of it that batch_length doesn't count.
 HEADER_BYTES, BEFORE_LENGTH = 61, 12
 
@@ -109,9 +111,9 @@ def fetch_batches(requests: DataFrame, batches: DataFrame) -> DataFrame:
     # where a hole holds the offset, reading begins with the batch after it
     here = F.col("last_offset") >= F.col("fetch_offset")
     begun = last.select(*requests.columns, F.when(here, F.col("before")).otherwise(F.coalesce("through", F.lit(0))).alias("from_bytes"))
-    first = asof(begun, "from_bytes", totals.select(*TP, F.col("before").alias("start_bytes"), F.col("base_offset").alias("first_base"), F.col("through").alias("first_through")), "start_bytes", TP, ["first_base", "first_through", "start_bytes"])
+    first = asof(begun, "from_bytes", totals.select(*TP, F.col("before").alias("start_bytes"), F.col("base_offset").alias("first_base"), F.col("through").alias("first_through")), "start_bytes", TP, ["first_base", "first_through", "start_bytes"], CHUNK_BYTES)
     ready = first.where("start_bytes = from_bytes").drop("start_bytes").withColumn("limit_bytes", F.greatest(F.col("from_bytes") + F.col("max_bytes"), "first_through"))
-    end = asof(ready, "limit_bytes", totals.select(*TP, "through", F.col("through").alias("to_bytes"), F.col("last_offset").alias("last_read")), "through", TP, ["to_bytes", "last_read"])
+    end = asof(ready, "limit_bytes", totals.select(*TP, "through", F.col("through").alias("to_bytes"), F.col("last_offset").alias("last_read")), "through", TP, ["to_bytes", "last_read"], CHUNK_BYTES)
     return end.select(*requests.columns, "first_base", "last_read", (F.col("to_bytes") - F.col("from_bytes")).alias("bytes_read"))
 
 
@@ -209,7 +211,8 @@ def settings(meta: DataFrame, fallback: dict[str, int]) -> DataFrame:
 def follow(batches: DataFrame, ends: DataFrame) -> DataFrame:
     """Batches a follower appends unchanged (topic, partition_id, base_offset, last_offset_delta) onto its own end: the first must begin
     there and each where the one before ended; from the first that doesn't, all of the partition are refused."""
-    order = W.partitionBy(*TP).orderBy("base_offset")
-    expected = F.coalesce(F.lag(F.col("base_offset") + F.col("last_offset_delta") + 1).over(order), F.col("log_end"))
-    marked = batches.join(F.broadcast(ends.select(*TP, "log_end")), TP).withColumn("__bad", F.col("base_offset") != expected)
-    return marked.withColumn("accepted", ~F.bool_or("__bad").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("__bad", "log_end")
+    onto = batches.join(F.broadcast(ends.select(*TP, F.col("log_end").alias("__end"))), TP)  # a row per partition
+    lagged = chunked_lag(onto, TP, "base_offset", F.col("base_offset") + F.col("last_offset_delta") + 1, "__expected")
+    bad = F.col("base_offset") != F.coalesce("__expected", "__end")
+    first = lagged.where(bad).groupBy(*TP).agg(F.min("base_offset").alias("__first_bad"))
+    return lagged.join(F.broadcast(first), TP, "left").withColumn("accepted", F.col("__first_bad").isNull() | (F.col("base_offset") < F.col("__first_bad"))).drop("__first_bad", "__expected", "__end")

@@ -8,9 +8,9 @@ combined before its shuffle, so a group with most commits doesn't weigh on one t
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidelog.common import chunked_lag
 from tidelog.operators.log import TP
 
 GTP = ["group_id", *TP]
@@ -51,11 +51,5 @@ def lag(positions: DataFrame, log_bounds: DataFrame) -> DataFrame:
 
 def went_back(commits: DataFrame) -> DataFrame:
     """Commits that set a position below the one before them."""
-    before = F.lag("next_offset").over(W.partitionBy(*GTP, "span").orderBy("seq"))
-    # neighbours are compared within spans of seq, and the ends of spans after
-    taken = commits.where("next_offset >= 0").dropDuplicates(["seq"]).withColumn("span", F.floor(F.col("seq") / 65_536))
-    inside = taken.withColumn("before", before)
-    ends = taken.groupBy(*GTP, "span").agg(F.max_by("next_offset", "seq").alias("end"))
-    carried = ends.withColumn("carry", F.last("end").over(W.partitionBy(*GTP).orderBy("span").rowsBetween(W.unboundedPreceding, -1))).drop("end")
-    joined = inside.join(carried, [*GTP, "span"]).withColumn("before", F.coalesce("before", "carry"))
-    return joined.where("next_offset < before").select("seq", *GTP, "next_offset", "before")
+    taken = commits.where("next_offset >= 0").dropDuplicates(["seq"])
+    return chunked_lag(taken, GTP, "seq", F.col("next_offset"), "before").where("next_offset < before").select("seq", *GTP, "next_offset", "before")

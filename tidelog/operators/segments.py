@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.common import asof, chunked_running_sum, ship
+from tidelog.common import asof, chunked_lag, chunked_running_sum, ship
 from tidelog.operators.log import BEFORE_LENGTH, TP
 
 ROLLED = "topic string, partition_id int, base_offset bigint, segment_base bigint, position bigint"
@@ -99,14 +99,9 @@ def end_states(batches: DataFrame) -> DataFrame:
 
 def gaps(batches: DataFrame) -> DataFrame:
     """Batches that don't follow the one before them in their partition, with what they should have been."""
-    expected = F.lag(F.col("base_offset") + F.col("last_offset_delta") + 1).over(W.partitionBy(*TP, "block").orderBy("base_offset"))
-    # neighbours are compared within blocks of offsets, and the ends of the blocks after
-    cut = batches.select(*TP, "base_offset", "last_offset_delta").withColumn("block", F.floor(F.col("base_offset") / 65_536))
-    inside = cut.withColumn("expected", expected)
-    ends = cut.groupBy(*TP, "block").agg(F.max(F.col("base_offset") + F.col("last_offset_delta") + 1).alias("end"))
-    carried = ends.withColumn("carry", F.last("end").over(W.partitionBy(*TP).orderBy("block").rowsBetween(W.unboundedPreceding, -1))).drop("end")
-    joined = inside.join(carried, [*TP, "block"]).withColumn("expected", F.coalesce("expected", "carry"))
-    return joined.where("expected is not null and base_offset <> expected").select(*TP, "base_offset", "expected", (F.col("base_offset") - F.col("expected")).alias("gap"))
+    cut = batches.select(*TP, "base_offset", "last_offset_delta")
+    followed = chunked_lag(cut, TP, "base_offset", F.col("base_offset") + F.col("last_offset_delta") + 1, "expected")
+    return followed.where("base_offset <> expected").select(*TP, "base_offset", "expected", (F.col("base_offset") - F.col("expected")).alias("gap"))
 
 
 def truncate(batches: DataFrame, cuts: DataFrame) -> tuple[DataFrame, DataFrame]:
