@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.common import CHUNK_OFFSETS, chunked_running_max
+from tidelog.common import CHUNK_OFFSETS, chunked_running_max, materialize
 
 BATCH = ["topic", "partition_id", "batch_base"]
 CUTOFF_MS = 7_200_000
@@ -50,7 +50,7 @@ def event_times(records: DataFrame, batches: DataFrame) -> DataFrame:
 
 def batch_progress(timed: DataFrame, chunk: int = CHUNK_OFFSETS) -> DataFrame:
     """One row per batch: the greatest event time it adds, and the progress made before it."""
-    heads = timed.groupBy(*BATCH).agg(F.max("seen").alias("top"))
+    heads = materialize(timed.groupBy(*BATCH).agg(F.max("seen").alias("top")), "progress")  # read twice
     return chunked_running_max(heads, BATCH[:2], "batch_base", "top", "progress", chunk)
 
 
