@@ -36,13 +36,14 @@ _PAIR = np.dtype([("high", "<i8"), ("low", "<i8")])
 
 
 def messages(records: DataFrame, batches: DataFrame) -> DataFrame:
-    """Every copy of a message with the parts of its name and the hashes of its identifier."""
+    """Every copy of a message, rows written twice once, with the hashes of its identifier."""
     heads = (
         batches.where("producer_id <> -1")
         .select("topic", "partition_id", F.col("base_offset").alias("batch_base"), "producer_id", "producer_epoch", "base_sequence")
         .dropDuplicates(["topic", "partition_id", "batch_base"])
     )
-    joined = records.select("topic", "partition_id", "batch_base", "log_offset", "offset_delta").join(heads, ["topic", "partition_id", "batch_base"])
+    batch = ["topic", "partition_id", "batch_base"]
+    joined = records.select(*batch, "log_offset", "offset_delta").join(heads, batch).dropDuplicates([*batch, "log_offset"])  # in the shuffle of the join
     # after 2147483647 comes 0
     named = joined.withColumn("sequence", F.pmod(F.col("base_sequence").cast("bigint") + F.col("offset_delta"), F.lit(2**31)))
     whole = named.dropna(subset=[*NAME, "log_offset"])
@@ -125,9 +126,7 @@ def copies(records: DataFrame, batches: DataFrame, slices: int = SLICES) -> Data
     spark = records.sparkSession
     bounds = records.groupBy("topic", "partition_id").agg(F.min("log_offset").alias("lo"), F.max("log_offset").alias("hi"))
     share = (F.col("log_offset") - F.col("lo")) * slices / (F.col("hi") - F.col("lo") + 1)
-    # rows written twice lie in one batch and are joined by it: they are dropped without another shuffle
-    unique = messages(records, batches).distinct()
-    sliced = unique.join(bounds, ["topic", "partition_id"]).withColumn("slice", F.floor(share).cast("int")).drop("lo", "hi")
+    sliced = messages(records, batches).join(bounds, ["topic", "partition_id"]).withColumn("slice", F.floor(share).cast("int")).drop("lo", "hi")
     incoming = materialize(sliced, "dedup-incoming", "slice")
     rows = incoming.count()
     bits = max(4, math.ceil(math.log2(max(1, rows) / PREFIX_IDS)))
