@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tidelog.common import shared_dir
 
 ITEM_OFFSETS = 16_384
+SHELF = 4_096
 TP = ["topic", "partition_id"]
 ITEM = ["group_id", *TP, "block"]
 LEDGER = "group_id string, topic string, partition_id int, block bigint, from_offset bigint, state string, worker string, lease_until_ms bigint, token bigint, path string"
@@ -41,8 +42,11 @@ def plan_items(commits: DataFrame, records: DataFrame, item: int = ITEM_OFFSETS)
     ends = records.groupBy(*TP).agg(F.min("log_offset").alias("lo"), F.max("log_offset").alias("hi"))
     start = F.greatest(F.coalesce("next_offset", "lo"), "lo")
     spans = positions(commits).join(ends, TP).withColumn("from_offset", start).where(F.col("from_offset") <= F.col("hi"))
-    blocks = F.sequence(F.floor(F.col("from_offset") / item), F.floor(F.col("hi") / item))
-    return spans.select("group_id", *TP, F.explode(blocks).alias("block"), "from_offset").select(
+    # in two steps, so that no row holds an array of more than SHELF blocks, or of all shelves
+    first, last = F.floor(F.col("from_offset") / item), F.floor(F.col("hi") / item)
+    shelves = spans.select("*", F.explode(F.sequence(F.floor(first / SHELF), F.floor(last / SHELF))).alias("shelf"))
+    blocks = F.sequence(F.greatest(first, F.col("shelf") * SHELF), F.least(last, F.col("shelf") * SHELF + SHELF - 1))
+    return shelves.select("group_id", *TP, F.explode(blocks).alias("block"), "from_offset").select(
         *ITEM,
         F.greatest("from_offset", F.col("block") * item).alias("from_offset"),
         F.lit("pending").alias("state"),
