@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,7 +45,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     It lies under ``spark.checkpoint.dir``. Where that is unset, a folder in /tmp serves local sessions only; on a
     cluster the setting is required, as a machine's own folder is lost with the machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
@@ -68,16 +67,6 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *by)
 
 
-def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:
-    """Shuffle partitions holding about ``rows_each`` rows, at least the session's own number."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
-
-
-def same(left: DataFrame, right: DataFrame, *columns: str) -> Column:
-    """Null-safe equality on ``columns``."""
-    return reduce(lambda a, b: a & b, (left[c].eqNullSafe(right[c]) for c in columns))
-
-
 def chunked_running_max(df: DataFrame, group: list[str], order: str, value: str, out: str, chunk: int = CHUNK_OFFSETS) -> DataFrame:
     """Greatest ``value`` over the rows of the same ``group`` with a smaller ``order``; null where there is none.
 
