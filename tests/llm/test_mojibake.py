@@ -85,6 +85,15 @@ def test_steps_undo_known_readings():
     assert {c: t for c, t, _ in mojibake.undo().chains("\x93quote\x94")}["cp1252>latin-1"] == "“quote”"
 
 
+def test_every_reading_that_can_encode_a_word_is_undone():
+    """mac-roman has characters beyond U+2E80, and multi-byte encodings have some below."""
+    assert {c: t for c, t, _ in mojibake.undo().chains("Stra\ufb02e")}["cp1252>mac-roman"] == "Straße"
+    assert {c: t for c, t, _ in mojibake.undo().chains("работает".encode("cp1251").decode("mac-roman"))}["cp1251>mac-roman"] == "работает"
+    assert {c: t for c, t, _ in mojibake.undo().chains("😀".encode().decode("mac-roman"))}["utf-8>mac-roman"] == "😀"
+    greek = "テスト".encode("euc-jp").decode("cp949")
+    assert max(greek) < "\u2e80" and {c: t for c, t, _ in mojibake.undo().chains(greek)}["euc-jp>cp949"] == "テスト"
+
+
 def test_lost_characters_stay_lost():
     assert {c: t for c, t, _ in mojibake.undo().chains("g�zel sarý")}["cp1254>cp1252"] == "g�zel sarı"
 

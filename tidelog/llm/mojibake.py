@@ -85,8 +85,6 @@ WRITTEN = {
 }
 #: Written encodings whose words lie almost wholly beyond ASCII.
 DENSE = {*CYRILLIC, "cp1253", "iso8859-7", "cp1256", "iso8859-6"}
-#: First character of the East Asian scripts and their forms.
-EAST_ASIAN = "\u2e80"
 #: Marks a chain seen on single signs only, which counts where it explains all of a line that has other words.
 ALONE = ", alone"
 #: What is left of punctuation in UTF-8 that was read as windows-1252 or its subset and then lost its control characters.
@@ -142,8 +140,7 @@ class Undo:
         beyond = sum(c > "\x7f" for c in word)
         dense, several = beyond >= 2 and 2 * beyond >= len(word), beyond >= 2
         out, seen = [], set()
-        # single-byte encodings have no character of East Asian scripts, and words that multi-byte ones made have some
-        for read in MULTI[:4] if max(word.replace(REPLACEMENT, ""), default="") >= EAST_ASIAN else SINGLE:
+        for read in (*SINGLE, *MULTI[:4]):  # whether a word can come of a reading, only encoding it shows: mac-roman has U+F8FF and two ligatures
             if (raw := self.bytes_of(word, read)) is None:
                 continue
             for encoding in ("utf-8", *WRITTEN[read]):
