@@ -98,6 +98,18 @@ def test_lost_characters_stay_lost():
     assert {c: t for c, t, _ in mojibake.undo().chains("g�zel sarý")}["cp1254>cp1252"] == "g�zel sarı"
 
 
+def test_long_words_are_read_to_their_end(spark):
+    """Words end at spaces only, so a whole line may be one: garbled from where on doesn't matter."""
+    r = random.Random(5)
+    sound = "\t".join(r.choice(WORDS["de"]) for _ in range(60))
+    lines = {1: "https://example.org/a," * 50 + sound, 2: "x" * 1_000 + "\t" + sound}
+    garbled = {i: t[: -len(sound)] + sound.encode().decode("latin-1") for i, t in lines.items()}
+    base = [(i + 100, "c", text, "", 0.0, 1) for i, _, text in corpus(2, 300)] + [(i + 10, "d", t, "", 0.0, 1) for i, t in lines.items()]
+    df = spark.createDataFrame(base + [(i, "d", t, "", 0.0, 1) for i, t in garbled.items()], DOCS)
+    fixed = {r["doc_id"]: r["repaired"] for r in mojibake.repaired(df).collect()}
+    assert {i: fixed.get(i) for i in lines} == lines and not {11, 12} & set(fixed)
+
+
 def test_a_worn_source_helps_its_weak_records(spark):
     chain = "cp1250>cp1252"
     scored = spark.createDataFrame([(i, "worn", "body", chain, 30.0) for i in range(30)] + [(100, "worn", "body", chain, 2.0), (101, "sound", "body", chain, 2.0)], mojibake.EVIDENCE)

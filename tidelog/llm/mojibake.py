@@ -54,6 +54,8 @@ FAR = 15.0
 CAPITALS = 2.0
 #: Weight of the overall prior, in documents, within the prior of a source and field; share of garbled parts assumed at first.
 PRIOR_DOCS, FIRST_SHARE, ROUNDS, MODEL_ROUNDS = 20.0, 0.02, 4, 2
+#: Characters of words that are learned or scored at a time, for the memory they take.
+PART = 1 << 18
 REPLACEMENT = "�"
 #: Stands for a lost byte in all encodings.
 GONE = "\x1a"
@@ -220,6 +222,19 @@ def count_table(words: Counter) -> np.ndarray:
     return table
 
 
+def in_parts(words: list[str]) -> Iterator[list[str]]:
+    """The words in order, as many at a time as have ``PART`` characters, and at least one."""
+    part, size = [], 0
+    for w in words:
+        if part and size + len(w) > PART:
+            yield part
+            part, size = [], 0
+        part.append(w)
+        size += len(w)
+    if part:
+        yield part
+
+
 class Model:
     """Log-likelihood of words under the counted characters, pairs and triples, each backed by the shorter one."""
 
@@ -245,7 +260,8 @@ class Model:
 
     def best(self, words: list[str], own: float = 0.0) -> np.ndarray:
         """The score of a word, or of its lower-case form at a price: capitals are rarer, not stranger."""
-        return np.maximum(self.score(words, own), self.score([w.lower() for w in words], own) - CAPITALS)
+        parts = [np.maximum(self.score(p, own), self.score([w.lower() for w in p], own) - CAPITALS) for p in in_parts(words)]
+        return np.concatenate(parts) if parts else np.zeros(0)
 
 
 def words_by_line(text: str) -> Iterator[tuple[int, list[str], bool]]:
@@ -318,9 +334,8 @@ class Scorer:
         if len(self.known) > 400_000:
             self.known.clear()
         new = [w for w in words if w not in self.known]
-        for at in range(0, len(new), 2_000):
-            part = new[at : at + 2_000]
-            ways = [undo().chains(w.strip(REPLACEMENT)) if len(w) <= 400 else self._long(w) for w in part]
+        for part in (p for at in range(0, len(new), 2_000) for p in in_parts(new[at : at + 2_000])):
+            ways = [undo().chains(w.strip(REPLACEMENT)) for w in part]
             own = self.model.best([w.strip(REPLACEMENT) for w in part], 1.0)
             flat = self.model.best([t for way in ways for _, t, _ in way])
             k = 0
@@ -333,12 +348,6 @@ class Scorer:
                         best[chain] = (gain, text)
                 self.known[w] = best
 
-    @staticmethod
-    def _long(word: str) -> list[tuple[str, str, float]]:
-        """A long run without spaces: only the ways that its beginning allows are tried on the whole."""
-        kept = {c for c, _, _ in undo().chains(word[:400])} | {c for c, _, _ in undo().chains(word[200:600])}
-        return [x for x in undo().chains(word) if x[0] in kept] if kept else []
-
     def evidence(self, text: str) -> tuple[dict[tuple[str, str], float], int]:
         """Evidence by (field, chain), and the characters lost within the text."""
         lines = list(words_by_line(text))
