@@ -1,7 +1,10 @@
 """Garbled text: planted cases are found and restored, sound text is left alone."""
 
 import random
+from collections import Counter
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 
 from tidelog.llm import mojibake
@@ -110,6 +113,18 @@ def test_long_words_are_read_to_their_end(spark):
     assert {i: fixed.get(i) for i in lines} == lines and not {11, 12} & set(fixed)
 
 
+def test_a_worker_that_knows_too_many_words_reads_on():
+    """Words are forgotten between texts, never under the text that is read."""
+    table = SimpleNamespace(value=mojibake.count_table(Counter(w for words in WORDS.values() for w in words)))
+    batch = pd.DataFrame([(i, "h", " ".join(f"{w}{i}" for w in WORDS["de"]).encode().decode("latin-1")) for i in range(8)], columns=["doc_id", "source", "text"])
+    alone = next(mojibake._score(table, "alone")(iter([batch])))
+    scorer = mojibake.scorer(table, "full")
+    scorer.known.update((str(i), {}) for i in range(399_999))
+    full = next(mojibake._score(table, "full")(iter([batch])))
+    assert len(scorer.known) > 400_000 and set(full["doc_id"]) == set(range(8)) and full.equals(alone)
+    assert len(next(mojibake._score(table, "full")(iter([batch.assign(text=batch["text"].str.replace(" ", "x "))])))) and len(scorer.known) < 400_000
+
+
 def test_a_worn_source_helps_its_weak_records(spark):
     chain = "cp1250>cp1252"
     scored = spark.createDataFrame([(i, "worn", "body", chain, 30.0) for i in range(30)] + [(100, "worn", "body", chain, 2.0), (101, "sound", "body", chain, 2.0)], mojibake.EVIDENCE)

@@ -56,6 +56,8 @@ CAPITALS = 2.0
 PRIOR_DOCS, FIRST_SHARE, ROUNDS, MODEL_ROUNDS = 20.0, 0.02, 4, 2
 #: Characters of words that are learned or scored at a time, for the memory they take.
 PART = 1 << 18
+#: Words that a worker remembers before it starts anew; words from which on no further text is learned along with others.
+KNOWN, TOGETHER = 400_000, 100_000
 REPLACEMENT = "�"
 #: Stands for a lost byte in all encodings.
 GONE = "\x1a"
@@ -286,10 +288,7 @@ def _count(table, key: str):
                 for seen in sets:
                     words.update(seen)
             else:
-                scorer = m.scorer(table, key)
-                scorer.learn(set().union(*sets))
-                for t, seen in zip(texts, sets, strict=True):
-                    gains, lost = scorer.evidence(t)
+                for seen, (gains, lost) in zip(sets, m.scorer(table, key).read(texts, sets), strict=True):
                     if not gains and not lost:
                         words.update(seen)
                         continue
@@ -331,7 +330,7 @@ class Scorer:
         self.model, self.known = Model(table), {}
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) > 400_000:
+        if len(self.known) > KNOWN:
             self.known.clear()
         new = [w for w in words if w not in self.known]
         for part in (p for at in range(0, len(new), 2_000) for p in in_parts(new[at : at + 2_000])):
@@ -348,6 +347,18 @@ class Scorer:
                         best[chain] = (gain, text)
                 self.known[w] = best
 
+    def read(self, texts: list[str], words: list[set[str]]) -> Iterator[tuple[dict[tuple[str, str], float], int]]:
+        """Evidence of each text. The words of some texts are learned at once, and known until these are read."""
+        at = 0
+        while at < len(texts):
+            end, together = at, set()
+            while end < len(texts) and (end == at or len(together) < TOGETHER):
+                together |= words[end]
+                end += 1
+            self.learn(together)
+            yield from map(self.evidence, texts[at:end])
+            at = end
+
     def evidence(self, text: str) -> tuple[dict[tuple[str, str], float], int]:
         """Evidence by (field, chain), and the characters lost within the text."""
         lines = list(words_by_line(text))
@@ -398,17 +409,8 @@ def _score(table, key: str):
         for batch in batches:
             rows = []
             texts = [m.plain(t) if t and ("&" in t or not t.isascii()) else "" for t in batch["text"]]
-            words: set[str] = set()
-            for t in texts:
-                for _, line, _ in m.words_by_line(t):
-                    words.update(line)
-            scorer.learn(words)
-            for doc_id, source, t in zip(batch["doc_id"], batch["source"], texts, strict=True):
-                if t.isascii():
-                    continue
-                if len(scorer.known) > 300_000:
-                    scorer.learn({w for _, line, _ in m.words_by_line(t) for w in line})
-                gains, lost = scorer.evidence(t)
+            sets = [{w for _, line, _ in m.words_by_line(t) for w in line} for t in texts]
+            for doc_id, source, (gains, lost) in zip(batch["doc_id"], batch["source"], scorer.read(texts, sets), strict=True):
                 top = {f: max(g for (x, _), g in gains.items() if x == f) for f in {f for f, _ in gains}}
                 rows += [(doc_id, source, f, c, g) for (f, c), g in gains.items() if g > top[f] - m.FAR]
                 if lost:
