@@ -125,6 +125,18 @@ def test_a_worker_that_knows_too_many_words_reads_on():
     assert len(next(mojibake._score(table, "full")(iter([batch.assign(text=batch["text"].str.replace(" ", "x "))])))) and len(scorer.known) < 400_000
 
 
+def test_the_last_word_counts_unless_it_is_cut_within_a_character():
+    scorer = mojibake.Scorer(mojibake.count_table(Counter(w for words in WORDS.values() for w in words for _ in range(50))))
+    told = lambda t: next(scorer.read([t], [{w for _, line, _ in mojibake.words_by_line(t) for w in line}]))[0]
+    sound, last = "größe über später ", "natürlich schöne zurück".split()
+    for w in last:
+        assert ("head", "utf-8>cp1252") in told(sound + w.encode().decode("cp1252"))
+        assert not told(sound + w)
+    assert ("head", "utf-8>cp1252") not in told(sound + "fenÃ")
+    assert mojibake.undo().cut("fenÃ", "utf-8>cp1252") and mojibake.undo().cut("fenÃƒÂ", "utf-8>cp1252+utf-8>cp1252")
+    assert not mojibake.undo().cut("Ïðèâåò", "cp1251>cp1252") and not mojibake.undo().cut("â", "utf-8>latin-1, controls lost")
+
+
 def test_a_worn_source_helps_its_weak_records(spark):
     chain = "cp1250>cp1252"
     scored = spark.createDataFrame([(i, "worn", "body", chain, 30.0) for i in range(30)] + [(100, "worn", "body", chain, 2.0), (101, "sound", "body", chain, 2.0)], mojibake.EVIDENCE)

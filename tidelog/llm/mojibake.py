@@ -135,6 +135,19 @@ class Undo:
             lost = text.count(REPLACEMENT)
             return (text.replace(REPLACEMENT, "").replace(GONE, REPLACEMENT), lost) if lost * 10 <= len(text) else None
 
+    def cut(self, word: str, chain: str) -> bool:
+        """Whether undoing ``chain`` leaves an incomplete character at the end of ``word``."""
+        for step in reversed(chain.removesuffix(ALONE).split("+")):
+            encoding, _, read = step.partition(">")
+            raw = self.bytes_of(word, read) if "," not in read else None
+            if raw is None or encoding in self.table:
+                return False
+            decoder = codecs.getincrementaldecoder(encoding)("replace")
+            word = decoder.decode(raw)
+            if decoder.getstate()[0]:
+                return True
+        return False
+
     @staticmethod
     def valid(text: str, encoding: str, read: str) -> float:
         return VALID_UTF8 * min(3, sum(c > "\x7f" for c in text)) if encoding == "utf-8" and read in SINGLE else 0.0
@@ -244,8 +257,8 @@ class Model:
         self.uni, self.bi, self.tri = table[:UNI], table[UNI : UNI + BI], table[UNI + BI :]
         self.total = max(1.0, float(self.uni.sum()))
 
-    def score(self, words: list[str], own: float = 0.0) -> np.ndarray:
-        """``own``: what the word itself has added to the counts, and is taken from them."""
+    def score(self, words: list[str], own: float = 0.0, ended: bool = True) -> np.ndarray:
+        """``own``: what the word itself has added to the counts, and is taken from them. ``ended``: whether it counts that words end where they do."""
         if not words:
             return np.zeros(0)
         uni, bi, tri, starts = hashed(words)
@@ -257,12 +270,13 @@ class Model:
         three = (np.maximum(n3 - own, 0.0) + 2.0 * two) / (np.maximum(self.bi[pair_before], n3) + 2.0)
         logs = np.log(three)
         logs[starts[:-1]] = logs[starts[:-1] + 1] = 0.0  # the marks before a word are certain
+        if not ended:
+            logs[starts[1:] - 1] = 0.0
         return np.add.reduceat(logs, starts[:-1])
 
-
-    def best(self, words: list[str], own: float = 0.0) -> np.ndarray:
+    def best(self, words: list[str], own: float = 0.0, ended: bool = True) -> np.ndarray:
         """The score of a word, or of its lower-case form at a price: capitals are rarer, not stranger."""
-        parts = [np.maximum(self.score(p, own), self.score([w.lower() for w in p], own) - CAPITALS) for p in in_parts(words)]
+        parts = [np.maximum(self.score(p, own, ended), self.score([w.lower() for w in p], own, ended) - CAPITALS) for p in in_parts(words)]
         return np.concatenate(parts) if parts else np.zeros(0)
 
 
@@ -359,23 +373,36 @@ class Scorer:
             yield from map(self.evidence, texts[at:end])
             at = end
 
+    def maybe_cut(self, word: str) -> dict[str, tuple[float, str]]:
+        """The gains of a word that may go on: what speaks for a chain also if nothing is made of the word's end."""
+        known, out, w = self.known[word], {}, word.strip(REPLACEMENT)
+        ways = [x for x in undo().chains(w) if x[0] in known] if known else []
+        for (chain, text, bonus), score in zip(ways, self.model.best([t for _, t, _ in ways], ended=False), strict=True):
+            gain = min(known[chain][0], float(score - self.model.best([w], 1.0, False)[0]) + bonus)
+            if gain > LEAST and gain > out.get(chain, (0.0, ""))[0]:
+                out[chain] = (gain, text)
+        return out
+
     def evidence(self, text: str) -> tuple[dict[tuple[str, str], float], int]:
         """Evidence by (field, chain), and the characters lost within the text."""
         lines = list(words_by_line(text))
-        if lines and text.endswith(lines[-1][1][-1]) and sum(len(line) for _, line, _ in lines) > 1:
-            lines[-1][1].pop()  # the last word may have been cut, and is then like no other
+        end = lines[-1][0] if lines and text.endswith(lines[-1][1][-1]) and sum(len(line) for _, line, _ in lines) > 1 else None
         last = text.rstrip().count("\n")
         out: dict[tuple[str, str], float] = {}
         for i, line, others in lines:
             gains = [self.known[w] for w in line]
+            if i == end:
+                gains[-1] = self.maybe_cut(line[-1])
             if not any(gains):
                 continue
             field = "head" if i == 0 else "tail" if i >= last else "body"
             for chain in {c for g in gains for c in g}:
-                if chain.endswith(ALONE) and not (all(chain in g for g in gains) and others):
+                # cut within a character, the last word is like no other
+                read = gains[:-1] if i == end and undo().cut(line[-1], chain) else gains
+                if chain.endswith(ALONE) and not (all(chain in g for g in read) and others):
                     continue
                 best = run = 0.0
-                for g in gains:
+                for g in read:
                     run = max(0.0, run + (g[chain][0] if chain in g else -OTHER))
                     best = max(best, run)
                 if best > SWITCH:
