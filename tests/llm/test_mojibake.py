@@ -137,6 +137,15 @@ def test_the_last_word_counts_unless_it_is_cut_within_a_character():
     assert not mojibake.undo().cut("Ïðèâåò", "cp1251>cp1252") and not mojibake.undo().cut("â", "utf-8>latin-1, controls lost")
 
 
+def test_found_documents_are_repaired_however_many_chains_share_the_evidence(spark, monkeypatch):
+    rows = [(1, "body", f"cp125{k}>cp1252", 0.14 + k / 1000) for k in range(5)] + [(1, "head", "utf-8>cp1252", 0.9)] + [(2, "body", f"cp125{k}>cp1252", 0.14) for k in range(5)] + [(3, "body", "utf-8>cp1252", 0.4)]
+    post = spark.createDataFrame(rows, "doc_id bigint, field string, chain string, posterior double")
+    monkeypatch.setattr(mojibake, "posteriors", lambda scored, documents: post)
+    df = spark.createDataFrame([(i, "h", "größe", "", 0.0, 1) for i in (1, 2, 3)], DOCS)
+    got = {r["doc_id"]: r["chains"] for r in mojibake.repaired(df).collect()}
+    assert got[1] == ["utf-8>cp1252", "cp1254>cp1252"] and got[2] and set(got) == {1, 2}
+
+
 def test_a_worn_source_helps_its_weak_records(spark):
     chain = "cp1250>cp1252"
     scored = spark.createDataFrame([(i, "worn", "body", chain, 30.0) for i in range(30)] + [(100, "worn", "body", chain, 2.0), (101, "sound", "body", chain, 2.0)], mojibake.EVIDENCE)

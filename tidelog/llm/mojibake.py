@@ -517,10 +517,11 @@ def repaired(documents: DataFrame) -> DataFrame:
     """Found documents with their chains (most likely first) and the text restored as far as possible."""
     spark, table = documents.sparkSession, corpus_model(documents)
     post = posteriors(evidence(documents, table), documents)
-    by_doc = post.where("posterior > 0.2").groupBy("doc_id", "chain").agg(F.max("posterior").alias("p"))
-    found = post.groupBy("doc_id", "field").agg(F.sum("posterior").alias("p")).where("p > 0.5").select("doc_id").distinct()
-    chains = by_doc.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "chain")), False), lambda x: x["chain"]).alias("chains"))
+    parts = post.groupBy("doc_id", "field").agg(F.sum("posterior").alias("found"), F.max("posterior").alias("top"), F.collect_list(F.struct("posterior", "chain")).alias("ways"))
+    kept = parts.select("doc_id", "found", "top", F.explode("ways").alias("way")).where("way.posterior > 0.2 or (found > 0.5 and way.posterior = top)")  # the best of a found part, however many are like it
+    by_doc = kept.groupBy("doc_id", "way.chain").agg(F.max("way.posterior").alias("p"), F.max("found").alias("found"))
+    chains = F.transform(F.sort_array(F.collect_list(F.struct("p", "chain")), False), lambda x: x["chain"])
+    wanted = by_doc.groupBy("doc_id").agg(F.max("found").alias("found"), chains.alias("chains")).where("found > 0.5").drop("found")
     sent = spark.sparkContext.broadcast(table)
-    wanted = chains.join(found, "doc_id")
     rows = documents.select("doc_id", "text").where("text is not null").join(wanted, "doc_id").dropDuplicates(["doc_id"])
     return rows.mapInPandas(_repair(sent, name_of(sent)), "doc_id bigint, chains array<string>, repaired string")
