@@ -1,5 +1,7 @@
 """The command line, and the generated log with its known segments and survivors."""
 
+import runpy
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,6 +23,19 @@ def test_commands(spark, tmp_path):
         main(["nothing"], spark)
 
 
+def test_all_rows_are_printed(spark, tmp_path, monkeypatch, capsys):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    main(["generate", str(tmp_path), "demo", "1200", "70000"], spark)
+    monkeypatch.setattr("sys.argv", ["tidelog", "consume", str(tmp_path), "demo", "0"])
+    capsys.readouterr()
+    try:
+        runpy.run_module("tidelog", run_name="__main__")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    said = capsys.readouterr().out
+    assert "user1" in said and "\n1199\t" in said and said.count("\n") == 1201
+
+
 def test_generated_log_compacted(spark, tmp_path):
     main(["generate", str(tmp_path), "demo", "24", "700"], spark)
     from tidelog.__main__ import read

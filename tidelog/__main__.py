@@ -82,6 +82,14 @@ def main(args: list[str], spark: SparkSession | None = None) -> DataFrame | None
     return COMMANDS[args[0]](spark, *args[1:])
 
 
+def show(result: DataFrame) -> None:
+    """Prints all rows, a partition at a time, with tabs between the columns."""
+    marks = str.maketrans({"\n": "\\n", "\r": "\\r", "\t": "\\t"})
+    print(*result.columns, sep="\t")
+    for row in result.toLocalIterator():
+        print(*("NULL" if v is None else str(v).translate(marks) for v in row), sep="\t")
+
+
 if __name__ == "__main__":
     if (result := main(sys.argv[1:])) is not None:
-        result.show(1000, truncate=False)
+        show(result)
