@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,18 +41,95 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+_owned: set[str] = set()
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder that every executor reaches.
+    """A fresh folder that every executor reaches, for what one application needs; it is deleted when the application's JVM ends in order.
 
     It lies under ``spark.checkpoint.dir``. Where that is unset, a folder in /tmp serves local sessions only; on a
-    cluster the setting is required, as a machine's own folder is lost with the machine.
+    cluster the setting is required, as a machine's own folder is lost with the machine. What is to outlive the application
+    (a ledger, an index, a table of changes) gets a folder of the caller's.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         base = "file:///tmp/tidelog-shared"
-    return f"{base.rstrip('/')}/tidelog/{purpose}-{uuid.uuid4().hex}"
+    own = f"{base.rstrip('/')}/tidelog/{spark.sparkContext.applicationId}"
+    if own not in _owned:
+        fs, path = _file_system(spark, own)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _owned.add(own)
+    return f"{own}/{purpose}-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def listing(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, sorted; none where it doesn't exist."""
+    fs, at = _file_system(spark, folder)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, at = _file_system(spark, path)
+    stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, at = _file_system(spark, path)
+    stream = fs.create(at, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+
+
+def publish(spark: SparkSession, path: str, text: str) -> bool:
+    """Make the small file ``path`` with ``text``, whole or not at all, unless there is one: whether it was this call that made it.
+
+    The text is written aside and renamed without overwriting, so of several writers one wins and a reader never sees half a file.
+    """
+    folder, _, name = path.rpartition("/")
+    aside = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    write_text(spark, aside, text)
+    jvm, fs = spark._jvm, _file_system(spark, folder)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs[0].getUri(), spark._jsc.hadoopConfiguration())
+    never = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        context.rename(_file_system(spark, aside)[1], _file_system(spark, path)[1], never)
+    except Py4JJavaError as e:
+        fs[0].delete(_file_system(spark, aside)[1], False)
+        if "FileAlreadyExistsException" in str(e.java_exception):
+            return False
+        raise
+    return True
+
+
+class Manifest:
+    """Numbered versions of a small list in ``folder``: each is written whole, and the next number goes to one writer only."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+
+    def versions(self) -> list[int]:
+        return [int(n[1:]) for n in listing(self.spark, self.folder) if n[0] == "v" and n[1:].isdigit()]
+
+    def read(self, before: int | None = None) -> tuple[int, dict]:
+        """Number and content of the newest version (below ``before``); 0 and nothing where there is none."""
+        there = [v for v in self.versions() if before is None or v < before]
+        return (there[-1], json.loads(read_text(self.spark, f"{self.folder}/v{there[-1]:012d}"))) if there else (0, {})
+
+    def add(self, version: int, content: dict) -> bool:
+        """Make version ``version``; False where another writer was first."""
+        return publish(self.spark, f"{self.folder}/v{version:012d}", json.dumps(content))
 
 
 def materialize(df: DataFrame, purpose: str, *partition_by: str) -> DataFrame:
