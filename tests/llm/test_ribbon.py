@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidelog.llm import ribbon
 
@@ -36,7 +37,7 @@ def test_filter(n):
     assert slots <= n * ribbon.SLACK * 1.05 + 2 * ribbon.WIDTH + 1
 
 
-REC = "topic string, partition_id int, log_offset bigint, rec_key binary, digest_high bigint, hashed string, gen string"
+REC = "topic string, partition_id int, log_offset bigint, rec_key binary, digest_high bigint, hashed string, nth string"
 HIS = "pass_id bigint, topic string, partition_id int, digest_high bigint, digest_low bigint, newest_offset bigint"
 
 
@@ -46,9 +47,13 @@ def run(spark, records, history, **kwargs):
     return set(got)
 
 
-@pytest.mark.parametrize("generations", [1, 2, 6])
-def test_against_brute_force(spark, generations):
-    r = random.Random(generations)
+def told(spark, records, history, **kwargs):
+    return {r["generation"]: r for r in ribbon.rates(spark.createDataFrame(records, REC), spark.createDataFrame(history, HIS), "g", **kwargs).collect()}
+
+
+@pytest.mark.parametrize(("generation", "fan"), [(4_096, 16), (100, 16), (20, 2)])
+def test_against_brute_force(spark, generation, fan):
+    r = random.Random(generation)
     keys = [None, b"", b"hot", b"hot", b"x" * 5_000] + [str(i).encode() for i in range(80)]
     records = [("g", r.randint(0, 1), o, r.choice(keys), None, "x", "y") for o in range(600)]
     old = [r.choice(keys[1:]) for _ in range(40)]
@@ -63,7 +68,7 @@ def test_against_brute_force(spark, generations):
             met.add((p, k))
     mixed = records + records[:50] + [("else", 0, 1, b"hot", None, "", ""), ("g", 0, None, b"hot", None, "", "")]
     r.shuffle(mixed)
-    assert run(spark, mixed, history, generations=generations) == want
+    assert run(spark, mixed, history, generation=generation, fan=fan) == want
 
 
 def test_a_key_with_most_rows(spark):
@@ -76,10 +81,32 @@ def test_empty_tables(spark):
     assert run(spark, [("g", 0, 1, b"k", None, "", "")], []) == set()
 
 
+def test_the_filters_decide(spark, monkeypatch):
+    """Filters that hold everything make every first record seen, filters that hold nothing none of a later generation: no other path answers."""
+    records = [("g", 0, o, str(o % 50).encode(), None, "", "") for o in range(150)] + [("g", 0, 150 + o, f"new{o}".encode(), None, "", "") for o in range(50)]
+    history = [(1, "g", 0, fnv(b"new7", ribbon.HIGH_START), fnv(b"new7", ribbon.LOW_START), 1)]
+    right = {("g", 0, o) for o in range(50, 150)} | {("g", 0, 157)}
+    assert run(spark, records, history, generation=50, fan=2) == right
+    answer = ribbon.answered
+    monkeypatch.setattr(ribbon, "answered", lambda asking, filters: answer(asking, filters).withColumn("hit", F.lit(True)))
+    assert run(spark, records, history, generation=50, fan=2) == {("g", 0, o) for o in range(200)}
+    monkeypatch.setattr(ribbon, "answered", lambda asking, filters: answer(asking, filters).withColumn("hit", F.lit(False)))
+    assert run(spark, records, history, generation=50, fan=2) == set()
+
+
+def test_generations_and_who_asks_them(spark):
+    """Four generations of ten keys, the second a repeat of the first, in a tree of fan 2."""
+    records = [("g", 0, o, str(o % 10 if o < 20 else o).encode(), None, "", "") for o in range(40)]
+    got = told(spark, records, [(5, "g", 0, 1, 2, 3)], generation=10, fan=2)
+    assert {k: (r["n_keys"], r["n_asked"]) for k, r in got.items()} == {"log:0:0": (10, 10), "log:0:2": (10, 10), "log:1:0": (10, 20), "past:5": (1, 30)}
+    assert all(r["wrong_rate"] < 3 * 2.0**-ribbon.FINGERPRINT and r["wrong_expected"] <= r["n_asked"] * r["wrong_rate"] for r in got.values())
+
+
 def test_measured_rates(spark, data):
-    rates = ribbon.wrong_answers(spark.read.parquet(f"{data}/log_records.parquet"), spark.read.parquet(f"{data}/digest_history.parquet")).collect()
+    rates = ribbon.rates(spark.read.parquet(f"{data}/log_records.parquet"), spark.read.parquet(f"{data}/digest_history.parquet")).collect()
     assert sum(r["n_probes"] for r in rates) > 100_000
-    assert sum(r["n_wrong"] for r in rates) / sum(r["n_probes"] for r in rates) < 2 * 2.0**-ribbon.FINGERPRINT
+    rate = sum(r["n_agree"] for r in rates) / sum(r["n_probes"] for r in rates)
+    assert 0.5 < rate * 2**ribbon.AUDIT_BITS < 2 and sum(r["wrong_expected"] for r in rates) < 1e-3
 
 
 def test_query_equals_sql(compare):

@@ -1,17 +1,22 @@
 """Has this key been seen before? Ribbon filters over sealed generations, with a measured rate of wrong answers.
 
-A *generation* is a sealed batch of keys: one pass of the history, or one span of offsets of a log partition. For every generation and hash
-shard a Ribbon filter is built: each key gives one linear equation over GF(2), whose coefficients lie in a band of 64 bits from a hashed start, and
-whose right side is the key's fingerprint. The banded system is solved by elimination as keys come and back substitution at the end; the solution
-holds ``FINGERPRINT`` bits a slot and about 1.12 slots a key, and no key. A probe adds up the slots that the equation of the key names: a key of the
-generation always gives its fingerprint, another one with chance 2**-FINGERPRINT.
+A *generation* is a sealed batch of keys: one pass of the history, or ``GENERATION_OFFSETS`` successive offsets of the log partitions. For
+every generation and hash shard a Ribbon filter is built: each key gives one linear equation over GF(2), whose coefficients lie in a band of 64 bits
+from a hashed start, and whose right side is the key's fingerprint. The banded system is solved by elimination as keys come and back
+substitution at the end; the solution holds ``FINGERPRINT`` bits a slot and about 1.12 slots a key, and no key. A probe adds up the slots that the
+equation of the key names: a key of the generation always gives its fingerprint, another one with chance 2**-FINGERPRINT.
 
-Each incoming key probes the generations before its own; within its own, still open, generation the first offset of a key is kept exactly. Every filter
-is audited with keys that are certainly absent (not among the keys it is built from), which measures the rate of wrong answers. Positive
-answers may then be verified against the digests kept elsewhere.
+Only within its own, still open, generation is a key compared with others: the records of at most ``GENERATION_OFFSETS`` offsets of a partition. The
+first record of a key there then asks the filters, and their answer stands. The log's generations form a tree: ``FAN`` successive ones are sealed once more as one of
+the next level, of the keys that no filter below had. A key asks the earlier siblings of its generation at each level, so for n generations fewer than FAN filters on each of log(n) levels,
+and what a lower level has found isn't asked or stored above it. At last it asks the passes of the history.
 
-Scale: keys are combined before every shuffle, so a hot key is one row per task and generation; shards follow from the number of keys; filters meet
-keys by shard, so neither is broadcast, and a shard holds about ``SHARD_KEYS`` keys over all generations. Filters are written to the shared folder.
+Audit: every filter is asked for ``AUDIT`` keys that are certainly absent. As a whole fingerprint hardly ever agrees by chance, it is counted how often
+the first ``AUDIT_BITS`` bits of it do; the rate of wrong answers is that rate times 2**(AUDIT_BITS - FINGERPRINT). A key that no generation holds is answered wrongly at the sum of
+the rates of the filters it asks (and where two names of keys have the same 64-bit hash, with a chance of keys / 2**64). There are no wrong answers the other way.
+
+Scale: hot keys are cut by generation before anything is compared, so one that holds a third of all rows costs a task at most GENERATION_OFFSETS rows; shards follow from the number of keys, so that one
+holds about ``SHARD_KEYS`` keys on any level; filters meet keys by (part of the tree, shard), so neither is broadcast. What is written to the shared folder are 64-bit hashes of the keys that are still asked about, and filters.
 
 Nulls and odd input: a null key is no key and never seen, an empty key is one; a record without partition or offset isn't in the log; digests are always taken from the key itself, as those in
 the records may be absent; rows written twice are one record; empty tables give empty filters and an empty result.
@@ -23,16 +28,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.common import HOT_KEYS, shared_dir, ship
+from tidelog.common import materialize, shared_dir, ship
 
-WIDTH, FINGERPRINT, SLACK = 64, 12, 1.12
-SHARD_KEYS, GENERATIONS, AUDIT = 262_144, 4, 4_096
+WIDTH, FINGERPRINT, SLACK = 64, 32, 1.12
+SHARD_KEYS, GENERATION_OFFSETS, FAN = 262_144, 4_096, 16
+AUDIT, AUDIT_BITS = 4_096, 8
 # Fixed values of the digest: the FNV-1a prime and the two starting values.
 FNV_PRIME, HIGH_START, LOW_START = 0x100000001B3, 0xCBF29CE484222325, 0x9E3779B97F4A7C15
-FILTER = "shard int, generation string, n_keys bigint, seed int, slots int, solution binary, n_probes int, n_wrong int"
+FILTER = "span bigint, shard int, child bigint, n_keys bigint, seed int, slots int, solution binary, n_probes int, n_agree int"
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # fixed: the multipliers of the splitmix64 finalizer
 
 
@@ -81,7 +88,7 @@ def mix(x: np.ndarray, seed: int) -> np.ndarray:
 def equations(keys: np.ndarray, seed: int, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, coefficients (the lowest is always 1) and fingerprint of each key."""
     start = (mix(keys, 3 * seed) % np.uint64(slots - WIDTH + 1)).astype(np.int64)
-    return start, mix(keys, 3 * seed + 1) | np.uint64(1), (mix(keys, 3 * seed + 2) >> np.uint64(64 - FINGERPRINT)).astype(np.uint16)
+    return start, mix(keys, 3 * seed + 1) | np.uint64(1), (mix(keys, 3 * seed + 2) >> np.uint64(64 - FINGERPRINT)).astype(np.uint32)
 
 
 def _eliminate(start: np.ndarray, coefficients: np.ndarray, prints: np.ndarray, slots: int) -> tuple[list[int], list[int]] | None:
@@ -113,7 +120,7 @@ def solve(keys: np.ndarray) -> tuple[int, int, np.ndarray]:
         slots += slots // 50 + 1
     else:
         raise RuntimeError("no seed solves the system")
-    solution, lanes = np.zeros(slots, np.uint16), np.arange(FINGERPRINT, dtype=np.uint64)
+    solution, lanes = np.zeros(slots, np.uint32), np.arange(FINGERPRINT, dtype=np.uint64)
     state, one = np.zeros(FINGERPRINT, np.uint64), np.uint64(1)  # per bit of the fingerprint: the next WIDTH slots
     right = (np.array(system[1], np.uint64)[:, None] >> lanes) & one
     rows, weights = np.array(system[0], np.uint64), (1 << np.arange(FINGERPRINT)).astype(np.uint64)
@@ -126,130 +133,146 @@ def solve(keys: np.ndarray) -> tuple[int, int, np.ndarray]:
     return seed, slots, solution
 
 
-def probe(keys: np.ndarray, seed: int, slots: int, solution: np.ndarray) -> np.ndarray:
-    """Whether the filter says that it holds each key."""
+def sums(keys: np.ndarray, seed: int, slots: int, solution: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the slots of each key add up to, and its fingerprint."""
     start, coefficients, prints = equations(keys, seed, slots)
-    got = np.zeros(len(keys), np.uint16)
+    got = np.zeros(len(keys), np.uint32)
     for k in range(WIDTH):
-        got ^= solution[start + k] * ((coefficients >> np.uint64(k)) & np.uint64(1)).astype(np.uint16)
+        got ^= solution[start + k] * ((coefficients >> np.uint64(k)) & np.uint64(1)).astype(np.uint32)
+    return got, prints
+
+
+def probe(keys: np.ndarray, seed: int, slots: int, solution: np.ndarray) -> np.ndarray:
+    """Whether the filter says that it holds each key."""
+    got, prints = sums(keys, seed, slots, solution)
     return got == prints
 
 
 def _build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    shard, generation = key
+    span, shard, child = key
     keys = np.unique(rows["hashed"].to_numpy("int64"))
     seed, slots, solution = solve(keys)
-    absent = mix(np.arange(AUDIT, dtype=np.uint64) + np.uint64(int(shard) << 20), 77).view(np.int64)
+    absent = mix(np.arange(AUDIT, dtype=np.uint64) + np.uint64(int(shard) << 20), 77 + int(child)).view(np.int64)
     absent = absent[~np.isin(absent, keys)]
-    wrong = int(probe(absent, seed, slots, solution).sum())
-    return pd.DataFrame([(shard, generation, len(keys), seed, slots, solution.tobytes(), len(absent), wrong)], columns=[c.split()[0] for c in FILTER.split(", ")])
+    got, prints = sums(absent, seed, slots, solution)
+    agree = int(((got ^ prints) >> np.uint32(FINGERPRINT - AUDIT_BITS) == 0).sum())
+    return pd.DataFrame([(span, shard, child, len(keys), seed, slots, solution.tobytes(), len(absent), agree)], columns=[c.split()[0] for c in FILTER.split(", ")])
 
 
 def build_filters(keys: DataFrame) -> DataFrame:
-    """One filter per shard and generation of ``keys`` (shard, generation, hashed), kept in the shared folder."""
+    """One filter per span, shard and child (the generation within its span) of ``keys`` (span, shard, child, hashed), kept in the shared folder."""
     ship(spark := keys.sparkSession)
     path = shared_dir(spark, "ribbon")
-    keys.groupBy("shard", "generation").applyInPandas(_build, FILTER).write.parquet(path)
+    keys.groupBy("span", "shard", "child").applyInPandas(_build, FILTER).write.parquet(path)
     return spark.read.schema(FILTER).parquet(path)
 
 
-def _probe_shard(key: tuple, arrivals: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-    hashed, own = arrivals["hashed"].to_numpy("int64"), arrivals["gen"].to_numpy("int64")
-    past, earlier = np.zeros(len(arrivals), bool), np.zeros(len(arrivals), bool)
+def _ask(key: tuple, asking: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
+    """``hit``: whether a filter of an earlier child of the same span and shard has the key."""
+    hashed, own, hit = asking["hashed"].to_numpy("int64"), asking["child"].to_numpy("int64"), np.zeros(len(asking), bool)
     for f in filters.itertuples():
-        solution = np.frombuffer(f.solution, np.uint16)
-        kind, _, number = f.generation.partition(":")
-        if kind == "past":
-            ask = np.nonzero(~past)[0]
-            past[ask] = probe(hashed[ask], f.seed, f.slots, solution)
-        else:
-            ask = np.nonzero((own > int(number)) & ~earlier)[0]
-            earlier[ask] = probe(hashed[ask], f.seed, f.slots, solution)
-    return arrivals.assign(past_hit=past, log_hit=earlier)
-
-
-def arrivals_of(records: DataFrame, topic: str, generations: int = GENERATIONS) -> tuple[DataFrame, DataFrame]:
-    """The keyed records of ``topic`` with their generation, and one row per generation and key: first offset and count."""
-    keyed = records.where(F.col("topic") == topic).select("topic", "partition_id", "log_offset", "rec_key").dropna()
-    bounds = keyed.groupBy("topic", "partition_id").agg(F.min("log_offset").alias("lo"), F.max("log_offset").alias("hi"))
-    share = (F.col("log_offset") - F.col("lo")) * generations / (F.col("hi") - F.col("lo") + 1)
-    cut = keyed.join(bounds, ["topic", "partition_id"]).withColumn("gen", F.floor(share).cast("int")).drop("lo", "hi")
-    first = cut.groupBy("topic", "partition_id", "rec_key", "gen").agg(F.min("log_offset").alias("first_offset"), F.count(F.lit(1)).alias("n"))
-    return cut, first
-
+        ask = np.nonzero((own > f.child) & ~hit)[0]
+        hit[ask] = probe(hashed[ask], f.seed, f.slots, np.frombuffer(f.solution, np.uint32))
+    return asking.assign(hit=hit)
 
-def _hashed(df: DataFrame, shards: int) -> DataFrame:
-    return df.withColumn("hashed", F.xxhash64("topic", "partition_id", "high", "low")).withColumn("shard", F.pmod(F.xxhash64("hashed", F.lit("shard")), F.lit(shards)).cast("int"))
 
-
-def prepared(records: DataFrame, history: DataFrame, topic: str, generations: int = GENERATIONS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Records with generation, arrivals with hash and shard, history, and the filters over all generations."""
-    spark = records.sparkSession
-    cut, first = arrivals_of(records, topic, generations)
-    past = history.where((F.col("topic") == topic) & F.col("digest_high").isNotNull() & F.col("digest_low").isNotNull())
-    n = records.where((F.col("topic") == topic) & F.col("rec_key").isNotNull()).count() + past.count()
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // SHARD_KEYS))
-    path = shared_dir(spark, "arrivals")
-    _hashed(with_digest(first), shards).write.parquet(path)
-    arrivals = spark.read.parquet(path)
-    old = past.select("topic", "partition_id", "pass_id", F.col("digest_high").alias("high"), F.col("digest_low").alias("low"))
-    sealed = arrivals.where(F.col("gen") < generations - 1)  # the last generation is open: nothing comes after it
-    keys = _hashed(old, shards).select("shard", F.concat(F.lit("past:"), "pass_id").alias("generation"), "hashed").unionByName(
-        sealed.select("shard", F.concat(F.lit("log:"), "gen").alias("generation"), "hashed")
-    )
-    return cut, arrivals, old, build_filters(keys)
-
-
-def answered(arrivals: DataFrame, filters: DataFrame) -> DataFrame:
-    """Arrivals with ``past_hit`` and ``log_hit``: whether a filter of the history, or of an earlier generation of the log, has the key."""
-    ship(arrivals.sparkSession)
-    schema = T.StructType([*arrivals.schema.fields, T.StructField("past_hit", T.BooleanType()), T.StructField("log_hit", T.BooleanType())])
+def answered(asking: DataFrame, filters: DataFrame) -> DataFrame:
+    """``asking`` (with span, shard, child, hashed) with ``hit``, the answer of the filters."""
+    ship(asking.sparkSession)
+    schema = T.StructType([*asking.schema.fields, T.StructField("hit", T.BooleanType())])
     columns = [f.name for f in schema.fields]
 
     def ask(key, a, f):
         from tidelog.llm import ribbon
 
-        return ribbon._probe_shard(key, a, f)[columns]
+        return ribbon._ask(key, a, f)[columns]
 
-    return arrivals.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(ask, schema)
+    return asking.groupBy("span", "shard").cogroup(filters.groupBy("span", "shard")).applyInPandas(ask, schema)
 
 
-def verified(answers: DataFrame, old: DataFrame) -> DataFrame:
-    """The positive answers with ``confirmed``: whether the digest, or an earlier first offset of the same key, is really there."""
-    from pyspark.sql import Window as W
+def arrivals_of(records: DataFrame, topic: str, generation: int = GENERATION_OFFSETS) -> DataFrame:
+    """The keyed records of ``topic``: ``block``, the generation, and ``nth``, 1 for the first record of its key in the partition and generation."""
+    keyed = records.where(F.col("topic") == topic).select("topic", "partition_id", "log_offset", "rec_key").dropna()
+    spot = ["topic", "partition_id", "block", "rec_key"]
+    cut = keyed.withColumn("block", F.floor(F.col("log_offset") / generation)).repartition(*spot).dropDuplicates([*spot, "log_offset"])
+    return cut.withColumn("nth", F.row_number().over(W.partitionBy(*spot).orderBy("log_offset")))
 
-    key = ["topic", "partition_id", "high", "low"]
-    known = old.select(*key).distinct().withColumn("in_past", F.lit(True))
-    before = F.lag("gen").over(W.partitionBy("topic", "partition_id", "rec_key").orderBy("gen"))  # at most one row per generation
-    positive = answers.withColumn("in_log", F.col("log_hit") & before.isNotNull()).where("past_hit or log_hit")
-    return positive.join(known, key, "left").withColumn("in_past", F.col("past_hit") & F.coalesce("in_past", F.lit(False))).withColumn("confirmed", F.col("in_past") | F.col("in_log"))
 
+def _hashed(df: DataFrame) -> DataFrame:
+    return df.withColumn("hashed", F.xxhash64("topic", "partition_id", "high", "low"))
 
-def seen_before(records: DataFrame, history: DataFrame, topic: str = "gate-tokens", generations: int = GENERATIONS) -> DataFrame:
-    """Names of the keyed records of ``topic`` whose key was met before in their partition or is in its history."""
-    cut, arrivals, old, filters = prepared(records, history, topic, generations)
+
+def _placed(df: DataFrame, level: int, fan: int, shards: int) -> DataFrame:
+    child = F.floor(F.col("block") / fan**level)
+    return df.withColumns({"span": F.floor(child / fan), "child": child, "shard": F.pmod(F.xxhash64("hashed", F.lit("shard")), F.lit(shards)).cast("int")})
+
+
+def history_filters(history: DataFrame, topic: str) -> tuple[DataFrame, int]:
+    """The filters of the passes of the history of ``topic``, and in how many shards."""
+    spark = history.sparkSession
+    past = history.where((F.col("topic") == topic) & F.col("digest_high").isNotNull() & F.col("digest_low").isNotNull())
+    old = _hashed(past.select("topic", "partition_id", "pass_id", F.col("digest_high").alias("high"), F.col("digest_low").alias("low")))
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-old.count() // SHARD_KEYS))
+    # passes precede all of the log: their children have negative numbers
+    placed = _placed(old.withColumn("block", F.lit(0)), 0, FAN, shards).withColumn("child", F.col("pass_id") - (1 << 62))
+    return build_filters(placed.select("span", "shard", "child", "hashed")), shards
+
+
+def answers(records: DataFrame, history: DataFrame, topic: str = "gate-tokens", generation: int = GENERATION_OFFSETS, fan: int = FAN) -> tuple[DataFrame, list[tuple[str, DataFrame, DataFrame]]]:
+    """(topic, partition_id, log_offset) of the records whose key was seen before, and the generations asked: kind, filters and who asked."""
+    spark = records.sparkSession
     name = ["topic", "partition_id", "log_offset"]
-    firsts = verified(answered(arrivals, filters), old).where("confirmed").select("topic", "partition_id", F.col("first_offset").alias("log_offset"))
-    # within an open generation: everything after the first offset of the key. A key with over 1/HOT_KEYS of the repeated rows is one of
-    # fewer than HOT_KEYS and joined by broadcast
-    spot = ["topic", "partition_id", "rec_key", "gen"]
-    repeated = arrivals.where("n > 1").select(*spot, "first_offset", "n")
-    total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = F.col("n") > max(1_000, total // HOT_KEYS)
-    tried = cut.join(F.broadcast(repeated.where(hot).select(*spot, F.col("first_offset").alias("hot_first"))), spot, "left")
-    later = tried.where(F.col("log_offset") > F.col("hot_first")).select(*name).unionByName(
-        tried.where("hot_first is null").join(repeated.where(~hot).drop("n"), spot).where("log_offset > first_offset").select(*name)
-    )
-    return firsts.unionByName(later.distinct())
-
-
-def wrong_answers(records: DataFrame, history: DataFrame, topic: str = "gate-tokens", generations: int = GENERATIONS) -> DataFrame:
-    """Per generation: keys, bits a key, and how many of the certainly absent keys its filters claimed to hold."""
-    *_, filters = prepared(records, history, topic, generations)
-    return filters.groupBy("generation").agg(
-        F.sum("n_keys").alias("n_keys"),
-        (F.sum("slots") * FINGERPRINT / F.sum("n_keys")).alias("bits_per_key"),
-        F.sum("n_probes").alias("n_probes"),
-        F.sum("n_wrong").alias("n_wrong"),
-        (F.sum("n_wrong") / F.sum("n_probes")).alias("wrong_rate"),
-    )
+    arrivals = materialize(_hashed(with_digest(arrivals_of(records, topic, generation))).select(*name, "block", "nth", "hashed"), "arrivals")
+    seen, asked = [arrivals.where("nth > 1").select(*name)], []
+    asking = arrivals.where("nth = 1").select(*name, "block", "hashed")
+    n, lo, hi = asking.agg(F.count(F.lit(1)), F.min("block"), F.max("block")).first()
+    newest = asking.groupBy("topic", "partition_id").agg(F.max("block").alias("newest"))  # a row per partition
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    level = 0
+    while n and lo // fan**level < hi // fan**level:
+        spans = hi // fan ** (level + 1) - lo // fan ** (level + 1) + 1
+        asking = _placed(asking, level, fan, max(1, -(-least // spans), -(-n // (spans * SHARD_KEYS))))
+        # sealed: not the last generation of its partition, which is open. The last of a span has no later sibling that could ask it
+        later = (F.col("child") < F.floor(F.col("newest") / fan**level)) & (F.col("child") % fan != fan - 1)
+        sealed = asking.join(F.broadcast(newest), ["topic", "partition_id"]).where(later)
+        filters = build_filters(sealed.select("span", "shard", "child", "hashed"))
+        told = materialize(answered(asking, filters), f"answers{level}")
+        asked.append((f"log:{level}", filters, asking))
+        seen.append(told.where("hit").select(*name))
+        asking = told.where("not hit").select(*name, "block", "hashed")
+        level += 1
+    filters, shards = history_filters(history, topic)
+    asking = _placed(asking.withColumn("block", F.lit(0)), 0, fan, shards)
+    asked.append(("past", filters, asking))
+    seen.append(answered(asking, filters).where("hit").select(*name))
+    out = seen[0]
+    for s in seen[1:]:
+        out = out.unionByName(s)
+    return out, asked
+
+
+def seen_before(records: DataFrame, history: DataFrame, topic: str = "gate-tokens", **how: int) -> DataFrame:
+    """Names of the keyed records of ``topic`` whose key was met before in their partition or is in its history."""
+    return answers(records, history, topic, **how)[0]
+
+
+def rates(records: DataFrame, history: DataFrame, topic: str = "gate-tokens", **how: int) -> DataFrame:
+    """Per generation: keys, bits a key, the audit with certainly absent keys, and the rate of wrong answers that follows.
+
+    ``generation`` is ``past:<pass_id>`` or ``log:<level>:<number>``. ``n_asked`` keys asked it to give the answers of ``seen_before``, and ``wrong_expected`` of those that it doesn't hold
+    are expected to have been answered wrongly.
+    """
+    _, asked = answers(records, history, topic, **how)
+    out = None
+    for kind, filters, asking in asked:
+        child = F.col("child") + (1 << 62) if kind == "past" else F.col("child")
+        size = filters.groupBy("span", "child").agg(*[F.sum(c).alias(c) for c in ("n_keys", "slots", "n_probes", "n_agree")])
+        askers = asking.groupBy("span", F.col("child").alias("by")).agg(F.count(F.lit(1)).alias("n"))  # a row per generation
+        n = size.select("span", "child").join(askers, "span").where("by > child").groupBy("span", "child").agg(F.sum("n").alias("n_asked"))
+        rate = F.col("n_agree") / F.col("n_probes") / 2.0 ** (FINGERPRINT - AUDIT_BITS)
+        part = size.join(n, ["span", "child"], "left").select(
+            F.concat_ws(":", F.lit(kind), child).alias("generation"), "n_keys", (F.col("slots") * FINGERPRINT / F.col("n_keys")).alias("bits_per_key"), "n_probes", "n_agree",
+            rate.alias("wrong_rate"), F.coalesce("n_asked", F.lit(0)).alias("n_asked"), (F.coalesce("n_asked", F.lit(0)) * rate).alias("wrong_expected"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
