@@ -167,69 +167,107 @@ def test_positions_and_work(spark):
     assert ledger.unprocessed(commits, log.limit(0)).count() == ledger.unprocessed(commits.limit(0), log).count() == 0
 
 
+def offsets_log(spark, n=40):
+    return spark.range(n).select(F.lit("t").alias("topic"), F.lit(0).alias("partition_id"), F.col("id").alias("log_offset"))
+
+
 def test_leases_expire_and_stale_tokens_are_refused(spark):
-    log = spark.range(40).select(F.lit("t").alias("topic"), F.lit(0).alias("partition_id"), F.col("id").alias("log_offset"))
-    items = ledger.plan_items(spark.createDataFrame([(1, "g", "t", 0, 5)], COM), log, 16)
-    assert sorted((r["block"], r["from_offset"]) for r in items.collect()) == [(0, 5), (1, 16), (2, 32)]
-    book = ledger.Ledger(spark)
-    first = book.save(ledger.lease(book.save(items), "one", 0, 100, F.col("block") < 2))
+    book = ledger.Ledger(spark, item=16)
+    items = book.extend(spark.createDataFrame([(1, "g", "t", 0, 5)], COM), offsets_log(spark))
+    assert sorted((r["block"], r["from_offset"], r["to_offset"]) for r in items.collect()) == [(0, 5, 15), (1, 16, 31), (2, 32, 39)]
+    first = book.change(lambda s, _: ledger.lease(s, "one", 0, 100, F.col("block") < 2))
     assert {(r["block"], r["state"], r["token"]) for r in first.collect()} == {(0, "leased", 1), (1, "leased", 1), (2, "pending", 0)}
     assert ledger.expire(first, 99).where("state = 'leased'").count() == 2
     # the worker is lost: its leases run out, and another takes all
-    second = book.save(ledger.lease(ledger.expire(first, 100), "two", 100, 100))
+    second = book.change(lambda s, _: ledger.lease(ledger.expire(s, 100), "two", 100, 100))
     assert {(r["block"], r["worker"], r["token"]) for r in second.collect()} == {(0, "two", 2), (1, "two", 2), (2, "two", 1)}
-    # the lost worker comes back with its old token and changes nothing
+    # the lost worker comes back with its old token and changes nothing, nor does one whose own lease has run out
     late = ledger.complete(second, first.where("state = 'leased'"), 110)
     assert late.where("state = 'done'").count() == 0 and late.count() == 3
-    done = book.save(ledger.complete(second, second.unionByName(first.where("state = 'leased'")), 120))
+    assert ledger.complete(second, second, 200).where("state = 'done'").count() == 0
+    done = book.change(lambda s, _: ledger.complete(s, second.unionByName(first.where("state = 'leased'")), 120))
     assert done.where("state = 'done'").count() == 3 and done.count() == 3
-    # what is done isn't leased again
+    # what is done isn't leased again, and a later process finds the ledger by its folder alone
     assert ledger.lease(ledger.expire(done, 10**9), "three", 10**9, 100).where("worker = 'three'").count() == 0
-    # a later process finds the ledger by its folder and version
-    again = ledger.Ledger(spark, book.base)
-    again.version = book.version
-    assert again.load().where("state = 'done'").count() == 3
-
-
-def test_a_crash_at_any_step_neither_skips_nor_repeats(spark):
-    log = spark.range(40).select(F.lit("t").alias("topic"), F.lit(0).alias("partition_id"), F.col("id").alias("log_offset"))
-    commits = spark.createDataFrame([(1, "g", "t", 0, 5)], COM)
-    want = list(range(5, 40))
-
-    def reopened(book):
-        again = ledger.Ledger(spark, book.base)
-        again.version = book.version
-        return again
-
-    offsets = lambda book: sorted(r["log_offset"] for r in book.results().collect())
-    book = ledger.Ledger(spark)
-    book.save(ledger.plan_items(commits, log))
-    held = book.take("one", 0, 100)
-    book.process(held, log)  # ... and the worker dies before it can say so
-    book = reopened(book)
-    assert offsets(book) == []
-    held = book.take("one", 50, 100)  # it comes back in time and goes on with its lease
-    book.process(held, log)
-    book.process(held, log)
-    stale = book.take("one", 60, 100)
-    book = reopened(book)
-    other = book.take("two", 200, 100)  # too late this time: another has the items now
-    book.process(other, log)
-    book.finish(stale, 210)  # refused
-    assert offsets(book) == []
-    book.finish(other, 220)
-    assert offsets(book) == want
-    assert book.take("three", 10_000, 100).count() == 0
-    assert sorted(r["log_offset"] for r in book.run(log, "four", 10**6).collect()) == want
-
-
-def test_a_run_gives_each_record_once(spark):
-    log = spark.range(40).select(F.lit("t").alias("topic"), F.lit(0).alias("partition_id"), F.col("id").alias("log_offset"))
-    book = ledger.Ledger(spark)
-    book.save(ledger.plan_items(spark.createDataFrame([(1, "g", "t", 0, 5)], COM), log, 16))
-    # items of another size than the default still meet their records
-    held = ledger.rows_of(book.load(), log, 16)
-    assert sorted(r["log_offset"] for r in held.collect()) == list(range(5, 40))
+    assert ledger.Ledger(spark, book.base).load().where("state = 'done'").count() == 3
+
+
+def test_of_two_writers_one_gives_way(spark):
+    """Another takes its step between reading and publishing: the slower one takes its own again, on the state of the faster."""
+    book, other = (ledger.Ledger(spark, base, 16) for base in [ledger.Ledger(spark).base] * 2)
+    book.extend(spark.createDataFrame([(1, "g", "t", 0, 0)], COM), offsets_log(spark))
+    tried = []
+
+    def slow(state, n):
+        if not tried:
+            other.change(lambda s, _: ledger.lease(s, "fast", 0, 100, F.col("block") == 0))
+        tried.append(n)
+        return ledger.lease(state, "slow", 0, 100)
+
+    got = {r["block"]: r["worker"] for r in book.change(slow).collect()}
+    assert tried == [2, 3] and got == {0: "fast", 1: "slow", 2: "slow"}
+
+
+@pytest.mark.parametrize("dies_after", ["extend", "take", "process", "finish"])
+def test_a_crash_between_any_two_steps_neither_skips_nor_repeats(spark, dies_after):
+    """The process is lost after a step; another knows the folder only. Then the log grows, and a second run gives just what is new."""
+    commits = spark.createDataFrame([(1, "g", "t", 0, 5), (2, "h", "t", 0, None)], COM)
+    log, base = offsets_log(spark, 40), ledger.Ledger(spark).base
+    book = ledger.Ledger(spark, base, 16)
+    book.extend(commits, log)
+    if dies_after != "extend":
+        held = book.take("one", 0, 100)
+        if dies_after != "take":
+            book.process(held, log)
+        if dies_after == "finish":
+            book.finish(held, 50)
+    del book
+    names = lambda df: sorted((r["group_id"], r["log_offset"]) for r in df.collect())
+    want = [("g", o) for o in range(5, 40)] + [("h", o) for o in range(40)]
+    ledger.Ledger(spark, base, 16).run(commits, log, "two", 200)  # leases of the lost one have run out
+    assert names(ledger.Ledger(spark, base, 16).results()) == want
+    assert ledger.Ledger(spark, base, 16).run(commits, log, "three", 300).count() == 0
+    more = ledger.Ledger(spark, base, 16).run(commits, offsets_log(spark, 55), "four", 400)
+    assert names(more) == [(g, o) for g in "gh" for o in range(40, 55)]
+    assert names(ledger.Ledger(spark, base, 16).results()) == sorted(want + names(more))
+    assert {r["group_id"]: r["next_offset"] for r in ledger.Ledger(spark, base).positions().collect()} == {"g": 55, "h": 55}
+
+
+def test_a_restart_within_the_lease_and_a_stale_worker(spark):
+    log, commits = offsets_log(spark), spark.createDataFrame([(1, "g", "t", 0, 5)], COM)
+    offsets = lambda b: sorted(r["log_offset"] for r in b.results().collect())
+    base = ledger.Ledger(spark).base
+    book = lambda: ledger.Ledger(spark, base)
+    book().extend(commits, log)
+    held = book().take("one", 0, 100)
+    book().process(held, log)  # ... and the worker dies before it can say so
+    assert offsets(book()) == []
+    stale = book().take("one", 50, 100)  # it comes back in time and goes on with its lease
+    assert stale.select("token", "path").distinct().collect() == held.select("token", "path").distinct().collect()
+    book().process(stale, log)
+    other = book().take("two", 200, 100)  # it is too slow: another has the items now
+    book().process(other, log)
+    book().process(stale, log)  # writes where nobody reads
+    book().finish(stale, 210)  # refused
+    assert offsets(book()) == [] and book().positions().first()["next_offset"] == 5
+    book().finish(other, 220)
+    assert offsets(book()) == list(range(5, 40)) and book().positions().first()["next_offset"] == 40
+
+
+def test_several_leases_at_once(spark):
+    log, commits = offsets_log(spark, 400), spark.createDataFrame([(1, "g", "t", 0, 0)], COM)
+    book = ledger.Ledger(spark, item=16)
+    book.extend(commits, log)
+    held = [book.take(f"w{k}", 0, 100, ledger.share(k, 3)) for k in range(3)]
+    assert sum(h.count() for h in held) == 25 and all(h.count() for h in held)
+    for h in held[:2]:
+        book.process(h, log)
+        book.finish(h, 10)
+    assert book.results().count() == 400 - held[2].agg(F.sum(F.col("to_offset") - F.col("from_offset") + 1)).first()[0]
+    assert book.positions().first()["next_offset"] == held[2].agg(F.min("from_offset")).first()[0]
+    book.process(held[2], log)
+    book.finish(held[2], 20)
+    assert sorted(r["log_offset"] for r in book.results().collect()) == list(range(400))
 
 
 def test_empty_tables(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.common import materialize, table
-from tidelog.operators import chunking, dedup, kslack, ledger, lsm
+from tidelog.operators import chunking, dedup, kslack, ledger, log, lsm
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +65,19 @@ def p6_ledger(spark: SparkSession, d: str) -> DataFrame:
     return items.groupBy("group_id", "topic", "partition_id").agg(F.count(F.lit(1)).alias("n_items"), F.min("from_offset").alias("from_offset"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p3_found, p3_kept, p4_found, p4_keys, p5_found, p5_rows, p6_found, p6_ledger)}
+def p6_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Three runs over one ledger, opened anew each time, of a log that grows in between (first its lower half, then all) and then doesn't: what each had to process."""
+    commits, records = table(spark, d, "commits"), table(spark, d, "log_records")
+    cuts = log.bounds(table(spark, d, "segments")).select(*log.TP, F.floor((F.col("log_start") + F.col("log_end")) / 2).alias("cut"))  # a row per partition
+    half = records.join(F.broadcast(cuts), log.TP).where("log_offset < cut").drop("cut")
+    base = ledger.Ledger(spark).base
+    runs = [ledger.Ledger(spark, base).run(commits, r, f"worker{k}", k).withColumn("run", F.lit(k)) for k, r in enumerate((half, records, records))]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2]).groupBy("run", *ledger.GTP).agg(
+        F.count(F.lit(1)).alias("n_records"), F.min("log_offset").alias("first_offset"), F.max("log_offset").alias("last_offset")
+    )
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p3_found, p3_kept, p4_found, p4_keys, p5_found, p5_rows, p6_found, p6_ledger, p6_runs)}
 
 _TIMED = """
 rec AS (SELECT DISTINCT topic, partition_id, log_offset, batch_base, timestamp_delta, size_bytes FROM log_records),
@@ -151,4 +163,9 @@ FROM o GROUP BY topic, rec_key""",
 JOIN log_records r ON r.topic = s.topic AND r.partition_id = s.partition_id AND r.log_offset >= s.from_offset""",
     "p6_ledger": f"""WITH {_SPANS} SELECT group_id, topic, partition_id, (hi // 16384 - from_offset // 16384 + 1)::BIGINT AS n_items, from_offset
 FROM spans WHERE from_offset <= hi""",
+    "p6_runs": f"""WITH {_SPANS},
+cuts AS (SELECT topic, partition_id, (min(base_offset) + max(next_offset)) // 2 AS cut FROM segments GROUP BY ALL)
+SELECT CASE WHEN log_offset < cut THEN 0 ELSE 1 END AS run, group_id, topic, partition_id, count(*) AS n_records, min(log_offset) AS first_offset, max(log_offset) AS last_offset FROM (
+  SELECT DISTINCT s.group_id, s.topic, s.partition_id, r.log_offset, c.cut FROM spans s JOIN cuts c ON c.topic = s.topic AND c.partition_id = s.partition_id
+  JOIN log_records r ON r.topic = s.topic AND r.partition_id = s.partition_id AND r.log_offset >= s.from_offset) GROUP BY ALL""",
 }
