@@ -131,15 +131,15 @@ gaps AS (SELECT topic, partition_id, period_ms, max(e - prev) AS gap FROM (
 lanes AS (
   SELECT topic, partition_id, period_ms, count(*) FILTER (NOT beyond) AS n, sum(size_bytes) FILTER (NOT beyond) AS bytes,
     count(*) FILTER (NOT beyond AND NOT coalesce(progress >= period_ms + 3600000, false)) AS n_first,
-    count(*) FILTER (beyond) AS n_beyond, min(e) FILTER (NOT beyond) AS first_e, max(e) FILTER (NOT beyond) AS last_e
-  FROM per GROUP BY ALL),
+    count(*) FILTER (beyond) AS n_beyond, count(*) FILTER (NOT beyond AND coalesce(e >= end_progress - 7200000, true)) AS n_held, min(e) FILTER (NOT beyond) AS first_e, max(e) FILTER (NOT beyond) AS last_e
+  FROM per JOIN ends USING (topic, partition_id) GROUP BY ALL),
 fin AS (
   SELECT l.*, CASE WHEN l.n > 1 THEN g.gap END AS gap, coalesce(x.end_progress >= l.period_ms + 3600000 + 7200000, false) AS final
   FROM lanes l JOIN ends x ON l.topic = x.topic AND l.partition_id = x.partition_id
   LEFT JOIN gaps g ON l.topic = g.topic AND l.partition_id = g.partition_id AND l.period_ms = g.period_ms)
 SELECT topic, period_ms, sum(n)::BIGINT AS n_records, sum(bytes)::BIGINT AS sum_bytes, sum(n_first)::BIGINT AS n_first,
   sum(n - n_first)::BIGINT AS n_corrected, sum(n_beyond)::BIGINT AS n_beyond, sum(CASE WHEN final THEN n ELSE 0 END)::BIGINT AS n_released,
-  min(first_e) AS first_e, max(last_e) AS last_e, max(gap) AS max_gap_ms, bool_and(final) AS final
+  sum(n_held)::BIGINT AS n_held, min(first_e) AS first_e, max(last_e) AS last_e, max(gap) AS max_gap_ms, bool_and(final) AS final
 FROM fin GROUP BY topic, period_ms""",
     "p3_found": f"WITH {_COPIES} SELECT topic, partition_id, log_offset FROM twice",
     "p3_kept": f"""WITH {_COPIES} SELECT r.topic, r.partition_id, count(*) AS n_records, sum(r.size_bytes)::BIGINT AS sum_bytes,
