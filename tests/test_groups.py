@@ -40,71 +40,55 @@ def test_members_get_only_what_they_want(spark, how):
     assert got == {"a": [("o", 0), ("o", 1)], "b": [("p", 0), ("p", 1)]}
 
 
-def join(g, who, now=1_000, topics=("o",), protocols=("range",), timeout=5_000):
-    return g.join(who, "c", list(topics), list(protocols), timeout, now)
+def join(g, who, now=1_000, topics=("o",), protocols=("range",), timeout=5_000, issued=1):
+    e = groups.Event("join", now, who, "c", issued, -1, list(topics), list(protocols), timeout)
+    return g.take(e), e.member
 
 
-def test_one_member_settles_at_once():
+def test_expiry_is_by_each_members_own_timeout():
     g = Group()
-    assert join(g, "") == (0, "c-0") and (g.state, g.generation, g.leader) == ("completing", 1, "c-0")
-    assert g.sync("c-0", 1, {"c-0": "x", "stranger": "y"}, 1_000) == (0, "x") and g.state == "stable"
-    assert g.heartbeat("c-0", 1, 1_500) == 0
+    join(g, "", issued=0)
+    join(g, "", issued=1, timeout=9_000)
+    join(g, "c-0")
+    assert g.deadline_ms() == 6_000 and g.expire(5_999) == [] and g.expire(6_500) == ["c-0"] and g.state == "preparing"
+    assert join(g, "c-1", now=6_500) == (0, "c-1") and g.expire(11_499) == [] and g.expire(20_000) == ["c-1"]
+    assert g == Group() and join(g, "c-1")[0] == 13
 
 
-def test_a_second_member_starts_a_rebalance():
-    g = Group()
-    join(g, "")
-    g.sync("c-0", 1, {}, 1_000)
-    assert join(g, "") == (14, "c-1") and g.generation == 1
-    assert g.heartbeat("c-0", 1, 1_000) == 14
-    assert join(g, "c-0") == (0, "c-0") and g.generation == 2
-    assert g.heartbeat("c-0", 1, 1_000) == 12 and g.sync("c-0", 1, {}, 1_000)[0] == 12
-    assert g.sync("c-1", 2, {}, 1_000)[0] == 14  # the leader hasn't synced
-    assert g.sync("c-0", 2, {"c-1": "p"}, 1_000)[0] == 0
-    assert join(g, "c-1") == (0, "c-1") and (g.state, g.generation) == ("stable", 2)  # a late retry is no rebalance
-    assert g.sync("c-1", 2, {}, 1_000) == (0, "p")
-    assert join(g, "c-1", topics=("o", "p"))[0] == 14 and g.state == "preparing"  # a new subscription is one
-
-
-def test_strangers_departures_and_expiry():
+def test_a_timeout_below_one_is_the_default():
     g = Group()
-    assert join(g, "nobody")[0] == 13 and g.leave("nobody") == 13 and g.heartbeat("nobody", 0, 0) == 13
-    join(g, "")
-    join(g, "")
-    join(g, "c-0")
-    g.sync("c-0", 2, {}, 1_000)
-    g.heartbeat("c-0", 2, 4_000)
-    assert g.expire(5_999) == [] and g.expire(6_500) == ["c-1"] and g.state == "preparing"
-    join(g, "c-0", now=6_500)
-    assert g.leave("c-0") == 0 and (g.state, g.members) == ("empty", {})
+    join(g, "", issued=0, timeout=0)
+    assert g.deadline_ms() == 1_000 + groups.SESSION_MS
 
 
-def test_shared_protocol():
-    g = Group()
-    join(g, "", protocols=("range", "rr"))
-    join(g, "", protocols=("rr",))
-    join(g, "c-0", protocols=("range", "rr"))
-    assert g.protocol == "rr"
-    h = Group()
-    join(h, "", protocols=("range",))
-    join(h, "", protocols=("rr",))
-    join(h, "c-0", protocols=("range",))
-    assert h.protocol == ""
+def test_what_a_leader_is_told(spark):
+    told = {r["seq"]: r["members"] for r in groups.replay_events(reference.history(spark)).collect()}
+    assert told[6] == ["a-1", "b-3"] and told[4] == [] and told[11] == [] and told[32] == ["a-7"]
 
 
 def test_state_round_trip():
     g = Group()
-    join(g, "")
-    join(g, "")
+    join(g, "", issued=0)
+    join(g, "", issued=1)
     assert Group.loads(g.dumps()) == g
 
 
-def test_live_coordinator_equals_replay(spark, data):
-    replayed = sorted(tuple(r) for r in reference.QUERIES["group_replay"](spark, data).collect())
-    streamed = sorted(tuple(r) for r in reference.QUERIES["stream_group"](spark, data).collect())
+def test_live_coordinator_equals_replay(spark, data, tmp_path):
+    """A long history of commits, as a table and as a stream in three parts; watermarks stay behind all of it."""
+    events = reference.group_events_of(spark.read.parquet(f"{data}/commits.parquet"))
+    columns = groups.names(groups.RESULTS)
+    replayed = sorted((tuple(r) for r in groups.replay_events(events).select(*columns).collect()), key=repr)
+    stream = live.staged(groups.issue(events), F.floor(F.col("seq") * 3 / (events.agg(F.max("seq")).first()[0] + 1)).cast("int"), 3, f"file://{tmp_path}/in")
+    streamed = sorted((tuple(r) for r in live.run_to_end(live.coordinate(stream, "40000 hours"), f"file://{tmp_path}/run").select(*columns).collect()), key=repr)
     assert replayed == streamed and {r[4] for r in replayed} >= {0, 12, 13, 14}
 
 
+def test_silent_groups_expire_by_timer(spark, tmp_path):
+    stream = live.staged(groups.issue(reference.history(spark).drop("issued")), F.floor((F.col("seq") - 1) / 10).cast("int"), 4, f"file://{tmp_path}/in")
+    told = live.run_to_end(live.coordinate(stream), f"file://{tmp_path}/run").where("op = 'timer'").collect()
+    assert {(r["group_id"], r["member_id"], r["state"], r["n_members"]) for r in told} == {("g", "c-4", "empty", 0), ("h", "b-2", "empty", 0)}
+
+
 COM = "seq bigint, group_id string, topic string, partition_id int, next_offset bigint, metadata string, commit_ts_ms bigint"
 
 
@@ -117,15 +101,72 @@ def test_positions(spark):
     assert {r["group_id"]: r["next_offset"] for r in offsets.fetch_positions(asked, now).collect()} == {"g": -1, "i": 5}
 
 
-def test_live_slack_equals_batch(spark, data):
-    live_rows = reference.QUERIES["stream_kslack"](spark, data)
-    from tidelog.plans import pipeline
-
-    late = {tuple(r) for r in live_rows.where("kind = 'late'").select("topic", "partition_id", "log_offset").collect()}
-    assert late == {tuple(r) for r in pipeline.p1_found(spark, data).collect()}
-    for p in live_rows.select("topic", "partition_id").distinct().collect():
-        released = live_rows.where((F.col("topic") == p[0]) & (F.col("partition_id") == p[1]) & (F.col("kind") == "released")).orderBy("nth").collect()
-        assert [r["e"] for r in released] == sorted(r["e"] for r in released)
+SLACK = "topic string, partition_id int, batch_base bigint, log_offset bigint, size_bytes int, e bigint, seen bigint"
+
+
+def slack_rows(spark, rows):
+    """Rows (batch, offset, e): all times make progress."""
+    return spark.createDataFrame([("t", 0, b, o, 10, e, e) for b, o, e in rows], SLACK)
+
+
+def test_live_slack_over_cut_batches_repeats_and_restarts(spark, tmp_path):
+    """A batch that comes in two micro-batches makes its progress when it is over; a record delivered again, even long after, does nothing; each run is a new process on the same folder."""
+    src, base = f"file://{tmp_path}/in", f"file://{tmp_path}/run"
+    parts = [
+        [(0, 0, 1_000), (0, 1, 90_000)],
+        [(0, 2, 2_000), (3, 3, 3_000), (3, 4, 100_000)],  # the rest of batch 0 isn't late by its own batch; 3,000 is late by batch 0
+        [(0, 0, 1_000), (0, 1, 90_000), (3, 3, 3_000), (5, 5, 95_000)],  # all but the last again
+        [(5, 6, 89_000), (7, 7, 200_000), (7, 8, 50_000), (0, 2, 2_000)],
+        [(9, 9, 300_000)],
+    ]
+    told = []
+    for part in parts:
+        slack_rows(spark, part).coalesce(1).write.mode("append").parquet(src)
+        k = live.KSlack(spark, base, 10_000, 60_000, chunk=4).run(spark.readStream.schema(SLACK).parquet(src))
+        told.append({(r["kind"], r["log_offset"]) for r in k.out().collect()})
+    assert told[0] == set() and told[1] == {("late", 3), ("released", 0), ("released", 2)}  # progress is 90,000 now
+    assert told[2] == told[1]  # progress is 100,000, which doesn't pass 90,000 by more than the slack
+    rows = live.KSlack(spark, base, 10_000, 60_000, chunk=4).out().collect()
+    assert len(rows) == len({r["log_offset"] for r in rows})
+    assert {(r["kind"], r["log_offset"]) for r in rows} == {("late", 3), ("late", 8), ("late", 6), *(("released", o) for o in (0, 2, 1, 5, 4))}
+    order = [r["e"] for r in sorted(rows, key=lambda r: (r["step"], r["e"])) if r["kind"] == "released"]
+    assert order == sorted(order)
+    got = {r["period_ms"]: (r["n_final"], r["n_held"]) for r in k.published().collect()}
+    assert got == {0: (2, 0), 60_000: (3, 0), 180_000: (0, 1), 300_000: (0, 1)}
+    again = k.published().collect()
+    k.step(slack_rows(spark, parts[4]), 4)  # a step that was taken
+    assert sorted(k.published().collect()) == sorted(again)
+
+
+def test_live_slack_equals_batch_however_the_stream_is_cut(spark, data, tmp_path):
+    from tidelog.operators import kslack
+
+    tables = [spark.read.parquet(f"{data}/{t}.parquet") for t in ("log_records", "batches")]
+    timed = kslack.event_times(*tables).where("topic in ('stock-level', 'gate-tokens')")
+    ends = timed.groupBy("topic", "partition_id").agg(F.min("log_offset").alias("lo"), F.max("log_offset").alias("hi"))
+    cut = timed.join(ends, ["topic", "partition_id"]).withColumn("part", F.floor((F.col("log_offset") - F.col("lo")) * 3 / (F.col("hi") - F.col("lo") + 1)).cast("int"))
+    again = cut.where("log_offset % 7 = 0").withColumn("part", F.least(F.col("part") + 1, F.lit(2)))  # some come once more, later
+    stream = live.staged(cut.unionByName(again).drop("lo", "hi"), F.col("part"), 3, f"file://{tmp_path}/in")
+    k = live.KSlack(spark, f"file://{tmp_path}/run").run(stream)
+    want = {tuple(r) for r in kslack.k_slack(*tables).where("kind = 'late' and topic in ('stock-level', 'gate-tokens')").select("topic", "partition_id", "log_offset").collect()}
+    rows = k.out().select("topic", "partition_id", "log_offset", "kind").collect()
+    assert {tuple(r)[:3] for r in rows if r["kind"] == "late"} == want and len(rows) == len({tuple(r)[:3] for r in rows})
+
+
+def test_a_compacted_view_goes_on_after_a_restart(spark, tmp_path):
+    src, base = f"file://{tmp_path}/in", f"file://{tmp_path}/run"
+    schema = "topic string, partition_id int, rec_key binary, seq bigint, rec_value binary"
+    view = lambda: {bytes(r["rec_key"]): bytes(r["rec_value"]) for r in live.compacted_view(spark.readStream.schema(schema).parquet(src), base, 2).collect()}
+    put = lambda *rows: spark.createDataFrame([("t", 0, k, s, v) for k, s, v in rows], schema).coalesce(1).write.mode("append").parquet(src)
+    spark.createDataFrame([], schema).write.parquet(src)
+    assert view() == {}
+    put((b"a", 1, b"x"), (b"b", 2, b"y"))
+    assert view() == {b"a": b"x", b"b": b"y"}
+    put((b"c", 3, b"z"), (b"a", 4, None))
+    assert view() == view() == {b"b": b"y", b"c": b"z"}
+    put((b"b", 1, b"old"))
+    put((b"a", 6, b""))
+    assert view() == {b"a": b"", b"b": b"y", b"c": b"z"}
 
 
 def test_consume_again_and_at_most_once(spark, tmp_path):

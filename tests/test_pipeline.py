@@ -3,6 +3,7 @@
 import heapq
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,17 +124,34 @@ def test_one_message_with_most_copies(spark):
     assert got.count() == n // 2 and got.agg(F.min("log_offset")).first()[0] == 2
 
 
-def test_index_runs_are_merged_and_keep_their_first_offsets(spark):
-    ids = [spark.createDataFrame([("t", 0, 10 * k + i, (i * k) % 7, 1) for i in range(10)], "topic string, partition_id int, log_offset bigint, high bigint, low bigint") for k in range(7)]
-    index, first = None, {}
-    for k, part in enumerate(ids):
-        index, met = dedup.ingest(index, part, k, 4)
-        for r in met.collect():
-            assert r["first_offset"] == first.get(r["high"], r["first_offset"])
-        for r in part.orderBy("log_offset").collect():
-            first.setdefault(r["high"], r["log_offset"])
-    assert index.groupBy("prefix").count().agg(F.max("count")).first()[0] <= dedup.MAX_RUNS
-    assert index.agg(F.sum("n")).first()[0] == len(first)
+def test_runs_are_immutable_and_merged_and_keep_their_first_offsets(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "PREFIX_IDS", 1)
+    r = random.Random(3)
+    values = [r.randint(-(2**63), 2**63 - 1) for _ in range(60)]
+    index, first, written = dedup.Index(spark), {}, {}
+    for k in range(7):
+        ids = [(100 * k + i, v, v % 7 - 3) for i, v in enumerate(r.sample(values, 20) + [5, 5])]
+        met = dedup.Index(spark, index.base).ingest(spark.createDataFrame(ids, "log_offset bigint, high bigint, low bigint"))
+        again = {x["high"]: x["first_offset"] for x in met.collect()}
+        assert set(again) == {v for _, v, _ in ids if v in first} | {5}
+        for o, v, _ in ids:
+            first.setdefault(v, o)
+        assert all(o == first[v] for v, o in again.items())
+        runs = index.runs()
+        assert len(runs) <= dedup.MAX_RUNS + 1
+        for run in runs:
+            rows = sorted(map(tuple, index.read([run]).collect()))
+            assert written.setdefault(run, rows) == rows  # what was written stays as it is
+    assert index.read(index.runs()).agg(F.sum("n")).first()[0] == len(first)
+    assert index.manifest.read()[1]["bits"] > 4  # prefixes were cut finer as the index grew
+
+
+def test_a_second_call_takes_only_what_is_new(spark):
+    records, batches, df, bat = make(spark, 5)
+    want, base = copies_of(records, batches), dedup.Index(spark).base
+    old = found(dedup.copies(df.where("log_offset < 60"), bat, 2, base))
+    new = found(dedup.copies(df.where("log_offset >= 55"), bat, 2, base))  # some come again
+    assert old == {x for x in want if x[2] < 60} and new == {x for x in want if x[2] >= 55}
 
 
 @pytest.mark.parametrize(("chunk", "block"), [(16_384, 16_384), (3, 5), (1, 1)])
@@ -177,6 +195,32 @@ def test_changes_in_any_order(spark, slices):
     assert {(bytes(x["rec_key"]), x["seq"], bytes(x["rec_value"])) for x in got.collect()} == want and got.count() == len(want)
 
 
+@pytest.mark.parametrize("k", [1, 2, 5])
+def test_sorted_runs_are_merged(k):
+    r = np.random.default_rng(k)
+    runs = []
+    for n in r.integers(0, 40, k):
+        run = np.zeros(n, lsm._SORTED)
+        run["high"], run["low"], run["seq"], run["at"] = r.integers(-3, 3, n), r.integers(-2, 2, n), r.integers(0, 9, n), r.integers(0, 99, n)
+        runs.append(np.sort(run, order=("high", "low", "seq")))
+    out = lsm.merged(runs)
+    key = lambda x: (x["high"], x["low"], x["seq"])
+    assert [key(x) for x in out] == sorted(key(x) for run in runs for x in run)
+    assert sorted(x["at"] for x in out) == sorted(x["at"] for run in runs for x in run)
+    assert [(x["high"], x["low"]) for x in lsm.newest_of(out)] == sorted({(x["high"], x["low"]) for x in out})
+
+
+def test_a_table_goes_on_in_later_calls(spark):
+    base = lsm.Table(spark).base
+    there = lambda t: {bytes(x["rec_key"]): x["seq"] for x in t.present().collect()}
+    assert there(lsm.apply_feed(changes(spark, [(b"a", 1, b"x"), (b"b", 2, b"y")]), 1, base)) == {b"a": 1, b"b": 2}
+    assert there(lsm.apply_feed(changes(spark, [(b"a", 3, None), (b"c", 4, b"")]), 1, base)) == {b"b": 2, b"c": 4}
+    assert len(lsm.Table(spark, base).runs()) == 2
+    # an older change that comes late doesn't win, and the runs are merged by the next
+    assert there(lsm.apply_feed(changes(spark, [(b"a", 2, b"late"), (b"b", 1, b"late"), (b"d", 9, b"new")]), 2, base)) == {b"b": 2, b"c": 4, b"d": 9}
+    assert sorted((r["topic"], r["seq"]) for r in lsm.Table(spark, base).places().collect()) == [("t", 2), ("t", 4), ("t", 9)]
+
+
 def test_an_empty_feed(spark):
     assert lsm.present_rows(changes(spark, [])).count() == 0
 

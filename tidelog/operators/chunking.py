@@ -7,7 +7,8 @@ key gives each block its first row number, and rows are numbered from there. Eac
 neighbour needs to know (first and last row), are merged in order.
 
 Scale: no task gets more than a block or a chunk of a key. The prefix sum sees one row per key and block, 1/BLOCK_OFFSETS of the rows
-of a hot key. Nothing is broadcast or collected.
+of a hot key. The log is read and shuffled once; what is
+numbered is written then, and read for counts and for numbers. Nothing is broadcast or collected.
 
 Nulls and odd input: rows with a null key belong to no key and are left out; an empty key is a key; rows written twice
 count once; an empty table gives an empty result; ties in the order can't occur, as offsets are unique in a partition.
@@ -19,21 +20,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidelog.common import materialize
+
 BLOCK_OFFSETS = 16_384
 CHUNK_ROWS = 16_384
 
 
-def number_rows(df: DataFrame, key: list[str], lane: list[str], order: str, block: int = BLOCK_OFFSETS) -> DataFrame:
-    """Distinct rows of ``df`` with ``rn``: the place of the row among those of its key, by ``lane`` and ``order``.
+def place_rows(df: DataFrame, key: list[str], lane: list[str], order: str, block: int = BLOCK_OFFSETS) -> DataFrame:
+    """Distinct rows of ``df`` in blocks, each with its place in the block; written once, as they are counted and numbered then. Null keys are keys here.
 
     ``lane`` names the ordered input (a log partition), ``order`` a bigint that is unique in its lane.
     """
-    cut = df.where(F.lit(True) & ~F.greatest(*[F.col(k).isNull() for k in (*key, order)], F.lit(False)))
-    cut = cut.withColumn("__block", F.floor(F.col(order) / block))
+    cut = df.where(F.col(order).isNotNull()).withColumn("__block", F.floor(F.col(order) / block))
     part = [*key, *[c for c in lane if c not in key], "__block"]
-    # one shuffle by key, lane and block serves the removal of rows written twice, the numbering and the counting
+    # one shuffle by key, lane and block serves the removal of rows written twice and the numbering
     unique = cut.repartition(*part).dropDuplicates([*part, order])
-    inside = unique.withColumn("__rn", F.row_number().over(W.partitionBy(*part).orderBy(order)))
+    return materialize(unique.withColumn("__rn", F.row_number().over(W.partitionBy(*part).orderBy(order))), "placed")
+
+
+def number_rows(placed: DataFrame, key: list[str], lane: list[str]) -> DataFrame:
+    """Placed rows with ``rn``: the place of the row among those of its key, by lane and order. Rows with a null key are left out."""
+    part = [*key, *[c for c in lane if c not in key], "__block"]
+    inside = placed.dropna(subset=key)
     counts = inside.groupBy(*part).agg(F.max("__rn").alias("__n"))
     before = W.partitionBy(*key).orderBy(*[c for c in lane if c not in key], "__block").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
@@ -46,7 +54,12 @@ def per_key(df: DataFrame, key: list[str], lane: list[str], order: str, value: s
 
     ``value`` is a bigint or int without nulls.
     """
-    numbered = number_rows(df, key, lane, order, block).withColumn("__chunk", F.floor((F.col("rn") - 1) / chunk))
+    return of_placed(place_rows(df, key, lane, order, block), key, lane, value, chunk)
+
+
+def of_placed(placed: DataFrame, key: list[str], lane: list[str], value: str, chunk: int = CHUNK_ROWS) -> DataFrame:
+    """``per_key`` of rows that are placed already."""
+    numbered = number_rows(placed, key, lane).withColumn("__chunk", F.floor((F.col("rn") - 1) / chunk))
     part = [*key, "__chunk"]
     before = F.lag(value).over(W.partitionBy(*part).orderBy("rn"))
     states = (
@@ -83,10 +96,11 @@ def record_keys(records: DataFrame) -> DataFrame:
 def heavy_keys(records: DataFrame, commits: DataFrame, record_share: float = 0.01, commit_share: float = 0.40) -> DataFrame:
     """Record keys holding at least ``record_share`` of all records, and the topic partitions holding at least
     ``commit_share`` of the commits of a group. Both counts are those of the chunked operator."""
-    keys = record_keys(records).select("topic", "rec_key", "n_rows")
-    keyless = records.where("rec_key is null").select("topic", "partition_id", "log_offset").distinct()
-    all_records = keys.select("n_rows").unionByName(keyless.agg(F.count(F.lit(1)).alias("n_rows"))).agg(F.sum("n_rows").alias("all_rows"))
-    by_record = keys.where(F.col("n_rows") >= all_records.scalar() * record_share)
+    key, lane = ["topic", "rec_key"], ["topic", "partition_id"]
+    placed = place_rows(records.select(*key, "partition_id", "log_offset"), key, lane, "log_offset")
+    keys = of_placed(placed.withColumn("one", F.lit(1)), key, lane, "one").select(*key, "n_rows")
+    every = placed.agg(F.count(F.lit(1)).alias("n"))  # with those that have no key
+    by_record = keys.where(F.col("n_rows") >= every.scalar() * record_share)
 
     lanes = commits.select("group_id", "topic", "partition_id", "seq", F.lit(1).alias("one"))
     spots = per_key(lanes, ["group_id", "topic", "partition_id"], [], "seq", "one").select("group_id", "topic", "partition_id", "n_rows")

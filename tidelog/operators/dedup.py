@@ -3,35 +3,38 @@
 A message is named by topic, partition, producer id, producer epoch and sequence; its 128-bit identifier is two
 independent 64-bit hashes of that name (for 10**12 messages the chance that any two share one is under 10**-14). An
 index holds, by hash prefix, immutable *runs*: sorted arrays of identifiers. Each incoming slice of the log is
-deduplicated in itself, what remains is looked up in the runs of its prefix by binary search, the novel identifiers are
-appended as a new run, and when a prefix has more than ``MAX_RUNS`` runs they are merged into one.
+deduplicated in itself, what remains is looked up in the runs of its prefix by binary search, and the novel identifiers alone are
+written as a new run; no run is ever changed. When there are more than ``MAX_RUNS`` runs before one is added, they are merged into one.
+The list of runs is a manifest that is replaced whole: an index in a folder of the caller's serves any later call, which takes only the slices that are new.
 
-Scale: identifiers are spread by hash prefix, with as many prefixes as keep a prefix near ``PREFIX_IDS`` identifiers.
+Scale: identifiers are spread by hash prefix, with as many prefixes as keep a prefix near ``PREFIX_IDS`` identifiers; a merge cuts them finer when the index has grown.
 Copies are combined before the shuffle, so a message delivered a million times is one row there. The copies are then
 named by joining identifiers that occurred more than once; those with more than a thousandth of all copies are fewer
 than ``HOT_KEYS`` and are joined by broadcast, all others by shuffle, so no hot message lands in one task. Index and verdicts are
-files in the shared folder; the loss of an executor repeats a task, never a decision.
+files; the loss of an executor repeats a task, never a decision.
 
 Nulls and odd input: records without a batch or with producer_id -1, and rows with a null part of the name, have no
-identifier and are never copies; rows written twice are one record; an empty table gives an empty result.
+identifier and are never copies; rows written twice, in one call or in several, are one record; of messages that come in several calls the copy of the first call is kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.common import HOT_KEYS, materialize, shared_dir, ship
+from tidelog.common import HOT_KEYS, Manifest, materialize, shared_dir, ship
 
 PREFIX_IDS = 1 << 18
-MAX_RUNS = 2
+MAX_RUNS = 1
 SLICES = 3
 NAME = ["topic", "partition_id", "producer_id", "producer_epoch", "sequence"]
-OUT = "kind string, prefix int, run int, high bigint, low bigint, first_offset bigint, n bigint, sorted_high binary, sorted_low binary, offsets binary"
+OUT = "kind string, prefix int, high bigint, low bigint, first_offset bigint, n bigint, sorted_high binary, sorted_low binary, offsets binary"
 _PAIR = np.dtype([("high", "<i8"), ("low", "<i8")])
 
 
@@ -71,79 +74,133 @@ def _search(run: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, found
 
 
-def _ingest_prefix(round_: int):
+def _run_rows(prefix: int, ids: np.ndarray, offsets: np.ndarray, bits: int, finer: int) -> list[tuple]:
+    """Rows of a run: the sorted identifiers of a prefix of ``bits`` bits, cut into prefixes of ``finer`` bits."""
+    out = []
+    # bits of a prefix are the topmost of the first half taken as unsigned, whose sorting is that of the signed one within a prefix of a bit or more
+    new = (ids["high"].view(np.uint64) >> np.uint64(64 - finer)).astype(np.int64) if finer > bits else np.full(len(ids), prefix)
+    for p in np.unique(new):
+        own = new == p
+        x = ids[own]
+        out.append(("run", int(p), 0, 0, 0, len(x), x["high"].tobytes(), x["low"].tobytes(), offsets[own].astype("<i8").tobytes()))
+    return out
+
+
+def _index_of(runs: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(_pairs(np.frombuffer(r.sorted_high, "<i8"), np.frombuffer(r.sorted_low, "<i8")), np.frombuffer(r.offsets, "<i8")) for r in runs.itertuples()]
+
+
+_COLUMNS = [c.split()[0] for c in OUT.split(", ")]
+
+
+def _ingest_prefix(bits: int):
     def ingest(key: tuple, runs: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         prefix = int(key[0])
-        index = [
-            (int(r.run), _pairs(np.frombuffer(r.sorted_high, "<i8"), np.frombuffer(r.sorted_low, "<i8")), np.frombuffer(r.offsets, "<i8"))
-            for r in runs.itertuples()
-        ]
         ids = _pairs(new["high"].to_numpy("int64"), new["low"].to_numpy("int64"))
         first, n = new["first_offset"].to_numpy("int64").copy(), new["n"].to_numpy("int64")
         order = np.argsort(ids, order=("high", "low"))
         ids, first, n = ids[order], first[order], n[order]
         seen = np.zeros(len(ids), bool)
-        for _, run, offsets in index:
+        for run, offsets in _index_of(runs):
             at, found = _search(run, ids)
             first[found] = offsets[at[found]]
             seen |= found
-        rows = pd.DataFrame({"kind": "copy", "prefix": prefix, "run": round_, "high": ids["high"], "low": ids["low"], "first_offset": first, "n": n})[seen | (n > 1)]
-        if len(novel := ids[~seen]):
-            index.append((round_, novel, first[~seen]))
-        if len(index) > MAX_RUNS:
-            merged, offsets = np.concatenate([x[1] for x in index]), np.concatenate([x[2] for x in index])
-            order = np.argsort(merged, order=("high", "low"), kind="stable")
-            index = [(round_, merged[order], offsets[order])]
-        kept = pd.DataFrame(
-            [("run", prefix, r, 0, 0, 0, len(a), a["high"].tobytes(), a["low"].tobytes(), o.astype("<i8").tobytes()) for r, a, o in index],
-            columns=["kind", "prefix", "run", "high", "low", "first_offset", "n", "sorted_high", "sorted_low", "offsets"],
-        )
+        rows = pd.DataFrame({"kind": "copy", "prefix": prefix, "high": ids["high"], "low": ids["low"], "first_offset": first, "n": n})[seen | (n > 1)]
         rows[["sorted_high", "sorted_low", "offsets"]] = None
-        return pd.concat([rows.astype(object), kept.astype(object)], ignore_index=True)  # bigints never pass through floats
+        novel = pd.DataFrame(_run_rows(prefix, ids[~seen], first[~seen], bits, bits), columns=_COLUMNS)
+        return pd.concat([rows.astype(object), novel.astype(object)], ignore_index=True)  # bigints never pass through floats
 
     return ingest
 
 
-def ingest(index: DataFrame | None, incoming: DataFrame, round_: int, bits: int, purpose: str = "dedup") -> tuple[DataFrame, DataFrame]:
-    """Look one slice of messages up and add its novel identifiers. Returns the new index and the identifiers met again."""
-    ship(spark := incoming.sparkSession)
-    ids = (
-        incoming.groupBy("high", "low")
-        .agg(F.min("log_offset").alias("first_offset"), F.count(F.lit(1)).alias("n"))
-        .withColumn("prefix", F.shiftrightunsigned("high", 64 - bits).cast("int") if bits else F.lit(0))
-    )
-    if index is None:
-        index = spark.createDataFrame([], OUT)
-    path = shared_dir(spark, purpose)
-    looked_up = index.groupBy("prefix").cogroup(ids.groupBy("prefix")).applyInPandas(_ingest_prefix(round_), OUT)
-    looked_up.write.partitionBy("kind").parquet(path)
-    whole = spark.read.schema(OUT).parquet(path)
-    return whole.where("kind = 'run'"), whole.where("kind = 'copy'").select("high", "low", "first_offset", "n")
+def _merge_prefix(bits: int, finer: int):
+    def merge(key: tuple, runs: pd.DataFrame) -> pd.DataFrame:
+        parts = _index_of(runs)
+        ids, offsets = parts[0]
+        for other, more in parts[1:]:
+            at = np.searchsorted(ids["high"], other["high"], "left")  # identifiers are novel to their run, so equal first halves differ in the second
+            if (near := (at < len(ids)) & (ids["high"][np.minimum(at, len(ids) - 1)] == other["high"])).any():
+                for i in np.nonzero(near)[0]:
+                    while at[i] < len(ids) and ids[at[i]].item() < other[i].item():
+                        at[i] += 1
+            places, both = at + np.arange(len(other)), np.empty(len(ids) + len(other), _PAIR)
+            rest = np.ones(len(both), bool)
+            rest[places] = False
+            joint = np.empty(len(both), np.int64)
+            both[places], both[rest], joint[places], joint[rest] = other, ids, more, offsets
+            ids, offsets = both, joint
+        return pd.DataFrame(_run_rows(int(key[0]), ids, offsets, bits, finer), columns=_COLUMNS)
+
+    return merge
+
+
+def prefix_bits(ids: int) -> int:
+    return max(4, math.ceil(math.log2(max(1, ids) / PREFIX_IDS)))
+
+
+class Index:
+    """The identifiers met so far, in a folder: runs and their manifest. Objects hold nothing but the folder's name."""
+
+    def __init__(self, spark: SparkSession, base: str | None = None) -> None:
+        self.spark, self.base = spark, base or shared_dir(spark, "dedup")
+        self.manifest = Manifest(spark, f"{self.base}/manifest")
+
+    def runs(self) -> list[str]:
+        return self.manifest.read()[1].get("runs", [])
+
+    def read(self, runs: list[str]) -> DataFrame:
+        parts = [self.spark.read.schema(OUT).parquet(f"{self.base}/{r}").where("kind = 'run'") for r in runs]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], OUT)
+
+    def _write(self, rows: DataFrame) -> str:
+        name = f"run-{uuid.uuid4().hex}"
+        rows.write.partitionBy("kind").parquet(f"{self.base}/{name}")
+        return name
+
+    def ingest(self, incoming: DataFrame, n_new: int = 0) -> DataFrame:
+        """Look one slice of messages up and add its novel identifiers as a run. Returns the identifiers met again (high, low, first_offset, n).
+
+        ``n_new``: how many identifiers are expected in all calls to come, where that is known.
+        """
+        ship(self.spark)
+        version, content = self.manifest.read()
+        bits, runs, total = content.get("bits", prefix_bits(n_new)), content.get("runs", []), content.get("n", 0)
+        if len(runs) > MAX_RUNS:
+            finer = max(bits, prefix_bits(total))
+            runs, bits = [self._write(self.read(runs).groupBy("prefix").applyInPandas(_merge_prefix(bits, finer), OUT))], finer
+        ids = (
+            incoming.groupBy("high", "low")
+            .agg(F.min("log_offset").alias("first_offset"), F.count(F.lit(1)).alias("n"))
+            .withColumn("prefix", F.shiftrightunsigned("high", 64 - bits).cast("int"))
+        )
+        name = self._write(self.read(runs).groupBy("prefix").cogroup(ids.groupBy("prefix")).applyInPandas(_ingest_prefix(bits), OUT))
+        added = self.read([name]).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if not self.manifest.add(version + 1, {"runs": [*runs, name], "bits": bits, "n": total + added}):
+            raise RuntimeError(f"another writer has changed {self.base}")
+        return self.spark.read.schema(OUT).parquet(f"{self.base}/{name}").where("kind = 'copy'").select("high", "low", "first_offset", "n")
 
 
-def copies(records: DataFrame, batches: DataFrame, slices: int = SLICES) -> DataFrame:
-    """The records to drop: all copies of a message but the one with the smallest log_offset, each once."""
+def copies(records: DataFrame, batches: DataFrame, slices: int = SLICES, base: str | None = None) -> DataFrame:
+    """The records to drop: all copies of a message but the one that came first, which within a call is the one with the smallest log_offset; each once.
+
+    ``base``: the folder of an index that earlier calls have filled and later ones will use; ``records`` are then the new ones.
+    """
     spark = records.sparkSession
     bounds = records.groupBy("topic", "partition_id").agg(F.min("log_offset").alias("lo"), F.max("log_offset").alias("hi"))
     share = (F.col("log_offset") - F.col("lo")) * slices / (F.col("hi") - F.col("lo") + 1)
     sliced = messages(records, batches).join(bounds, ["topic", "partition_id"]).withColumn("slice", F.floor(share).cast("int")).drop("lo", "hi")
     incoming = materialize(sliced, "dedup-incoming", "slice")
     rows = incoming.count()
-    bits = max(4, math.ceil(math.log2(max(1, rows) / PREFIX_IDS)))
-    index, again = None, []
-    for k in range(slices):  # in the order of arrival, so that what is met first has the smallest offset
-        index, met = ingest(index, incoming.where(F.col("slice") == k), k, bits)
-        again.append(met)
-    met = again[0]
-    for m in again[1:]:
-        met = met.unionByName(m)
+    index = Index(spark, base)
+    # in the order of arrival, so that what is met first has the smallest offset
+    met = reduce(DataFrame.unionByName, [index.ingest(incoming.where(F.col("slice") == k), rows) for k in range(slices)])
     met = met.groupBy("high", "low").agg(F.min("first_offset").alias("first_offset"), F.sum("n").alias("n"))
     hot = F.col("n") > max(10_000, rows // HOT_KEYS)
     few = F.broadcast(met.where(hot).select("high", "low", F.col("first_offset").alias("hot_first")))  # < HOT_KEYS rows
     tried = incoming.join(few, ["high", "low"], "left")
     out = ["topic", "partition_id", "log_offset"]
-    by_broadcast = tried.where(F.col("log_offset") > F.col("hot_first")).select(*out)
-    by_shuffle = tried.where(F.col("hot_first").isNull()).join(met.where(~hot), ["high", "low"]).where(F.col("log_offset") > F.col("first_offset")).select(*out)
+    by_broadcast = tried.where(F.col("log_offset") != F.col("hot_first")).select(*out)
+    by_shuffle = tried.where(F.col("hot_first").isNull()).join(met.where(~hot), ["high", "low"]).where(F.col("log_offset") != F.col("first_offset")).select(*out)
     return by_broadcast.unionByName(by_shuffle)
 
 
@@ -151,5 +208,3 @@ def deduplicated(records: DataFrame, batches: DataFrame) -> DataFrame:
     """The log with exactly one copy of each message; records without identifier stay."""
     key = ["topic", "partition_id", "log_offset"]
     return records.dropDuplicates(key).join(copies(records, batches), key, "left_anti")
-
-

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.common import chunked_lag, ship
+from tidelog.common import chunked_lag, chunked_running_sum, ship
 
 SESSION_MS = 10_000
 
@@ -96,6 +96,9 @@ def expiry(heartbeats: DataFrame, now_ms: int, timeout_ms: int = SESSION_MS) ->
 # The coordinator: one group is one value, changed by one event at a time.
 
 NONE, ILLEGAL_GENERATION, UNKNOWN_MEMBER, REBALANCING, INVALID_GROUP = 0, 12, 13, 14, 15
+EMPTY, PREPARING, COMPLETING, STABLE = "empty", "preparing", "completing", "stable"
+#: Stands for: rebalancing if the group still waits for members after the event, else no error.
+WAITING = -1
 
 
 @dataclass
@@ -108,92 +111,104 @@ class Member:
     assignment: str = ""
 
 
+@dataclass
+class Event:
+    """What a member asks. ``member`` is empty for one that has no id yet, who gets ``client`` and ``issued``."""
+
+    op: str
+    now_ms: int
+    member: str = ""
+    client: str = ""
+    issued: int = 0
+    generation: int = -1
+    topics: list[str] = field(default_factory=list)
+    protocols: list[str] = field(default_factory=list)
+    timeout_ms: int = SESSION_MS
+    assignments: dict[str, str] = field(default_factory=dict)
+
+
 @dataclass
 class Group:
     """State of a group: empty, preparing (waiting for members to join again), completing (waiting for the leader's
-    assignment) or stable."""
+    assignment) or stable. A group without members is forgotten: the next one of its name is new."""
 
-    state: str = "empty"
+    state: str = EMPTY
     generation: int = 0
     leader: str = ""
     protocol: str = ""
-    next_id: int = 0
     members: dict[str, Member] = field(default_factory=dict)
 
-    def _prepare(self) -> None:
-        self.state = "preparing"
+    # ---- what is asked of the state
+
+    def stranger(self, e: Event) -> bool:
+        return e.member not in self.members and not (e.op == "join" and not e.member)
+
+    def stale(self, e: Event) -> bool:
+        return e.generation != self.generation
+
+    def asks_again(self, e: Event) -> bool:
+        m = self.members.get(e.member)
+        return m is not None and m.joined and (m.topics, m.protocols) == (e.topics, e.protocols)
+
+    def follower(self, e: Event) -> bool:
+        return e.member != self.leader
+
+    # ---- what is done to it
+
+    def hear(self, e: Event) -> None:
+        self.members[e.member].heard_ms = e.now_ms
+
+    def enter(self, e: Event) -> None:
+        e.member = e.member or f"{e.client}-{e.issued}"
+        had = self.members.get(e.member)
+        self.members[e.member] = Member(e.topics, e.protocols, e.timeout_ms if e.timeout_ms > 0 else SESSION_MS, e.now_ms, True, had.assignment if had else "")
+
+    def remove(self, e: Event) -> None:
+        del self.members[e.member]
+
+    def assign(self, e: Event) -> None:
+        for who, what in e.assignments.items():
+            if who in self.members:
+                self.members[who].assignment = what
+        self.state = STABLE
+
+    def prepare(self, e: Event) -> None:
+        self.state = PREPARING
         for m in self.members.values():
             m.joined = False
 
-    def _settle(self) -> None:
-        """When all have joined: a new generation, its leader and protocol."""
+    def settle(self, e: Event) -> None:
+        """When all have joined: a new generation, its leader and protocol. When nobody is left: nothing is."""
         if not self.members:
-            self.state = "empty"
+            self.state, self.generation, self.leader, self.protocol = EMPTY, 0, "", ""
         elif all(m.joined for m in self.members.values()):
             self.generation += 1
             self.leader = min(self.members)
             shared = [p for p in self.members[self.leader].protocols if all(p in m.protocols for m in self.members.values())]
-            self.protocol = shared[0] if shared else ""
-            self.state = "completing"
-
-    def join(self, member: str, client: str, topics: list[str], protocols: list[str], timeout_ms: int, now_ms: int) -> tuple[int, str]:
-        if not member:
-            member, self.next_id = f"{client}-{self.next_id}", self.next_id + 1
-        elif member not in self.members:
-            return UNKNOWN_MEMBER, ""
-        known = self.members.get(member)
-        if known and known.joined and self.state in ("completing", "stable") and (known.topics, known.protocols) == (topics, protocols):
-            known.heard_ms = now_ms  # asks again for what was settled
-            return NONE, member
-        if self.state != "preparing":
-            self._prepare()
-        kept = known.assignment if known else ""
-        self.members[member] = Member(topics, protocols, timeout_ms if timeout_ms > 0 else SESSION_MS, now_ms, True, kept)
-        self._settle()
-        return (REBALANCING if self.state == "preparing" else NONE), member
-
-    def _check(self, member: str, generation: int) -> int:
-        if member not in self.members:
-            return UNKNOWN_MEMBER
-        if generation != self.generation:
-            return ILLEGAL_GENERATION
-        return REBALANCING if self.state == "preparing" else NONE
-
-    def sync(self, member: str, generation: int, assignments: dict[str, str], now_ms: int) -> tuple[int, str]:
-        if error := self._check(member, generation):
-            return error, ""
-        self.members[member].heard_ms = now_ms
-        if self.state == "completing":
-            if member != self.leader:
-                return REBALANCING, ""
-            for who, what in assignments.items():
-                if who in self.members:
-                    self.members[who].assignment = what
-            self.state = "stable"
-        return NONE, self.members[member].assignment
-
-    def heartbeat(self, member: str, generation: int, now_ms: int) -> int:
-        error = self._check(member, generation)
-        if not error:
-            self.members[member].heard_ms = now_ms
-        return error
-
-    def leave(self, member: str) -> int:
-        if self.members.pop(member, None) is None:
-            return UNKNOWN_MEMBER
-        self._prepare()
-        self._settle()
-        return NONE
+            self.protocol, self.state = shared[0] if shared else "", COMPLETING
 
     def expire(self, now_ms: int) -> list[str]:
         gone = [k for k, m in self.members.items() if now_ms - m.heard_ms >= m.timeout_ms]
         for k in gone:
             del self.members[k]
         if gone:
-            self._prepare()
-            self._settle()
+            self.prepare(Event("expire", now_ms))
+            self.settle(Event("expire", now_ms))
         return gone
 
+    def deadline_ms(self) -> int | None:
+        """When the next member will have been silent too long."""
+        return min((m.heard_ms + m.timeout_ms for m in self.members.values()), default=None)
+
+    def take(self, e: Event) -> int:
+        """One event, by the first of the RULES that holds; its error code."""
+        for op, states, test, error, actions in RULES:
+            if op == e.op and self.state in (states or ANY) and (test is None or test(self, e)):
+                for act in actions:
+                    act(self, e)
+                return (REBALANCING if self.state == PREPARING else NONE) if error == WAITING else error
+        return NONE  # a tick: only time passes
+
     def dumps(self) -> str:
         return json.dumps(self, default=vars)
 
@@ -204,31 +219,66 @@ class Group:
         return cls(**value, members=members)
 
 
-EVENTS = "seq bigint, group_id string, op string, member_id string, client_id string, generation int, topics array<string>, protocols array<string>, timeout_ms int, ts_ms bigint"
-RESULTS = "seq bigint, group_id string, op string, member_id string, error int, generation int, state string, n_members int"
+ANY = (EMPTY, PREPARING, COMPLETING, STABLE)
+#: Event, states (None: all), condition, error code and actions. The first rule that holds is taken.
+RULES = [
+    ("join", None, Group.stranger, UNKNOWN_MEMBER, ()),
+    ("join", (COMPLETING, STABLE), Group.asks_again, NONE, (Group.hear,)),
+    ("join", (PREPARING,), None, WAITING, (Group.enter, Group.settle)),
+    ("join", None, None, WAITING, (Group.prepare, Group.enter, Group.settle)),
+    ("leave", None, Group.stranger, UNKNOWN_MEMBER, ()),
+    ("leave", None, None, NONE, (Group.remove, Group.prepare, Group.settle)),
+    *[
+        rule
+        for op in ("sync", "heartbeat")
+        for rule in (
+            (op, None, Group.stranger, UNKNOWN_MEMBER, ()),
+            (op, None, Group.stale, ILLEGAL_GENERATION, ()),
+            (op, (PREPARING,), None, REBALANCING, ()),
+        )
+    ],
+    ("sync", (COMPLETING,), Group.follower, REBALANCING, (Group.hear,)),
+    ("sync", (COMPLETING,), None, NONE, (Group.hear, Group.assign)),
+    ("sync", None, None, NONE, (Group.hear,)),
+    ("heartbeat", None, None, NONE, (Group.hear,)),
+]
+
+EVENTS = (
+    "seq bigint, group_id string, op string, member_id string, client_id string, issued bigint, generation int, topics array<string>, protocols array<string>, timeout_ms int, ts_ms bigint, "
+    "assignments map<string,string>"
+)
+RESULTS = "seq bigint, group_id string, op string, member_id string, error int, generation int, state string, n_members int, leader string, protocol string, assignment string, members array<string>"
+
+
+def names(schema: str) -> list[str]:
+    """Column names of a schema text without nested commas."""
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def issue(events: DataFrame) -> DataFrame:
+    """Events with ``issued``: the numbers, from 1 over all groups in the order of ``seq``, of joins without a member id; 0 for the rest."""
+    new = (F.col("op") == "join") & (F.coalesce("member_id", F.lit("")) == "") & (F.coalesce("group_id", F.lit("")) != "")
+    marked = events.withColumn("__new", F.when(new, 1).otherwise(0)).withColumn("__all", F.lit(0))
+    summed = chunked_running_sum(marked, ["__all"], "seq", "__new", "__earlier")
+    return summed.withColumn("issued", F.when(F.col("__new") == 1, F.col("__earlier") + 1).otherwise(0)).drop("__new", "__all", "__earlier")
 
 
 def apply_event(group: Group, e) -> tuple:
-    """One event on a group: the row of its result."""
+    """One event on a group: the row of its result, with what the asking member is told (its assignment on a sync, the members on a join if it leads)."""
     now, who = int(e.ts_ms), e.member_id or ""
     if not e.group_id:
-        return (e.seq, e.group_id, e.op, who, INVALID_GROUP, 0, "empty", 0)
+        return (e.seq, e.group_id, e.op, who, INVALID_GROUP, 0, EMPTY, 0, "", "", "", [])
     group.expire(now)
-    if e.op == "join":
-        error, who = group.join(who, e.client_id or "", list(e.topics), list(e.protocols), int(e.timeout_ms), now)
-    elif e.op == "sync":
-        error, _ = group.sync(who, int(e.generation), {m: f"{m}@{group.generation}" for m in group.members}, now)
-    elif e.op == "heartbeat":
-        error = group.heartbeat(who, int(e.generation), now)
-    elif e.op == "leave":
-        error = group.leave(who)
-    else:
-        error = NONE  # a tick: only time passes
-    return (e.seq, e.group_id, e.op, who, error, group.generation, group.state, len(group.members))
+    many = lambda v: [] if v is None else list(v)
+    asked = Event(e.op, now, who, e.client_id or "", int(e.issued), int(e.generation), many(e.topics), many(e.protocols), int(e.timeout_ms), dict(e.assignments or {}))
+    error = group.take(asked)
+    told = group.members[asked.member].assignment if e.op == "sync" and not error else ""
+    list_ = sorted(group.members) if e.op == "join" and not error and asked.member == group.leader else []
+    return (e.seq, e.group_id, e.op, asked.member, error, group.generation, group.state, len(group.members), group.leader, group.protocol, told, list_)
 
 
 def replay_events(events: DataFrame) -> DataFrame:
-    """Run the coordinator over recorded events (EVENTS), group by group in the order of ``seq``; a group's events are streamed
+    """Run the coordinator over recorded events (EVENTS, ``issued`` is given here), group by group in the order of ``seq``; a group's events are streamed
     through one state, sorted by the shuffle."""
     ship(events.sparkSession)
 
@@ -242,6 +292,7 @@ def replay_events(events: DataFrame) -> DataFrame:
                 if e.group_id != place:
                     place, group = e.group_id, g.Group()
                 out.append(g.apply_event(group, e))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in g.RESULTS.split(", ")])
+            yield pd.DataFrame(out, columns=g.names(g.RESULTS))
 
-    return events.repartition("group_id").sortWithinPartitions("group_id", "seq").mapInPandas(run, RESULTS)
+    numbered = issue(events.drop("issued")).select(*names(EVENTS))
+    return numbered.repartition("group_id").sortWithinPartitions("group_id", "seq").mapInPandas(run, RESULTS)

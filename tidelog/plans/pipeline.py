@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.common import materialize, table
+from tidelog.common import materialize, shared_dir, table
 from tidelog.operators import chunking, dedup, kslack, ledger, log, lsm
 
 
@@ -27,6 +27,16 @@ def p3_kept(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("topic", "partition_id").agg(F.count(F.lit(1)).alias("n_records"), F.sum("size_bytes").alias("sum_bytes"), F.sum("log_offset").alias("sum_offset"))
 
 
+def p3_calls(spark: SparkSession, d: str) -> DataFrame:
+    """The copies found by two calls on one index, the second of which takes only the newer half of each partition."""
+    records, batches = table(spark, d, "log_records"), table(spark, d, "batches")
+    cuts = log.bounds(table(spark, d, "segments")).select(*log.TP, F.floor((F.col("log_start") + F.col("log_end")) / 2).alias("cut"))  # a row per partition
+    cut = records.join(F.broadcast(cuts), log.TP)
+    base = shared_dir(spark, "dedup")
+    first = dedup.copies(cut.where("log_offset < cut").drop("cut"), batches, 2, base).withColumn("call", F.lit(1))
+    return first.unionByName(dedup.copies(cut.where("log_offset >= cut").drop("cut"), batches, 2, base).withColumn("call", F.lit(2)))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return chunking.heavy_keys(table(spark, d, "log_records"), table(spark, d, "commits"))
 
@@ -47,7 +57,7 @@ def _feed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return lsm.present_rows(_feed(spark, d)).select("topic", "partition_id", F.col("seq").alias("log_offset"))
+    return lsm.apply_feed(_feed(spark, d)).places().select("topic", "partition_id", F.col("seq").alias("log_offset"))
 
 
 def p5_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -55,6 +65,17 @@ def p5_rows(spark: SparkSession, d: str) -> DataFrame:
     return lsm.present_rows(_feed(spark, d)).select("topic", "partition_id", F.hex("rec_key").alias("rec_key"), F.col("seq").alias("log_offset"), F.hex("rec_value").alias("rec_value"))
 
 
+def p5_calls(spark: SparkSession, d: str) -> DataFrame:
+    """The feed applied in two calls to one table, opened anew for the second, which gets the newer half of each partition: the present rows after each."""
+    feed = _feed(spark, d)
+    cuts = log.bounds(table(spark, d, "segments")).select(*log.TP, F.floor((F.col("log_start") + F.col("log_end")) / 2).alias("cut"))  # a row per partition
+    cut = feed.join(F.broadcast(cuts), log.TP)
+    base = f"{shared_dir(spark, 'lsm')}"
+    first = materialize(lsm.apply_feed(cut.where("seq < cut").drop("cut"), 2, base).places().withColumn("call", F.lit(1)), "p5-call")
+    second = lsm.apply_feed(cut.where("seq >= cut").drop("cut"), 2, base).places().withColumn("call", F.lit(2))
+    return first.unionByName(second).groupBy("call", "topic", "partition_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("seq").alias("sum_offset"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return ledger.unprocessed(table(spark, d, "commits"), table(spark, d, "log_records"))
 
@@ -77,9 +98,9 @@ def p6_runs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p3_found, p3_kept, p4_found, p4_keys, p5_found, p5_rows, p6_found, p6_ledger, p6_runs)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p3_found, p3_kept, p3_calls, p4_found, p4_keys, p5_found, p5_rows, p5_calls, p6_found, p6_ledger, p6_runs)}
 
-_TIMED = """
+TIMED_SQL = """
 rec AS (SELECT DISTINCT topic, partition_id, log_offset, batch_base, timestamp_delta, size_bytes FROM log_records),
 bat AS (SELECT DISTINCT topic, partition_id, base_offset, first_timestamp, epoch_us(append_ts) AS arrived FROM batches),
 timed AS (
@@ -122,8 +143,8 @@ spans AS (
   FROM pos p JOIN ends e ON p.topic = e.topic AND p.partition_id = e.partition_id WHERE p.nth = 1)"""
 
 SQL = {
-    "p1_found": f"WITH {_TIMED} SELECT topic, partition_id, log_offset FROM al WHERE beyond",
-    "p1_periods": f"""WITH {_TIMED},
+    "p1_found": f"WITH {TIMED_SQL} SELECT topic, partition_id, log_offset FROM al WHERE beyond",
+    "p1_periods": f"""WITH {TIMED_SQL},
 ends AS (SELECT topic, partition_id, max(CASE WHEN e * 1000 <= arrived THEN e END) AS end_progress FROM timed WHERE e IS NOT NULL GROUP BY ALL),
 per AS (SELECT *, (floor(e / 3600000.0) * 3600000)::BIGINT AS period_ms FROM al WHERE e IS NOT NULL),
 gaps AS (SELECT topic, partition_id, period_ms, max(e - prev) AS gap FROM (
@@ -142,6 +163,8 @@ SELECT topic, period_ms, sum(n)::BIGINT AS n_records, sum(bytes)::BIGINT AS sum_
   sum(n_held)::BIGINT AS n_held, min(first_e) AS first_e, max(last_e) AS last_e, max(gap) AS max_gap_ms, bool_and(final) AS final
 FROM fin GROUP BY topic, period_ms""",
     "p3_found": f"WITH {_COPIES} SELECT topic, partition_id, log_offset FROM twice",
+    "p3_calls": f"""WITH {_COPIES}, cuts AS (SELECT topic, partition_id, (min(base_offset) + max(next_offset)) // 2 AS cut FROM segments GROUP BY ALL)
+SELECT t.topic, t.partition_id, t.log_offset, CASE WHEN t.log_offset < c.cut THEN 1 ELSE 2 END AS call FROM twice t JOIN cuts c ON t.topic = c.topic AND t.partition_id = c.partition_id""",
     "p3_kept": f"""WITH {_COPIES} SELECT r.topic, r.partition_id, count(*) AS n_records, sum(r.size_bytes)::BIGINT AS sum_bytes,
   sum(r.log_offset)::BIGINT AS sum_offset FROM rec r ANTI JOIN twice t ON r.topic = t.topic AND r.partition_id = t.partition_id
   AND r.log_offset = t.log_offset GROUP BY ALL""",
@@ -159,6 +182,11 @@ SELECT topic, hex(rec_key) AS rec_key, count(*) AS n_rows, sum(size_bytes)::BIGI
 FROM o GROUP BY topic, rec_key""",
     "p5_found": f"WITH {_PRESENT} SELECT topic, partition_id, log_offset FROM newest WHERE nth = 1 AND rec_value IS NOT NULL",
     "p5_rows": f"WITH {_PRESENT} SELECT topic, partition_id, hex(rec_key) AS rec_key, log_offset, hex(rec_value) AS rec_value FROM newest WHERE nth = 1 AND rec_value IS NOT NULL",
+    "p5_calls": f"""WITH {_PRESENT.replace("newest AS", "newest0 AS")},
+cuts AS (SELECT topic, partition_id, (min(base_offset) + max(next_offset)) // 2 AS cut FROM segments GROUP BY ALL),
+each AS (SELECT f.*, 2 AS call FROM feed f UNION ALL SELECT f.*, 1 FROM feed f JOIN cuts c ON c.topic = f.topic AND c.partition_id = f.partition_id WHERE f.log_offset < c.cut),
+newest AS (SELECT *, row_number() OVER (PARTITION BY call, topic, partition_id, rec_key ORDER BY log_offset DESC) AS nth FROM each)
+SELECT call, topic, partition_id, count(*) AS n_rows, sum(log_offset)::BIGINT AS sum_offset FROM newest WHERE nth = 1 AND rec_value IS NOT NULL GROUP BY ALL""",
     "p6_found": f"""WITH {_SPANS} SELECT DISTINCT s.group_id, s.topic, s.partition_id, r.log_offset FROM spans s
 JOIN log_records r ON r.topic = s.topic AND r.partition_id = s.partition_id AND r.log_offset >= s.from_offset""",
     "p6_ledger": f"""WITH {_SPANS} SELECT group_id, topic, partition_id, (hi // 16384 - from_offset // 16384 + 1)::BIGINT AS n_items, from_offset

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.common import shared_dir, table
+from tidelog.common import materialize, shared_dir, table
 from tidelog.functions import codec, names, varint
 from tidelog.operators import compaction, groups, kslack, log, offsets, retention, segments
+from tidelog.plans.pipeline import TIMED_SQL
 from tidelog.streaming import live
 
 #: The clock of the tested queries.
@@ -734,29 +735,109 @@ def high_watermark(spark, d):
     return r.groupBy(*TP).agg(F.min(F.when(recent, F.col("fetched"))).alias("high_watermark"), F.count_if(recent).alias("n_in_sync"), F.max("log_end").alias("log_end"))
 
 
-def group_events_of(stream: DataFrame) -> DataFrame:
-    """A history of joins, syncs, heartbeats and departures made of commits, a table or a stream: what a member does follows from ``seq``."""
+# A history of groups: seq, group, op, member, client, generation, topics, protocols, time, assignments; and what must come of it: member, error,
+# generation, state, members, leader, protocol, assignment.
+_O, _R = ["o"], ["range"]
+HISTORY = [
+    # one member settles at once, and its own assignment comes back
+    (1, "g", "join", "", "a", -1, _O, _R, 1000, {}, "a-1", 0, 1, "completing", 1, "a-1", "range", ""),
+    (2, "g", "sync", "a-1", "a", 1, [], [], 1000, {"a-1": "x"}, "a-1", 0, 1, "stable", 1, "a-1", "range", "x"),
+    # groups are independent, member numbers go on over all of them
+    (3, "h", "join", "", "b", -1, _O, _R, 1000, {}, "b-2", 0, 1, "completing", 1, "b-2", "range", ""),
+    # a second member starts a rebalance, of which the first hears by its heartbeat
+    (4, "g", "join", "", "b", -1, _O, _R, 1000, {}, "b-3", 14, 1, "preparing", 2, "a-1", "range", ""),
+    (5, "g", "heartbeat", "a-1", "a", 1, [], [], 1000, {}, "a-1", 14, 1, "preparing", 2, "a-1", "range", ""),
+    (6, "g", "join", "a-1", "a", -1, _O, _R, 1000, {}, "a-1", 0, 2, "completing", 2, "a-1", "range", ""),
+    # a stale generation is fenced out
+    (7, "g", "heartbeat", "a-1", "a", 1, [], [], 1000, {}, "a-1", 12, 2, "completing", 2, "a-1", "range", ""),
+    (8, "g", "sync", "a-1", "a", 1, [], [], 1000, {"a-1": "old"}, "a-1", 12, 2, "completing", 2, "a-1", "range", ""),
+    # a follower that syncs before the leader asks again; then each gets its own assignment
+    (9, "g", "sync", "b-3", "b", 2, [], [], 1000, {}, "b-3", 14, 2, "completing", 2, "a-1", "range", ""),
+    (10, "g", "sync", "a-1", "a", 2, [], [], 1000, {"a-1": "p", "b-3": "q", "z": "r"}, "a-1", 0, 2, "stable", 2, "a-1", "range", "p"),
+    # a retry after the group has settled is no rebalance, a new subscription is one
+    (11, "g", "join", "b-3", "b", -1, _O, _R, 1000, {}, "b-3", 0, 2, "stable", 2, "a-1", "range", ""),
+    (12, "g", "sync", "b-3", "b", 2, [], [], 1000, {}, "b-3", 0, 2, "stable", 2, "a-1", "range", "q"),
+    (13, "g", "heartbeat", "b-3", "b", 2, [], [], 1000, {}, "b-3", 0, 2, "stable", 2, "a-1", "range", ""),
+    (14, "g", "join", "b-3", "b", -1, ["o", "p"], _R, 1000, {}, "b-3", 14, 2, "preparing", 2, "a-1", "range", ""),
+    (15, "g", "join", "a-1", "a", -1, _O, _R, 1000, {}, "a-1", 0, 3, "completing", 2, "a-1", "range", ""),
+    # strangers are refused; who is left has to join again
+    (16, "g", "leave", "nobody", "", -1, [], [], 1000, {}, "nobody", 13, 3, "completing", 2, "a-1", "range", ""),
+    (17, "g", "leave", "b-3", "b", -1, [], [], 1000, {}, "b-3", 0, 3, "preparing", 1, "a-1", "range", ""),
+    (18, "g", "join", "nobody", "b", -1, _O, _R, 1000, {}, "nobody", 13, 3, "preparing", 1, "a-1", "range", ""),
+    (19, "g", "join", "a-1", "a", -1, _O, _R, 1000, {}, "a-1", 0, 4, "completing", 1, "a-1", "range", ""),
+    # the last one's departure removes the group; the next of its name begins anew
+    (20, "g", "leave", "a-1", "a", -1, [], [], 1000, {}, "a-1", 0, 0, "empty", 0, "", "", ""),
+    (21, "g", "join", "", "c", -1, _O, _R, 1000, {}, "c-4", 0, 1, "completing", 1, "c-4", "range", ""),
+    (22, "", "join", "", "d", -1, _O, _R, 1000, {}, "", 15, 0, "empty", 0, "", "", ""),
+    (23, "h", "sync", "b-2", "b", 1, [], [], 1000, {"b-2": "w"}, "b-2", 0, 1, "stable", 1, "b-2", "range", "w"),
+    # one member of two falls silent, then the other
+    (24, "e", "join", "", "x", -1, _O, _R, 1000, {}, "x-5", 0, 1, "completing", 1, "x-5", "range", ""),
+    (25, "e", "join", "", "y", -1, _O, _R, 1000, {}, "y-6", 14, 1, "preparing", 2, "x-5", "range", ""),
+    (26, "e", "join", "x-5", "x", -1, _O, _R, 1000, {}, "x-5", 0, 2, "completing", 2, "x-5", "range", ""),
+    (27, "e", "heartbeat", "x-5", "x", 2, [], [], 4000, {}, "x-5", 0, 2, "completing", 2, "x-5", "range", ""),
+    (28, "e", "tick", "", "", -1, [], [], 6500, {}, "", 0, 2, "preparing", 1, "x-5", "range", ""),
+    (29, "e", "heartbeat", "x-5", "x", 2, [], [], 6500, {}, "x-5", 14, 2, "preparing", 1, "x-5", "range", ""),
+    (30, "e", "tick", "", "", -1, [], [], 20_000, {}, "", 0, 0, "empty", 0, "", "", ""),
+    (31, "e", "heartbeat", "x-5", "x", 2, [], [], 20_000, {}, "x-5", 13, 0, "empty", 0, "", "", ""),
+    # the protocol is one that all have, or none
+    (32, "p", "join", "", "a", -1, _O, ["range", "roundrobin"], 20_000, {}, "a-7", 0, 1, "completing", 1, "a-7", "range", ""),
+    (33, "p", "join", "", "b", -1, _O, ["roundrobin"], 20_000, {}, "b-8", 14, 1, "preparing", 2, "a-7", "range", ""),
+    (34, "p", "join", "a-7", "a", -1, _O, ["range", "roundrobin"], 20_000, {}, "a-7", 0, 2, "completing", 2, "a-7", "roundrobin", ""),
+    (35, "q", "join", "", "a", -1, _O, ["range"], 20_000, {}, "a-9", 0, 1, "completing", 1, "a-9", "range", ""),
+    (36, "q", "join", "", "b", -1, _O, ["roundrobin"], 20_000, {}, "b-10", 14, 1, "preparing", 2, "a-9", "range", ""),
+    (37, "q", "join", "a-9", "a", -1, _O, ["range"], 20_000, {}, "a-9", 0, 2, "completing", 2, "a-9", "", ""),
+]
+_TOLD = "seq, group_id, op, member_id, error, generation, state, n_members, leader, protocol, assignment"
+_HISTORY_SQL = f"SELECT * FROM (VALUES {', '.join(str((x[0], x[1], x[2], *x[10:])) for x in HISTORY)}) t({_TOLD})"
+
+
+def history(spark: SparkSession) -> DataFrame:
+    rows = [(seq, g, op, who, client, None, gen, topics, protocols, 5_000 if g == "e" else 10_000, at, given) for seq, g, op, who, client, gen, topics, protocols, at, given, *_ in HISTORY]
+    return spark.createDataFrame(rows, groups.EVENTS)
+
+
+def group_events_of(commits: DataFrame) -> DataFrame:
+    """A history of joins, syncs, heartbeats and departures made of commits: what a member does follows from ``seq``."""
     seq = F.col("seq")
     op = F.when(seq % 11 == 0, "leave").when(seq % 3 == 0, "heartbeat").when(seq % 3 == 1, "sync").otherwise("join")
-    known = F.when(seq % 6 == 2, F.lit("")).otherwise(F.concat(F.lit("c-"), (seq % 4).cast("string")))
-    return stream.dropDuplicates(["seq"]).select(
+    known = F.when(seq % 6 == 2, F.lit("")).otherwise(F.concat(F.lit("c-"), (seq % 40).cast("string")))
+    return commits.dropDuplicates(["seq"]).select(
         "seq", "group_id", op.alias("op"), known.alias("member_id"), F.lit("c").alias("client_id"), (seq % 5).cast("int").alias("generation"), F.array("topic").alias("topics"),
-        F.array(F.lit("range")).alias("protocols"), F.lit(2_000_000_000).alias("timeout_ms"), F.col("commit_ts_ms").alias("ts_ms"),
+        F.array(F.lit("range")).alias("protocols"), F.lit(2_000_000_000).alias("timeout_ms"), F.col("commit_ts_ms").alias("ts_ms"), F.create_map(known, F.col("topic")).alias("assignments"),
     )
 
 
-@query()
+@query(_HISTORY_SQL)
 def group_replay(spark, d):
-    return groups.replay_events(group_events_of(table(spark, d, "commits")))
+    """The coordinator over a written history, whose answers are written beside it."""
+    return groups.replay_events(history(spark)).select(*_TOLD.split(", "))
 
 
 # ---- streams
 
+#: Micro-batches in which the tables come to the streaming queries.
+TRIGGERS = 4
+
+
+def _nth(order: str, lo: Column, hi: Column) -> Column:
+    """The micro-batch of a row: equal shares of the range of ``order``."""
+    return F.floor((F.col(order) - lo) * TRIGGERS / (hi - lo + 1)).cast("int")
+
+
+def _as_stream(spark: SparkSession, d: str, name: str, order: str, by: list[str], columns: list[str] | None = None) -> DataFrame:
+    """A table as it grows: the rows of each ``by`` come in the order of ``order``, in TRIGGERS micro-batches that cut through batches of the log."""
+    rows = table(spark, d, name)
+    ends = rows.groupBy(*by).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))  # a row per partition
+    cut = rows.crossJoin(F.broadcast(ends)) if not by else rows.join(F.broadcast(ends), by)  # without ``by``, one row
+    part = cut.withColumn("__at", _nth(order, F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
+    stream = live.staged(part.select(*(columns or rows.columns), "__at"), F.col("__at"), TRIGGERS, shared_dir(spark, f"stream-{name}"))
+    return stream.drop("__at")
+
 
 @query(SQL["append_offsets"])
 def stream_offsets(spark, d):
     """Offsets given out by a stream; equal to those of one append."""
-    e = live.read_table(spark, d, "events").withColumn("partition_id", _partition())
+    e = _as_stream(spark, d, "events", "event_id", [], ["event_id", "user_id"]).withColumn("partition_id", _partition())
     out = live.run_to_end(live.give_offsets(e, "event_id"), shared_dir(spark, "stream-offsets"))
     return out.select("event_id", "partition_id", "log_offset")
 
@@ -770,47 +851,72 @@ _CHANGES = "rec_key is not null"
 def stream_compacted(spark, d):
     """The compacted topics as a view kept up by a stream."""
     topics = [r["topic"] for r in table(spark, d, "topic_meta").where("cleanup = 1").select("topic").distinct().collect()]
-    changes = live.read_table(spark, d, "log_records").where(_CHANGES).where(F.col("topic").isin(topics)).select(*TP, "rec_key", F.col("log_offset").alias("seq"), "rec_value")
+    rows = _as_stream(spark, d, "log_records", "log_offset", TP, [*TP, "log_offset", "rec_key", "rec_value"])
+    changes = rows.where(_CHANGES).where(F.col("topic").isin(topics)).select(*TP, "rec_key", F.col("log_offset").alias("seq"), "rec_value")
     view = live.compacted_view(changes, shared_dir(spark, "stream-compacted"), 4)
     return view.select(*TP, F.hex("rec_key").alias("rec_key"), "seq")
 
 
-@query()
-def stream_group(spark, d):
-    """The coordinator on a stream of group events."""
-    c = live.read_table(spark, d, "commits")
-    return live.run_to_end(live.coordinate(group_events_of(c)), shared_dir(spark, "stream-group"))
-
-
 @query("SELECT topic, partition_id, count(DISTINCT log_offset) AS n_records FROM log_records GROUP BY ALL")
 def stream_consume(spark, d):
     """Everything that is there, handed out batch by batch to a sink whose output a repeated batch overwrites."""
     base = shared_dir(spark, "stream-consume")
-    stream = live.read_table(spark, d, "log_records").select(*TP, "log_offset")
+    stream = _as_stream(spark, d, "log_records", "log_offset", TP, [*TP, "log_offset"])
     live.consume(stream, base, lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}"))
     return spark.read.parquet(f"{base}/out").select(*TP, "log_offset").distinct().groupBy(*TP).agg(F.count(F.lit(1)).alias("n_records"))
 
 
-@query("SELECT 'reader' AS group_id, topic, partition_id, max(log_offset) + 1 AS next_offset FROM log_records GROUP BY ALL")
+@query(f"""WITH {POS}, mine AS (SELECT topic, partition_id, next_offset FROM pos WHERE group_id = (SELECT min(group_id) FROM commits))
+SELECT r.topic, r.partition_id, count(DISTINCT r.log_offset) AS n_records, min(r.log_offset) AS first_offset, max(r.log_offset) + 1 AS next_offset FROM log_records r
+LEFT JOIN mine m ON r.topic = m.topic AND r.partition_id = m.partition_id WHERE r.log_offset >= coalesce(m.next_offset, 0) GROUP BY ALL""")
 def stream_group_consume(spark, d):
-    """Everything consumed for a group, which commits its positions after each output."""
-    base = shared_dir(spark, "stream-group-consume")
-    stream = live.read_table(spark, d, "log_records").select(*TP, "log_offset")
-    live.consume_group(stream, "reader", base, lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}"), f"{base}/positions")
-    commits = spark.read.parquet(f"{base}/positions/*/*")
-    return commits.groupBy(*GTP).agg(F.max_by("next_offset", "seq").alias("next_offset"))
-
-
-@query()
+    """Everything that the first group by name hasn't consumed yet: it goes on from its committed positions and commits new ones after each output."""
+    base, c = shared_dir(spark, "stream-group-consume"), table(spark, d, "commits")
+    group = c.agg(F.min("group_id")).first()[0]
+    stream = _as_stream(spark, d, "log_records", "log_offset", TP, [*TP, "log_offset"])
+    live.consume_group(stream, group, base, lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}"), f"{base}/positions", offsets.replay(c))
+    commits = spark.read.parquet(f"{base}/positions/*/*").groupBy(*TP).agg(F.max_by("next_offset", "seq").alias("next_offset"))
+    read = spark.read.parquet(f"{base}/out").groupBy(*TP).agg(F.count_distinct("log_offset").alias("n_records"), F.min("log_offset").alias("first_offset"))
+    return read.join(commits, TP)
+
+
+@query("""SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL
+HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""")
 def stream_hourly(spark, d):
     """Counts per hour and type of event, given out as the watermark passes."""
-    e = live.read_table(spark, d, "events").select("ts", "event_type")
+    e = _as_stream(spark, d, "events", "event_id", [], ["event_id", "ts", "event_type"])
     return live.run_to_end(live.hourly_counts(e, "ts", "event_type"), shared_dir(spark, "stream-hourly"))
 
 
-@query()
+def _slack(spark: SparkSession, d: str) -> live.KSlack:
+    timed = kslack.event_times(_as_stream(spark, d, "log_records", "log_offset", TP, [*kslack.BATCH, "log_offset", "timestamp_delta", "size_bytes"]), table(spark, d, "batches"))
+    return live.KSlack(spark, shared_dir(spark, "stream-kslack")).run(timed)
+
+
+_ENDS = """ends AS (SELECT topic, partition_id, max(top) AS done FROM (
+  SELECT *, batch_base = max(batch_base) OVER (PARTITION BY topic, partition_id) AS open FROM tops WHERE batch_base IN (SELECT batch_base FROM timed t WHERE t.topic = tops.topic AND t.partition_id = tops.partition_id AND e IS NOT NULL)) WHERE NOT open GROUP BY ALL)"""
+
+
+@query(_HISTORY_SQL)
+def stream_group(spark, d):
+    """The coordinator on the written history as a stream of micro-batches."""
+    events = groups.issue(history(spark).drop("issued")).withColumn("__at", F.floor((F.col("seq") - 1) / 10).cast("int"))
+    stream = live.staged(events, F.col("__at"), 4, shared_dir(spark, "stream-groups")).drop("__at")
+    told = live.run_to_end(live.coordinate(stream), shared_dir(spark, "stream-group"))
+    return told.where("op <> 'timer'").select(*_TOLD.split(", "))
+
+
+@query(f"""WITH {TIMED_SQL}, {_ENDS} SELECT al.topic, al.partition_id, CASE WHEN beyond THEN 'late' ELSE 'released' END AS kind, log_offset, e
+FROM al LEFT JOIN ends ON al.topic = ends.topic AND al.partition_id = ends.partition_id WHERE beyond OR e < done - 7200000""")
 def stream_kslack(spark, d):
-    """The K-slack buffer on a stream: how many records of each partition came too late, were released, and in what order."""
-    timed = kslack.event_times(live.read_table(spark, d, "log_records"), table(spark, d, "batches"))
-    out = live.run_to_end(live.k_slack(timed, kslack.CUTOFF_MS), shared_dir(spark, "stream-kslack"))
-    return out.select(*TP, "kind", "log_offset", "e", "nth")
+    """The K-slack buffer on a stream: the records that came too late, and those released so far, of four micro-batches that cut through batches."""
+    return _slack(spark, d).out().drop("step")
+
+
+@query(f"""WITH {TIMED_SQL}, {_ENDS}, x AS (SELECT al.*, (floor(e / 3600000.0) * 3600000)::BIGINT AS period_ms, coalesce(e < done - 7200000, false) AS final
+  FROM al LEFT JOIN ends ON al.topic = ends.topic AND al.partition_id = ends.partition_id WHERE NOT beyond AND e IS NOT NULL)
+SELECT topic, period_ms, count(*) FILTER (final) AS n_final, coalesce(sum(size_bytes) FILTER (final), 0)::BIGINT AS bytes_final, count(*) FILTER (NOT final) AS n_held,
+  coalesce(sum(size_bytes) FILTER (NOT final), 0)::BIGINT AS bytes_held FROM x GROUP BY ALL""")
+def stream_periods(spark, d):
+    """Counts and sums per topic and hour of event time as published after the last micro-batch: final ones of what left the buffer, provisional ones of what is in it."""
+    return _slack(spark, d).published()
