@@ -10,14 +10,14 @@ likely garbled than not, and is repaired word by word by the chains of its poste
 
 Within a line the evidence of a chain is that of its best run of words, less the price of a change (``SWITCH``): text may be garbled in part.
 Numeric and named character references are read as the characters they stand for. U+FFFD within a text shows that
-a decoder met bytes it couldn't read; the original is lost then. At the very end it only shows that the text was cut.
+a decoder met bytes it couldn't read; it is a chain of its own (``lost``), whose likelihood is LOST nats a character and whose prior is learned like any other's. The original is lost then. At the very end it only shows that the text was cut.
 
 The character model counts, for words with characters beyond ASCII, single characters, pairs and triples, hashed into
 tables of fixed size, over all documents; a word counts once a document.
 
-Scale: two narrow passes over the text (counting, scoring); what is shuffled is the model's table and a row per part with evidence. The
-broadcast model has a fixed size of 13 MB. Priors are tables keyed by source and field, joined by hash; a hot
-source is pre-aggregated like any other. EM runs on evidence written to the shared folder.
+Scale: three narrow passes over the text (two that count, one that scores; a fourth where text is restored); what is shuffled is the model's table and a row per part and chain with evidence. The
+broadcast model has a fixed size of 13 MB. Priors are tables keyed by source and field, pre-aggregated and joined by hash with a salt, so that a hot
+source is spread. EM runs on evidence written to the shared folder until the priors have settled.
 
 Nulls and odd input: null, empty and pure ASCII texts without references are sound; a null source is a source of its own; repeated doc_ids give
 one row; any length is read whole; an empty table gives an empty result.
@@ -53,7 +53,9 @@ FAR = 15.0
 #: Nats: the price of writing a word in capitals.
 CAPITALS = 2.0
 #: Weight of the overall prior, in documents, within the prior of a source and field; share of garbled parts assumed at first.
-PRIOR_DOCS, FIRST_SHARE, ROUNDS, MODEL_ROUNDS = 20.0, 0.02, 4, 2
+PRIOR_DOCS, FIRST_SHARE, ROUNDS, MODEL_ROUNDS = 20.0, 0.02, 12, 2
+#: Change of a chain's prior, as a share of itself, below which EM has settled; tasks over which one source's evidence is spread.
+SETTLED, SALTS = 0.01, 16
 #: Characters of words that are learned or scored at a time, for the memory they take.
 PART = 1 << 18
 #: Words that a worker remembers before it starts anew; words from which on no further text is learned along with others.
@@ -66,6 +68,8 @@ SINGLE = ["cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866
 ONLY_WRITTEN = ["iso8859-5", "mac-cyrillic", "iso8859-7", "iso8859-9", "iso8859-6"]
 MULTI = ["cp932", "gb18030", "cp949", "big5", "euc-jp"]
 WESTERN = ["cp1252", "latin-1"]
+#: Readings that are one and the same chain: a text shows which of the two it was only in the words that have a control.
+ONE = {"latin-1": "cp1252"}
 CYRILLIC = ["cp1251", "koi8-r", "cp866", "iso8859-5", "mac-cyrillic"]
 #: Which encodings may have been written, by the one the text was read in.
 WRITTEN = {
@@ -94,6 +98,7 @@ ALONE = ", alone"
 #: What is left of punctuation in UTF-8 that was read as windows-1252 or its subset and then lost its control characters.
 LEFT, LEFT_OF = "â", "’“”–—…"
 _REFERENCE = re.compile(r"&#?\w{2,31};?")
+_BEYOND = re.compile(r"[^\x00-\x7f]")
 _CONTROL = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\x9f]")
 
 
@@ -114,6 +119,7 @@ class Undo:
     def __init__(self) -> None:
         self.table = {e: letters_of(e) for e in (*SINGLE, *ONLY_WRITTEN)}
         self.map = {e: codecs.charmap_build(self.table[e]) for e in SINGLE}
+        self.run = {e: re.compile(f"[{re.escape(self.table[e] + REPLACEMENT)}]+") for e in SINGLE}
 
     def bytes_of(self, word: str, read: str) -> bytes | None:
         word = word.replace(REPLACEMENT, GONE)  # the byte is lost; some encodings could write the sign itself
@@ -123,23 +129,24 @@ class Undo:
             return None
 
     def written(self, raw: bytes, encoding: str) -> tuple[str, int] | None:
-        """The text and the number of characters lost, if nearly all of ``raw`` can be read."""
+        """The text and the number of characters lost, if no more were lost than characters beyond ASCII could be read."""
         if encoding in self.table:
             return codecs.charmap_decode(raw, "strict", self.table[encoding])[0].replace(GONE, REPLACEMENT), 0
         try:
             return raw.decode(encoding).replace(GONE, REPLACEMENT), 0
         except UnicodeDecodeError:
-            if len(raw) < 12:
-                return None
             text = raw.decode(encoding, "replace")
             lost = text.count(REPLACEMENT)
-            return (text.replace(REPLACEMENT, "").replace(GONE, REPLACEMENT), lost) if lost * 10 <= len(text) else None
+            read = len(_BEYOND.findall(text)) - lost
+            return (text.replace(REPLACEMENT, "").replace(GONE, REPLACEMENT), lost) if lost <= read else None
 
     def cut(self, word: str, chain: str) -> bool:
         """Whether undoing ``chain`` leaves an incomplete character at the end of ``word``."""
         for step in reversed(chain.removesuffix(ALONE).split("+")):
             encoding, _, read = step.partition(">")
             raw = self.bytes_of(word, read) if "," not in read else None
+            if raw is None and read in ONE.values():
+                raw = self.bytes_of(word, "latin-1")
             if raw is None or encoding in self.table:
                 return False
             decoder = codecs.getincrementaldecoder(encoding)("replace")
@@ -152,31 +159,48 @@ class Undo:
     def valid(text: str, encoding: str, read: str) -> float:
         return VALID_UTF8 * min(3, sum(c > "\x7f" for c in text)) if encoding == "utf-8" and read in SINGLE else 0.0
 
+    def pieces(self, word: str, read: str) -> list[tuple[int, int, bytes]]:
+        """The parts of ``word`` that can come of a reading, and their bytes: all of it, or else, of a single-byte reading, its longest runs with characters beyond ASCII."""
+        if (raw := self.bytes_of(word, read)) is not None:
+            return [(0, len(word), raw)]
+        if read not in self.run:
+            return []
+        return [(m.start(), m.end(), self.bytes_of(m[0], read)) for m in self.run[read].finditer(word) if not m[0].isascii()]
+
+    def undone(self, word: str, pieces: list[tuple[int, int, bytes]], encoding: str, read: str) -> tuple[str, float] | None:
+        """``word`` with the pieces read as ``encoding`` that can be, and the bonus less what was lost; None where that changes nothing."""
+        out, at, bonus = [], 0, 0.0
+        for start, end, raw in pieces:
+            got = self.written(raw, encoding)
+            if got and got[0] != word[start:end] and not _CONTROL.search(got[0]):
+                out += [word[at:start], got[0]]
+                at, bonus = end, bonus + self.valid(got[0], encoding, read) - LOST * got[1]
+        return ("".join(out) + word[at:], bonus) if at else None
+
     def steps(self, word: str) -> list[tuple[str, str, float]]:
         """(chain, text, bonus) for every way to undo one wrong reading of ``word``."""
-        beyond = sum(c > "\x7f" for c in word)
-        dense, several = beyond >= 2 and 2 * beyond >= len(word), beyond >= 2
         out, seen = [], set()
         for read in (*SINGLE, *MULTI[:4]):  # whether a word can come of a reading, only encoding it shows: mac-roman has U+F8FF and two ligatures
-            if (raw := self.bytes_of(word, read)) is None:
+            if not (pieces := self.pieces(word, read)):
                 continue
+            beyond = sum(c > "\x7f" for a, b, _ in pieces for c in word[a:b])
+            dense, several = beyond >= 2 and 2 * beyond >= sum(b - a for a, b, _ in pieces), beyond >= 2
+            same, name = tuple(pieces), ONE.get(read, read)
             for encoding in ("utf-8", *WRITTEN[read]):
-                if (raw, encoding) in seen or (encoding in DENSE and not dense) or (encoding in MULTI and not several):
+                if (same, encoding) in seen or (encoding in DENSE and not dense) or (encoding in MULTI and not several):
                     continue
                 alone = read in MULTI and beyond == 1 and encoding == "utf-8"
                 if read in MULTI and encoding in MULTI and beyond < 3:  # a character or two read as any other: no evidence
                     continue
-                seen.add((raw, encoding))
-                if got := self.written(raw, encoding):
-                    text, lost = got
-                    if alone:  # a sign that became one letter, such as the dot between menu items
-                        if all(c <= "\x7f" or unicodedata.category(c)[0] in "PS" for c in text):
-                            out.append((f"{encoding}>{read}{ALONE}", text, -LOST * lost))
-                        continue
-                    if text != word and not _CONTROL.search(text):
-                        out.append((f"{encoding}>{read}", text, self.valid(text, encoding, read) - LOST * lost))
+                seen.add((same, encoding))
+                if alone:  # a sign that became one letter, such as the dot between menu items
+                    text, lost = self.written(pieces[0][2], encoding) or ("a", 0)
+                    if all(c <= "\x7f" or unicodedata.category(c)[0] in "PS" for c in text) and not text.isascii():
+                        out.append((f"{encoding}>{read}{ALONE}", text, -LOST * lost))
+                elif got := self.undone(word, pieces, encoding, read):
+                    out.append((f"{encoding}>{name}", *got))
             if read == "latin-1" and re.search("[\x80-\x9f]", word):  # controls are windows-1252 read as its subset
-                text = codecs.charmap_decode(raw, "strict", self.table["cp1252"])[0]
+                text = "".join(self.table["cp1252"][ord(c)] if "\x80" <= c <= "\x9f" else c for c in word)
                 if text != word and not _CONTROL.search(text):
                     out.append(("cp1252>latin-1", text, VALID_UTF8))
         return out
@@ -189,7 +213,7 @@ class Undo:
             raw = self.bytes_of(word, read)
             got = self.written(raw, "utf-8") if raw is not None else None
             if got and got[0] != word and _CONTROL.search(got[0]):
-                first.append((f"utf-8>{read}", got[0], self.valid(got[0], "utf-8", read) - LOST * got[1]))
+                first.append((f"utf-8>{ONE.get(read, read)}", got[0], self.valid(got[0], "utf-8", read) - LOST * got[1]))
         out = [x for x in first if not _CONTROL.search(x[1])]
         if LEFT in word:
             out += [("utf-8>latin-1, controls lost", word.replace(LEFT, c), 0.0) for c in LEFT_OF]
@@ -458,32 +482,42 @@ def evidence(documents: DataFrame, table: np.ndarray | None = None) -> DataFrame
 
 
 def posteriors(scored: DataFrame, documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """EM over the evidence: doc_id, field, chain and posterior of each chain of each part that has evidence."""
-    scored = materialize(scored.withColumn("source", F.coalesce("source", F.lit(""))), "mojibake")
-    parts = documents.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.countDistinct("doc_id").alias("n_docs"))
-    n = parts.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0] or 1
+    """EM over the evidence: doc_id, field, chain and posterior of each chain of each part that has evidence.
+
+    Ends when no chain's share of the parts changes by more than ``SETTLED`` of itself, or after ``rounds``.
+    """
+    spark = scored.sparkSession
     part = ["doc_id", "source", "field"]
+    salted = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")  # a source with most of the evidence is spread over so many tasks
+    salts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")
+    pages = documents.groupBy(F.coalesce("source", F.lit("")).alias("source"), salted.alias("salt")).agg(F.count_distinct("doc_id").alias("n"))
+    pages = materialize(pages.groupBy("source").agg(F.sum("n").alias("n_docs")), "mojibake-sources")
+    n = pages.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0] or 1
+    told = scored.withColumns({"source": F.coalesce("source", F.lit("")), "salt": salted})
+    scored = materialize(told.join(pages.select("source", "n_docs", salts), ["source", "salt"]), "mojibake")
     chains = [r["chain"] for r in scored.select("chain").distinct().collect()]  # the inventory of chains bounds this
     overall = dict.fromkeys(chains, FIRST_SHARE / max(1, len(chains)))
     local: DataFrame | None = None
-    answer = scored.withColumn("posterior", F.lit(0.0))
     for k in range(rounds):
-        general = scored.sparkSession.createDataFrame(list(overall.items()), "chain string, general double")  # a row per chain
+        general = spark.createDataFrame(list(overall.items()), "chain string, general double")  # a row per chain
         prior = scored.join(F.broadcast(general), "chain")
         if local is not None:
-            prior = prior.join(local, ["source", "field", "chain"], "left")
-            prior = prior.join(parts, "source").withColumn("prior", (F.coalesce("weight", F.lit(0.0)) + PRIOR_DOCS * F.col("general")) / (F.col("n_docs") + PRIOR_DOCS)).drop("weight", "n_docs")
+            prior = prior.join(local.select("*", salts), ["source", "field", "chain", "salt"], "left")
+            prior = prior.withColumn("prior", (F.coalesce("weight", F.lit(0.0)) + PRIOR_DOCS * F.col("general")) / (F.col("n_docs") + PRIOR_DOCS)).drop("weight")
         else:
             prior = prior.withColumn("prior", F.col("general"))
         # what isn't garbled is sound, with a gain of 0
-        odds = F.least(F.col("gain") + F.log("prior"), F.lit(300.0))
-        summed = prior.withColumn("odds", F.exp(odds)).groupBy(*part).agg(F.sum("odds").alias("all"))
-        answer = prior.withColumn("odds", F.exp(odds)).join(summed, part).withColumn("posterior", F.col("odds") / (F.col("all") + 1.0)).select(*part, "chain", "gain", "posterior")
-        if k < rounds - 1:
-            local = materialize(answer.groupBy("source", "field", "chain").agg(F.sum("posterior").alias("weight")), f"mojibake-em{k}")
-            seen = {r["chain"]: r["w"] for r in local.groupBy("chain").agg(F.sum("weight").alias("w")).collect()}
-            overall = {c: (seen.get(c, 0.0) + FIRST_SHARE) / (3.0 * n + len(chains)) for c in chains}
-    return answer
+        odds = prior.withColumn("odds", F.exp(F.least(F.col("gain") + F.log("prior"), F.lit(300.0))))
+        whole = odds.groupBy(*part).agg(F.sum("odds").alias("all"), F.collect_list(F.struct("chain", "gain", "odds", "salt")).alias("ways"))  # as many as there are chains at most
+        answer = whole.select(*part, "all", F.explode("ways").alias("w")).select(*part, "w.chain", "w.gain", (F.col("w.odds") / (F.col("all") + 1.0)).alias("posterior"))
+        if k == rounds - 1:
+            break
+        local = materialize(answer.groupBy("source", "field", "chain").agg(F.sum("posterior").alias("weight")), f"mojibake-em{k}")
+        seen = {r["chain"]: r["w"] for r in local.groupBy("chain").agg(F.sum("weight").alias("w")).collect()}
+        was, overall = overall, {c: (seen.get(c, 0.0) + FIRST_SHARE) / (3.0 * n + len(chains)) for c in chains}
+        if k and all(abs(overall[c] - was[c]) <= SETTLED * was[c] for c in chains):
+            break  # the answer above is that of priors which the next round wouldn't move
+    return answer if chains else scored.select(*part, "chain", "gain", F.lit(0.0).alias("posterior"))
 
 
 def garbled(documents: DataFrame) -> DataFrame:
@@ -499,29 +533,37 @@ def _repair(table, key: str):
         scorer = m.scorer(table, key)
         for batch in batches:
             out = []
-            for text, chains in zip(batch["text"], batch["chains"], strict=True):
-                text, allowed = m.plain(text), set(chains)
-                scorer.learn({w for _, line, _ in m.words_by_line(text) for w in line})
-
-                def fixed(word: str, allowed=allowed) -> str:
-                    ways = [g for c, g in scorer.known.get(word, {}).items() if c in allowed]
-                    return max(ways)[1] if ways else word
-
-                out.append("\n".join(" ".join(w if w.isascii() else fixed(w) for w in line.split(" ")) for line in text.split("\n")))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "chains": batch["chains"], "repaired": out})
+            for text, ways in zip(batch["text"], batch["ways"], strict=True):
+                allowed: dict[str, set[str]] = {}
+                for w in ways:
+                    allowed.setdefault(w["field"], set()).add(w["chain"])
+                read = {w: p for line in text.split("\n") for w in line.split(" ") if not (p := m.plain(w)).isascii()}  # as written, and with its references read
+                scorer.learn(set(read.values()))
+                last, lines, any_ = m.plain(text).rstrip().count("\n"), [], {w["chain"] for w in ways}
+                for i, line in enumerate(text.split("\n")):
+                    mine = allowed.get("head" if i == 0 else "tail" if i >= last else "body", set())
+
+                    def fixed(word: str, mine=mine, any_=any_, read=read) -> str:
+                        # a chain that only another field shows must be worth the price of a change
+                        found = [g for c, g in scorer.known.get(read.get(word, ""), {}).items() if c in mine or (c in any_ and g[0] > m.SWITCH)]
+                        return max(found)[1] if found else word  # a sound word stays as it is written, references included
+
+                    lines.append(" ".join(map(fixed, line.split(" "))))
+                out.append("\n".join(lines))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "chains": [sorted({w["chain"] for w in ways}, key=lambda c, ways=ways: (-max(w["p"] for w in ways if w["chain"] == c), c)) for ways in batch["ways"]], "repaired": out})
 
     return repair
 
 
 def repaired(documents: DataFrame) -> DataFrame:
-    """Found documents with their chains (most likely first) and the text restored as far as possible."""
+    """Found documents with their chains (most likely first) and the text restored as far as possible: each field by the chains of its own posterior, and
+    by those of others where a word gains more than the price of a change."""
     spark, table = documents.sparkSession, corpus_model(documents)
     post = posteriors(evidence(documents, table), documents)
     parts = post.groupBy("doc_id", "field").agg(F.sum("posterior").alias("found"), F.max("posterior").alias("top"), F.collect_list(F.struct("posterior", "chain")).alias("ways"))
-    kept = parts.select("doc_id", "found", "top", F.explode("ways").alias("way")).where("way.posterior > 0.2 or (found > 0.5 and way.posterior = top)")  # the best of a found part, however many are like it
-    by_doc = kept.groupBy("doc_id", "way.chain").agg(F.max("way.posterior").alias("p"), F.max("found").alias("found"))
-    chains = F.transform(F.sort_array(F.collect_list(F.struct("p", "chain")), False), lambda x: x["chain"])
-    wanted = by_doc.groupBy("doc_id").agg(F.max("found").alias("found"), chains.alias("chains")).where("found > 0.5").drop("found")
+    kept = parts.select("doc_id", "field", "found", "top", F.explode("ways").alias("way")).where("way.posterior > 0.2 or (found > 0.5 and way.posterior = top)")  # the best of a found part, however many are like it
+    by_doc = kept.groupBy("doc_id").agg(F.max("found").alias("found"), F.collect_list(F.struct("field", "way.chain", F.col("way.posterior").alias("p"))).alias("ways"))
+    wanted = by_doc.where("found > 0.5").drop("found")
     sent = spark.sparkContext.broadcast(table)
     rows = documents.select("doc_id", "text").where("text is not null").join(wanted, "doc_id").dropDuplicates(["doc_id"])
     return rows.mapInPandas(_repair(sent, name_of(sent)), "doc_id bigint, chains array<string>, repaired string")

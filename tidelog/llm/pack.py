@@ -5,7 +5,7 @@ into the first bin with room for it; a tournament tree over the room left in the
 document longer than the capacity is cut into full containers and a rest, which is an item like any other; no other document is
 ever cut.
 
-Scale: sizes are measured in one narrow pass; only (id, size) is shuffled. Groups hold ``GROUP_DOCS`` documents on average, so their number grows
+Scale: sizes are measured in one narrow pass; only (id, size) is shuffled, once for all capacities. Groups hold ``GROUP_DOCS`` documents on average, so their number grows
 with the corpus and each costs the same; the room lost at the edge of a group is under one container of hundreds.
 
 Nulls and odd input: a document without tokens (null or empty text) needs no room and is listed with a null bin and piece 0; rows of the same id
@@ -73,12 +73,17 @@ def first_fit_decreasing(ids: list[int], sizes: list[int], capacity: int) -> lis
     return out
 
 
-def _pack_group(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
-    name, capacity, group = key
-    rows = first_fit_decreasing(items["doc_id"].tolist(), items["n_tokens"].tolist(), int(capacity))
-    out = pd.DataFrame(rows, columns=["doc_id", "piece", "n_tokens", "bin"])
-    out["bin"] = out["bin"].astype("Int32")
-    return out.assign(pack_name=name, capacity_tokens=capacity, pack_group=group)[[c.split()[0] for c in OUT.split(", ")]]
+def _pack_group(kinds: list[tuple[str, int]]):
+    def pack(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
+        from tidelog.llm.pack import OUT, first_fit_decreasing
+
+        ids, sizes, out = items["doc_id"].tolist(), items["n_tokens"].tolist(), []
+        for name, capacity in kinds:
+            rows = pd.DataFrame(first_fit_decreasing(ids, sizes, capacity), columns=["doc_id", "piece", "n_tokens", "bin"])
+            out.append(rows.astype({"bin": "Int32"}).assign(pack_name=name, capacity_tokens=capacity, pack_group=key[0]))
+        return pd.concat(out)[[c.split()[0] for c in OUT.split(", ")]]
+
+    return pack
 
 
 def pack_sizes(sizes: DataFrame, packs: DataFrame, n_docs: int, group_docs: int = GROUP_DOCS) -> DataFrame:
@@ -86,11 +91,9 @@ def pack_sizes(sizes: DataFrame, packs: DataFrame, n_docs: int, group_docs: int
     ship(sizes.sparkSession)
     groups = max(1, round(n_docs / group_docs))
     # the capacities are a parameter of the job: a handful of rows
-    kinds = [F.struct(F.lit(r["pack_name"]).alias("pack_name"), F.lit(r["capacity_tokens"]).cast("int").alias("capacity_tokens")) for r in packs.where("capacity_tokens >= 1").select("pack_name", "capacity_tokens").distinct().collect()]
-    kind = F.explode(F.array(*kinds)) if kinds else F.explode(F.array().cast("array<struct<pack_name:string,capacity_tokens:int>>"))
+    kinds = sorted({(r["pack_name"], int(r["capacity_tokens"])) for r in packs.where("capacity_tokens >= 1").select("pack_name", "capacity_tokens").distinct().collect()})
     grouped = sizes.where("doc_id is not null").withColumn("pack_group", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(groups)).cast("int"))
-    each = grouped.withColumn("kind", kind).select("doc_id", "n_tokens", "pack_group", "kind.*")
-    return each.groupBy("pack_name", "capacity_tokens", "pack_group").applyInPandas(_pack_group, OUT)
+    return (grouped if kinds else grouped.limit(0)).groupBy("pack_group").applyInPandas(_pack_group(kinds or [("", 1)]), OUT)
 
 
 def pack_documents(documents: DataFrame, packs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, group_docs: int = GROUP_DOCS) -> DataFrame:

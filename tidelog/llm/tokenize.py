@@ -1,7 +1,7 @@
 """Exact byte-pair encoding of a whole corpus by per-prefix dynamic programming.
 
 Every prefix of a piece of text has exactly one encoding, so it has one last token. That token is found among the tokens that end
-the prefix (the matches of a suffix automaton over the vocabulary): it is the one which is compatible with the last token of the
+the prefix: an automaton over the vocabulary (of Aho and Corasick, whose states are the suffixes of what was read that begin a token) gives these suffix matches, longest first. It is the one which is compatible with the last token of the
 prefix before it, that is, the encoding of the two tokens' joint bytes is these two tokens. Back-pointers from the end give the ids. The
 work is linear in the length of the piece, where merging the best pair again and again isn't.
 
