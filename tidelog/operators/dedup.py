@@ -186,9 +186,9 @@ def copies(records: DataFrame, batches: DataFrame, slices: int = SLICES, base: s
     ``base``: the folder of an index that earlier calls have filled and later ones will use; ``records`` are then the new ones.
     """
     spark = records.sparkSession
-    bounds = records.groupBy("topic", "partition_id").agg(F.min("log_offset").alias("lo"), F.max("log_offset").alias("hi"))
+    bounds = records.groupBy("topic", "partition_id").agg(F.min("log_offset").alias("lo"), F.max("log_offset").alias("hi"))  # a row per log partition
     share = (F.col("log_offset") - F.col("lo")) * slices / (F.col("hi") - F.col("lo") + 1)
-    sliced = messages(records, batches).join(bounds, ["topic", "partition_id"]).withColumn("slice", F.floor(share).cast("int")).drop("lo", "hi")
+    sliced = messages(records, batches).join(F.broadcast(bounds), ["topic", "partition_id"]).withColumn("slice", F.floor(share).cast("int")).drop("lo", "hi")
     incoming = materialize(sliced, "dedup-incoming", "slice")
     rows = incoming.count()
     index = Index(spark, base)
