@@ -1,5 +1,6 @@
 """The binary form of batches, checksums and segment files."""
 
+import random
 import struct
 
 import pytest
@@ -7,8 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidelog.functions import codec
-from tidelog.sources.segment_files import register, write_segments
+from tidelog.functions import codec, metas
+from tidelog.sources.segment_files import register, remove_partition, sweep_removed, write_segments
 
 KEYS = st.none() | st.binary(max_size=20)
 RECORD = st.tuples(st.integers(-(2**62), 2**62), KEYS, KEYS, st.lists(st.tuples(st.binary(max_size=5), KEYS), max_size=3))
@@ -90,6 +91,16 @@ def test_trailing_bytes_compression_and_disordered_deltas_are_refused():
         codec.encode_batch([])
 
 
+@pytest.mark.parametrize("n", [1_023, 1_024, 1_025, 5_000, 300_001])
+def test_checksums_of_long_strings_are_combined(n):
+    r = random.Random(n)
+    data = r.randbytes(n)
+    crc, table = 0xFFFFFFFF, codec.crc_table().tolist()
+    for b in data:
+        crc = crc >> 8 ^ table[(crc ^ b) & 255]
+    assert codec.crc32c(data) == codec.crc32c_many([b"", data, b"x"])[1] == crc ^ 0xFFFFFFFF
+
+
 def test_holes_in_a_batch():
     _, records = codec.decode_batch(codec.encode_batch([(0, 0, None, None, []), (5, 0, None, None, [])]))
     assert [r[0] for r in records] == [0, 5]
@@ -115,7 +126,63 @@ def test_segment_files(spark, tmp_path):
     torn = tmp_path / "t-0" / f"{0:020d}.log"
     register(spark)
     read = lambda **o: spark.read.format("segments").options(**o).load(str(tmp_path))
-    assert sorted(r["log_offset"] for r in read().collect()) == [0, 1, 2, 3, 4, 5]
-    assert sorted((r["segment_base"], r["position"], r["record_count"]) for r in read(headers_only="true").collect())[0] == (0, 0, 2)
-    torn.write_bytes(torn.read_bytes()[:-1])
-    assert sorted(r["log_offset"] for r in read().collect()) == [0, 1, 4, 5]
+    offsets = lambda: sorted(r["log_offset"] for r in read().where("error is null").collect())
+    errors = lambda: {(r["segment_base"], r["position"], r["error"]) for r in read().where("error is not null").collect()}
+    assert offsets() == [0, 1, 2, 3, 4, 5] and errors() == set()
+    first = read(headers_only="true").orderBy("base_offset").first()
+    assert (first["segment_base"], first["position"], first["record_count"]) == (0, 0, 2)
+    raw = torn.read_bytes()
+    half = len(raw) // 2
+    torn.write_bytes(raw[:-1])
+    assert offsets() == [0, 1, 4, 5] and errors() == {(0, half, "the file ends within a batch")}
+    assert read(headers_only="true").count() == 2
+    # a whole batch with a good checksum that can't be read ends its segment, not the job
+    odd = codec.sealed([raw[half : half + 22] + b"\x01" + raw[half + 23 :]])[0]
+    torn.write_bytes(raw[:half] + odd)
+    assert offsets() == [0, 1, 4, 5] and errors() == {(0, half, "compressed batches can't be read")} and read(headers_only="true").count() == 3
+    torn.write_bytes(raw[:-1] + bytes([raw[-1] ^ 1]))
+    assert errors() == {(0, half, "the checksum is wrong")}
+    assert codec.decode_segments(spark.createDataFrame([("t", 0, 0, raw[:half] + odd), ("t", 0, 4, raw)], "topic string, partition_id int, segment_base bigint, content binary")).count() == 6
+    # a removed partition is gone at once and deleted after its delay, or at the next start
+    assert remove_partition(spark, f"file://{tmp_path}", "t", 0, 1_000) and not remove_partition(spark, f"file://{tmp_path}", "t", 0, 1_000)
+    assert read().count() == 0 and sweep_removed(spark, f"file://{tmp_path}", 60_999) == ["t-1.5.delete"]
+    assert sweep_removed(spark, f"file://{tmp_path}", 61_000) == ["t-0.1000.delete"] and not (tmp_path / "t-0.1000.delete").exists()
+    (tmp_path / "u-0.7.delete").mkdir()
+    assert sweep_removed(spark, f"file://{tmp_path}") == ["u-0.7.delete"]
+
+
+SETTINGS = {c: k + 1 for k, c in enumerate(metas.NUMBERS)} | {"cleanup": 1, "delete_retention_ms": 9}
+
+
+def test_metadata_versions_and_damage():
+    raw = metas.encode_meta("orders", 3, SETTINGS)
+    assert metas.decode_meta(raw) == {"topic": "orders", "partition_id": 3} | SETTINGS
+    assert metas.decode_meta(metas.encode_meta("o", 0, SETTINGS | {"retention_bytes": None}))["retention_bytes"] is None
+    old = metas.decode_meta(raw[:4] + struct.pack(">h", 1) + raw[6:-9])
+    assert (old["cleanup"], old["delete_retention_ms"], old["retention_ms"]) == (0, None, SETTINGS["retention_ms"])
+    for bad in (raw + b"x", b"x" + raw[1:], raw[:4] + struct.pack(">h", 3) + raw[6:], raw[:4] + struct.pack(">h", 0) + raw[6:], raw[:-9] + b"\x02" + raw[-8:]):
+        with pytest.raises(codec.Corrupt):
+            metas.decode_meta(bad)
+    for n in range(len(raw)):
+        with pytest.raises(codec.Corrupt):
+            metas.decode_meta(raw[:n])
+
+
+def test_metadata_are_replaced_and_belong_to_their_folder(spark, tmp_path):
+    row = lambda p, n: ("t", p, *[n] * 5, None, n, 0, n)
+    for n in (5, 6):
+        metas.write(spark.createDataFrame([row(0, n), row(1, n)], metas.META), f"file://{tmp_path}")
+    got = metas.read(spark, f"file://{tmp_path}").collect()
+    assert {(r["partition_id"], r["retention_ms"], r["retention_bytes"], r["delete_retention_ms"]) for r in got} == {(0, 6, None, 6), (1, 6, None, 6)}
+    (tmp_path / "t-1").rename(tmp_path / "t-2")
+    with pytest.raises(Exception, match="of another partition"):
+        metas.read(spark, f"file://{tmp_path}").collect()
+
+
+def test_assignments():
+    parts = [("b", 1), ("a", 2), ("a", 0)]
+    raw = metas.encode_assignment(parts)
+    assert metas.decode_assignment(raw) == sorted(parts) and metas.decode_assignment(b"") == [] and metas.decode_assignment(metas.encode_assignment([])) == []
+    for bad in (raw + b"x", raw[:-1], b"\x00\x02" + raw[2:]):
+        with pytest.raises(codec.Corrupt):
+            metas.decode_assignment(bad)

@@ -19,6 +19,11 @@ def test_commands(spark, tmp_path):
     assert [(r["log_offset"], r["rec_key"]) for r in got] == [(21, "user1"), (22, "user2"), (23, "user3")]
     assert main(["consume", root, "demo", "0", "latest"], spark).count() == 0
     assert [(r["segment_base"], r["n_records"], r["n_holes"]) for r in main(["dump", root], spark).collect()] == [(0, 7, 0), (7, 7, 0), (14, 7, 0), (21, 3, 0)]
+    (tmp_path / "lines.txt").write_text("one\n\ntwo\n")
+    for k in range(2):
+        assert tuple(main(["produce", root, "empty", "1", f"{tmp_path}/lines.txt"], spark).first()) == (3, 3 * k, 3 * k + 2)
+    got = main(["consume", root, "empty", "1"], spark).collect()
+    assert [(r["log_offset"], r["rec_key"], r["rec_value"]) for r in got] == [(k, "null", v) for k, v in enumerate(["one", "", "two"] * 2)]
     with pytest.raises(SystemExit):
         main(["nothing"], spark)
 

@@ -148,6 +148,41 @@ def test_a_read_returns_at_least_one_batch_and_passes_holes(spark):
     assert got == {(0, 1): (0, 1, 100), (1, 200): (0, 3, 200), (0, 10_000): (0, 10, 300), (3, 100): (2, 3, 100), (5, 1): (10, 10, 100)}
 
 
+def test_gaps_of_lost_batches_and_segments(spark):
+    """A log of ten batches of two that has lost the third, the fifth and the sixth; and one of four segments that has lost the second."""
+    left = spark.createDataFrame([("t", 0, 2 * k, 1) for k in range(10) if k not in (2, 4, 5)], "topic string, partition_id int, base_offset bigint, last_offset_delta int")
+    assert rows(segments.gaps(left).select("base_offset", "expected", "gap")) == [(6, 4, 2), (12, 8, 4)]
+    kept_ = spark.createDataFrame([("t", 0, b, b + 4, 1, 1, True) for b in (0, 8, 12)], SEGMENTS)
+    assert rows(segments.missing(kept_)) == [("t", 0, 8, 4)]
+
+
+def test_batches_as_they_are_dumped(spark):
+    records = spark.createDataFrame([("t", 0, 0, b, o, v) for b, o, v in ((0, 1, b"x"), (0, 2, None), (4, 6, b"y"))], "topic string, partition_id int, segment_base bigint, batch_base bigint, log_offset bigint, rec_value binary")
+    batches = spark.createDataFrame([("t", 0, 0, 0, 88, 5), ("t", 0, 0, 4, 38, 6)], "topic string, partition_id int, segment_base bigint, base_offset bigint, batch_length int, max_timestamp bigint")
+    got = compaction.dump_batches(records, batches).select("base_offset", "position", "bytes", "n_records", "first_offset", "last_offset", "n_tombstones", "n_holes", "n_missing")
+    assert rows(got) == [(0, 0, 100, 2, 1, 2, 1, 1, 1), (4, 100, 50, 1, 6, 6, 0, 1, 3)]
+
+
+def test_readers_go_on_where_something_is_left(spark):
+    bounds = spark.createDataFrame([("t", 0, 5, 10)], "topic string, partition_id int, log_start bigint, log_end bigint")
+    asked = spark.createDataFrame([("t", 0, o) for o in (4, 5, 10, 11)] + [("u", 0, 0)], "topic string, partition_id int, fetch_offset bigint")
+    assert {(r["topic"], r["fetch_offset"]): (r["error"], r["resume_at"]) for r in log.resume(asked, bounds).collect()} == {("t", 4): (0, 5), ("t", 5): (0, 5), ("t", 10): (0, 10), ("t", 11): (2, None), ("u", 0): (5, None)}
+
+
+def test_a_full_index_drops_entries_or_closes_the_segment(spark):
+    batches = spark.createDataFrame([("t", 0, k, 0, 88, 1, 0, k) for k in range(12)], "topic string, partition_id int, base_offset bigint, last_offset_delta int, batch_length int, max_timestamp bigint, segment_base bigint, ms bigint").withColumn("append_ts", F.timestamp_millis("ms"))
+    limits = meta(spark).withColumn("max_segment_bytes", F.lit(10**9).cast("bigint")).withColumn("index_interval_bytes", F.lit(200).cast("bigint"))
+    assert [r["rel_offset"] for r in segments.sparse_index(batches, limits).orderBy("rel_offset").collect()] == [2, 4, 6, 8, 10]
+    assert [r["rel_offset"] for r in segments.sparse_index(batches, limits, 2).orderBy("rel_offset").collect()] == [2, 4]
+    assert sorted({r["segment_base"] for r in segments.roll(batches, limits, 2).collect()}) == [0, 5, 10]
+
+
+def test_answers_to_producers_that_wait_for_all(spark):
+    batches = spark.createDataFrame([("t", p, b, 1) for p in (0, 1) for b in (0, 2)], "topic string, partition_id int, base_offset bigint, last_offset_delta int")
+    replicas = spark.createDataFrame([("t", 0, 3, 2), ("t", 1, 9, 1)], "topic string, partition_id int, high_watermark bigint, n_in_sync int")
+    assert rows(log.acknowledge(batches, replicas, 2).select("partition_id", "base_offset", "answer")) == [(0, 0, "acknowledged"), (0, 2, "timed out"), (1, 0, "not enough replicas"), (1, 2, "not enough replicas")]
+
+
 def test_truncating_to_nothing_restarts_at_the_cut(spark):
     batches = spark.createDataFrame([("t", 0, 4, 3), ("t", 0, 8, 3)], "topic string, partition_id int, base_offset bigint, last_offset_delta int")
     cut = lambda at: spark.createDataFrame([("t", 0, at)], "topic string, partition_id int, cut bigint")

@@ -1,6 +1,7 @@
 """python -m tidelog COMMAND DIRECTORY ...: look into a directory of segment files, or make one.
 
-    create DIR TOPIC PARTITIONS          make empty partitions
+    create DIR TOPIC PARTITIONS          make empty partitions with their metadata
+    produce DIR TOPIC PARTITION FILE     append the lines of a file, a batch each
     generate DIR TOPIC N [SEGMENT_BYTES] write N generated records
     describe DIR                         partitions with start, end and counts
     consume DIR TOPIC PARTITION [START]  records from earliest, latest or an offset
@@ -10,12 +11,11 @@
 from __future__ import annotations
 
 import sys
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions import codec
+from tidelog.functions import codec, metas
 from tidelog.operators import compaction, log
 from tidelog.sources.segment_files import register, write_segments
 
@@ -24,30 +24,49 @@ TP = log.TP
 
 def read(spark: SparkSession, root: str) -> DataFrame:
     register(spark)
-    return spark.read.format("segments").load(root)
+    return spark.read.format("segments").load(root).where("error is null")
 
 
 def create(spark: SparkSession, root: str, topic: str, partitions: str) -> None:
-    for p in range(int(partitions)):
-        (Path(root) / f"{topic}-{p}").mkdir(parents=True)
+    settings = {"max_segment_bytes": 1 << 30, "max_segment_age_ms": 604_800_000, "index_interval_bytes": 4_096, "max_index_bytes": 10 << 20, "retention_ms": 604_800_000, "retention_bytes": None, "delete_delay_ms": 60_000}
+    rows = [(topic, p, *settings.values(), 0, 86_400_000) for p in range(int(partitions))]
+    metas.write(spark.createDataFrame(rows, metas.META), root)
 
 
-def generate(spark: SparkSession, root: str, topic: str, n: str, segment_bytes: str = "700") -> DataFrame:
-    """Generated records, a batch each, rolled by size."""
-    from tidelog.operators.segments import roll
-    from tidelog.sources.generator import generate as records
-
-    made = records(spark, int(n), topic).select(
+def _batches(records: DataFrame, segment_base: int) -> tuple[DataFrame, DataFrame]:
+    """Records (with ``ts``) and their batches, one each, of a segment."""
+    made = records.select(
         *TP, F.col("log_offset").alias("batch_base"), F.lit(0).alias("offset_delta"), F.lit(0).cast("bigint").alias("timestamp_delta"), "rec_key", "rec_value",
         F.array().cast("array<struct<hkey:binary,hvalue:binary>>").alias("headers"), "ts",
     )
-    ms = F.unix_millis("ts")
-    batches = made.select(
-        *TP, F.col("batch_base").alias("base_offset"), F.lit(0).cast("bigint").alias("segment_base"), F.lit(-1).alias("leader_epoch"), F.lit(0).alias("attributes"), ms.alias("first_timestamp"),
+    ms = F.coalesce(F.unix_millis("ts"), F.lit(-1))
+    return made, made.select(
+        *TP, F.col("batch_base").alias("base_offset"), F.lit(segment_base).cast("bigint").alias("segment_base"), F.lit(-1).alias("leader_epoch"), F.lit(0).alias("attributes"), ms.alias("first_timestamp"),
         ms.alias("max_timestamp"), F.lit(-1).cast("bigint").alias("producer_id"), F.lit(-1).alias("producer_epoch"), F.lit(-1).alias("base_sequence"), F.lit(0).alias("last_offset_delta"), F.col("ts").alias("append_ts"),
     )
+
+
+def produce(spark: SparkSession, root: str, topic: str, partition: str, path: str) -> DataFrame:
+    """Lines as records without key, after what is there, in a segment of their own."""
+    from tidelog.sources.generator import read_lines
+
+    there = read(spark, root).where((F.col("topic") == topic) & (F.col("partition_id") == int(partition)))
+    end = there.agg(F.coalesce(F.max("log_offset") + 1, F.lit(0))).first()[0]
+    lines = read_lines(spark, path, topic).withColumns({"__line": F.monotonically_increasing_id(), "ts": F.lit(None).cast("timestamp")})
+    numbered = log.append(lines, F.lit(int(partition)), ["__line"], F.shiftright("__line", 33), spark.createDataFrame([(int(partition), end)], "partition_id int, log_end bigint"))
+    made, batches = _batches(numbered, end)
+    write_segments(codec.encode_batches(made.drop("ts"), batches), root)
+    return numbered.agg(F.count(F.lit(1)).alias("n_records"), F.min("log_offset").alias("first_offset"), F.max("log_offset").alias("last_offset"))
+
+
+def generate(spark: SparkSession, root: str, topic: str, n: str, segment_bytes: str = "700") -> DataFrame:
+    """Generated records, a batch each, rolled by size."""
+    from tidelog.operators.segments import roll
+    from tidelog.sources.generator import generate as records
+
+    made, batches = _batches(records(spark, int(n), topic), 0)
     sizes = codec.encode_batches(made, batches).select(*TP, "base_offset", (F.octet_length("batch") - log.BEFORE_LENGTH).alias("batch_length"))
-    limits = spark.createDataFrame([(topic, int(segment_bytes), 10**15)], "topic string, max_segment_bytes bigint, max_segment_age_ms bigint")
+    limits = spark.createDataFrame([(topic, int(segment_bytes), 10**15, 4_096)], "topic string, max_segment_bytes bigint, max_segment_age_ms bigint, index_interval_bytes bigint")
     rolled = roll(batches.join(sizes, [*TP, "base_offset"]), limits).select(*TP, "base_offset", "segment_base")
     write_segments(codec.encode_batches(made, batches.drop("segment_base").join(rolled, [*TP, "base_offset"])), root)
     return rolled.groupBy(*TP, "segment_base").agg(F.count(F.lit(1)).alias("n_batches")).orderBy("segment_base")
@@ -72,7 +91,7 @@ def dump(spark: SparkSession, root: str) -> DataFrame:
     return compaction.dump(r, segments).drop("size_bytes", "sealed").orderBy(*TP, "segment_base")
 
 
-COMMANDS = {f.__name__: f for f in (create, generate, describe, consume, dump)}
+COMMANDS = {f.__name__: f for f in (create, produce, generate, describe, consume, dump)}
 
 
 def main(args: list[str], spark: SparkSession | None = None) -> DataFrame | None:

@@ -5,7 +5,7 @@ key it stays; if its key has a newer sealed record it goes; with a value it stay
 stays while younger than the horizon. Offsets never change.
 
 Scale: the newest offset of each key is a map-side combined aggregate, and it is joined back by offset, not by key: a
-key that holds a third of all rows spreads evenly. A record without time stamp counts as older than any horizon.
+key that holds a third of all rows spreads evenly. The limits of topics, a row each, are broadcast. A record without time stamp counts as older than any horizon.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.operators.log import TP
+from tidelog.common import chunked_running_sum
+from tidelog.operators.log import BEFORE_LENGTH, TP
 
 
 def newest_offsets(records: DataFrame, key: str = "rec_key") -> DataFrame:
@@ -23,7 +24,7 @@ def newest_offsets(records: DataFrame, key: str = "rec_key") -> DataFrame:
 
 
 def with_sealed(records: DataFrame, segments: DataFrame) -> DataFrame:
-    """Records with ``sealed`` of their segment: one row per active segment is broadcast, a row per log partition."""
+    """Records with ``sealed`` of their segment; joined with one row per active segment."""
     active = segments.where("not sealed").select(*TP, F.col("base_offset").alias("segment_base"), F.lit(False).alias("__sealed"))
     return records.join(active, [*TP, "segment_base"], "left").withColumn("sealed", F.coalesce("__sealed", F.lit(True))).drop("__sealed")
 
@@ -91,6 +92,22 @@ def dump(records: DataFrame, segments: DataFrame) -> DataFrame:
     return out.fillna(0, ["n_records", "n_batches", "n_tombstones", "n_holes", "gap_before"])
 
 
+def dump_batches(records: DataFrame, batches: DataFrame) -> DataFrame:
+    """Per batch: its position in the segment and bytes, newest time stamp, records with their first and last offset, tombstones, and the holes and missing offsets up to each of its records."""
+    order = W.partitionBy(*TP, "segment_base").orderBy("log_offset")
+    expected = F.coalesce(F.lag("log_offset").over(order) + 1, F.col("segment_base"))
+    held = records.withColumn("gap", F.col("log_offset") - expected).groupBy(*TP, F.col("batch_base").alias("base_offset")).agg(
+        F.count(F.lit(1)).alias("n_records"),
+        F.min("log_offset").alias("first_offset"),
+        F.max("log_offset").alias("last_offset"),
+        F.count_if(F.col("rec_value").isNull()).alias("n_tombstones"),
+        F.count_if(F.col("gap") != 0).alias("n_holes"),
+        F.sum("gap").alias("n_missing"),
+    )
+    sized = batches.select(*TP, "segment_base", "base_offset", (F.col("batch_length") + BEFORE_LENGTH).cast("bigint").alias("bytes"), "max_timestamp")
+    return chunked_running_sum(sized, [*TP, "segment_base"], "base_offset", "bytes", "position").join(held, [*TP, "base_offset"])
+
+
 def replace_segments(cleaned: DataFrame, touched: DataFrame, path: str) -> None:
     """Put cleaned segments in the place of old ones in a table partitioned by topic, partition_id and segment_base.
 

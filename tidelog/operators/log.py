@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.common import asof, chunked_lag, chunked_running_sum
+from tidelog.common import asof, chunked_lag, chunked_running_sum, materialize
 
 TP = ["topic", "partition_id"]
 # The error codes of the protocol.
@@ -106,7 +106,7 @@ def fetch_batches(requests: DataFrame, batches: DataFrame) -> DataFrame:
     below a bound, so a request costs two rows of a sort, whatever it spans.
     """
     sized = batches.select(*TP, "base_offset", (F.col("base_offset") + F.col("last_offset_delta")).alias("last_offset"), (F.col("batch_length") + BEFORE_LENGTH).cast("bigint").alias("bytes"))
-    totals = chunked_running_sum(sized, TP, "base_offset", "bytes", "before").withColumn("through", F.col("before") + F.col("bytes"))
+    totals = materialize(chunked_running_sum(sized, TP, "base_offset", "bytes", "before").withColumn("through", F.col("before") + F.col("bytes")), "totals")  # read by three passes
     last = asof(requests, "fetch_offset", totals, "base_offset", TP, ["last_offset", "base_offset", "before", "through"])
     # where a hole holds the offset, reading begins with the batch after it
     here = F.col("last_offset") >= F.col("fetch_offset")
@@ -117,6 +117,48 @@ def fetch_batches(requests: DataFrame, batches: DataFrame) -> DataFrame:
     return end.select(*requests.columns, "first_base", "last_read", (F.col("to_bytes") - F.col("from_bytes")).alias("bytes_read"))
 
 
+def fetch(requests: DataFrame, log_bounds: DataFrame, batches: DataFrame, records: DataFrame, block: int = 1_024) -> tuple[DataFrame, DataFrame]:
+    """Answers to requests (seq, topic, partition_id, fetch_offset, max_bytes) over many partitions: the status of each, and its records.
+
+    Records are those of the whole batches of ``fetch_batches``; a request with an error has none. They meet by blocks of ``block`` offsets, of which the cap of a request bounds how many it has.
+    """
+    answers = status(requests, log_bounds)
+    good = answers.where(F.col("error") == OK).select(*requests.columns)
+    spans = fetch_batches(good, batches).select("seq", *TP, "first_base", "last_read")
+    blocks = F.sequence(F.floor(F.col("first_base") / block), F.floor(F.col("last_read") / block))
+    cut = spans.withColumn("__block", F.explode(blocks))
+    found = records.withColumn("__block", F.floor(F.col("log_offset") / block)).join(cut, [*TP, "__block"]).where("log_offset between first_base and last_read")
+    return answers, found.drop("__block", "first_base", "last_read")
+
+
+def resume(requests: DataFrame, log_bounds: DataFrame) -> DataFrame:
+    """Where a reader goes on: below the log start, whose records were deleted, at the start; past the end it fails, and so it does where there is no such partition."""
+    joined = requests.join(log_bounds.select(*TP, "log_start", "log_end"), TP, "left")
+    at = F.col("fetch_offset")
+    code = F.when(F.col("log_end").isNull(), UNKNOWN_TOPIC).when(at > F.col("log_end"), OUT_OF_RANGE).otherwise(OK)
+    return joined.select(*requests.columns, code.alias("error"), F.when(code == OK, F.greatest(at, "log_start")).alias("resume_at"))
+
+
+def epoch_ends(requests: DataFrame, batches: DataFrame, log_bounds: DataFrame) -> DataFrame:
+    """Answers to (topic, partition_id, asked): the newest epoch up to that asked for, and one past its last offset, which is where the next epoch began or the log end; -1 where there is none."""
+    begun = batches.groupBy(*TP, "leader_epoch").agg(F.min("base_offset").alias("start_offset"))  # a row per epoch
+    after = begun.withColumn("next_start", F.lead("start_offset").over(W.partitionBy(*TP).orderBy("leader_epoch")))
+    found = asof(requests, "asked", after, "leader_epoch", TP, ["leader_epoch", "next_start"])
+    joined = found.join(log_bounds.select(*TP, "log_end"), TP)
+    end = F.when(F.col("leader_epoch").isNull(), -1).otherwise(F.coalesce("next_start", "log_end"))
+    return joined.select(*TP, "asked", F.col("leader_epoch").alias("epoch"), end.alias("end_offset"))
+
+
+def acknowledge(batches: DataFrame, replicas: DataFrame, least: int) -> DataFrame:
+    """Batches with the ``answer`` to a producer that waits for all replicas in sync (topic, partition_id, high_watermark, n_in_sync) until its time is up: refused where fewer than ``least`` are."""
+    answer = (
+        F.when(F.col("n_in_sync") < least, "not enough replicas")
+        .when(F.col("base_offset") + F.col("last_offset_delta") < F.col("high_watermark"), "acknowledged")
+        .otherwise("timed out")
+    )
+    return batches.join(F.broadcast(replicas.select(*TP, "high_watermark", "n_in_sync")), TP).withColumn("answer", answer)  # a row per partition
+
+
 def metadata(segments: DataFrame, requested: DataFrame | None = None) -> DataFrame:
     """Partitions of each topic, sorted. Asked for all, internal topics (``__...``) are hidden; asked for by name, they are shown, and an
     unknown name gives an error row."""
@@ -146,14 +188,16 @@ def produce(requests: DataFrame, log_bounds: DataFrame) -> DataFrame:
     return placed.select("request_id", *TP, "error", F.when(F.col("error") == OK, F.col("log_end") + F.col("earlier")).otherwise(-1).alias("base_offset"))
 
 
-def create_topics(requests: DataFrame, existing: DataFrame, defaults: dict[str, int]) -> DataFrame:
-    """Codes of topic creation requests (topic, partition_count, overrides); overrides that are null or below 1 mean the default."""
+def create_topics(requests: DataFrame, existing: DataFrame, defaults: dict[str, int | None]) -> DataFrame:
+    """Codes of topic creation requests (topic, partition_count, overrides, ``compact``) and the settings that result: overrides that are null or below 1 mean the default (null: no limit), as does a
+    ``compact`` that is null."""
     from tidelog.functions.names import usable_name
 
     known = existing.select("topic").distinct().withColumn("there", F.lit(True))
     code = F.when(~usable_name(F.col("topic")) | (F.col("partition_count") < 1), INVALID_TOPIC).when(F.col("there"), TOPIC_EXISTS).otherwise(OK)
     joined = requests.join(known, "topic", "left").withColumn("error", code).drop("there")
-    return joined.withColumns({c: F.when(F.coalesce(F.col(c), F.lit(0)) >= 1, F.col(c)).otherwise(F.lit(v)).cast("bigint") for c, v in defaults.items()})
+    chosen = joined.withColumns({c: F.when(F.coalesce(F.col(c), F.lit(0)) >= 1, F.col(c)).otherwise(F.lit(v)).cast("bigint") for c, v in defaults.items()})
+    return chosen.withColumn("cleanup", F.coalesce(F.col("compact"), F.lit(False)).cast("tinyint")).drop("compact")
 
 
 def error_text(code: Column) -> Column:

@@ -18,6 +18,8 @@ from tidelog.common import asof, chunked_lag, chunked_running_sum, ship
 from tidelog.operators.log import BEFORE_LENGTH, TP
 
 ROLLED = "topic string, partition_id int, base_offset bigint, segment_base bigint, position bigint"
+#: Entries that an index holds by default: 10 MiB of 8 bytes each.
+INDEX_ENTRIES = 1_310_720
 INDEXED = "topic string, partition_id int, segment_base bigint, rel_offset bigint, position bigint"
 
 
@@ -26,49 +28,54 @@ def _sized(batches: DataFrame) -> DataFrame:
 
 
 def _roll(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    place, base, size, begun = None, 0, 0, 0
+    place, base, size, begun, since, entries = None, 0, 0, 0, 0, 0
     for part in parts:
         out = []
         for row in part.itertuples():
-            if (row.topic, row.partition_id) != place:
-                place, base, size, begun = (row.topic, row.partition_id), row.base_offset, 0, row.arrived_ms
-            elif size >= row.max_segment_bytes or row.arrived_ms - begun >= row.max_segment_age_ms:
-                base, size, begun = row.base_offset, 0, row.arrived_ms
+            if (row.topic, row.partition_id) != place or size >= row.max_segment_bytes or entries >= row.max_entries or row.arrived_ms - begun >= row.max_segment_age_ms:
+                place, base, size, begun, since, entries = (row.topic, row.partition_id), row.base_offset, 0, row.arrived_ms, 0, 0
+            elif since >= row.index_interval_bytes:
+                since, entries = 0, entries + 1
             out.append((row.topic, row.partition_id, row.base_offset, base, size))
             size += row.bytes
+            since += row.bytes
         yield pd.DataFrame(out, columns=["topic", "partition_id", "base_offset", "segment_base", "position"])
 
 
-def roll(batches: DataFrame, meta: DataFrame) -> DataFrame:
+def roll(batches: DataFrame, meta: DataFrame, max_entries: int = INDEX_ENTRIES) -> DataFrame:
     """Segment and byte position of every batch under the limits of its topic: a segment that isn't empty is closed before an append
-    when it has reached the size limit, or its first append is as old as the age limit. It may exceed the size by one batch."""
+    when it has reached the size limit, its index is full, or its first append is as old as the age limit. It may exceed the size by one batch."""
     ship(batches.sparkSession)
-    limits = meta.select("topic", "max_segment_bytes", "max_segment_age_ms").distinct()
+    limits = meta.select("topic", "max_segment_bytes", "max_segment_age_ms", "index_interval_bytes").distinct().withColumn("max_entries", F.lit(max_entries))
     sized = _sized(batches).join(F.broadcast(limits), "topic")  # a row per topic
     return sized.repartition(*TP).sortWithinPartitions(*TP, "base_offset").mapInPandas(_roll, ROLLED)
 
 
-def _index(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    place, since = None, 0
-    for part in parts:
-        out = []
-        for row in part.itertuples():
-            if (row.topic, row.partition_id, row.segment_base) != place:
-                place, since = (row.topic, row.partition_id, row.segment_base), 0
-            if since >= row.index_interval_bytes and row.position > 0:
-                out.append((row.topic, row.partition_id, row.segment_base, row.base_offset - row.segment_base, row.position))
-                since = 0
-            since += row.bytes
-        yield pd.DataFrame(out, columns=["topic", "partition_id", "segment_base", "rel_offset", "position"])
+def _index(most: int):
+    def index(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, since, entries = None, 0, 0
+        for part in parts:
+            out = []
+            for row in part.itertuples():
+                if (row.topic, row.partition_id, row.segment_base) != place:
+                    place, since, entries = (row.topic, row.partition_id, row.segment_base), 0, 0
+                if since >= row.index_interval_bytes and row.position > 0:
+                    if entries < most:
+                        out.append((row.topic, row.partition_id, row.segment_base, row.base_offset - row.segment_base, row.position))
+                    since, entries = 0, entries + 1
+                since += row.bytes
+            yield pd.DataFrame(out, columns=["topic", "partition_id", "segment_base", "rel_offset", "position"])
+
+    return index
 
 
-def sparse_index(batches: DataFrame, meta: DataFrame) -> DataFrame:
-    """Index entries: one for a batch when an interval of bytes was written since the last, never for the first batch of a segment."""
+def sparse_index(batches: DataFrame, meta: DataFrame, max_entries: int = INDEX_ENTRIES) -> DataFrame:
+    """Index entries: one for a batch when an interval of bytes was written since the last, never for the first batch of a segment; a full index drops the rest."""
     ship(batches.sparkSession)
     every = meta.select("topic", "index_interval_bytes").distinct()
     placed = chunked_running_sum(_sized(batches), [*TP, "segment_base"], "base_offset", "bytes", "position").join(F.broadcast(every), "topic")
     segment = [*TP, "segment_base"]
-    return placed.repartition(*segment).sortWithinPartitions(*segment, "base_offset").mapInPandas(_index, INDEXED)
+    return placed.repartition(*segment).sortWithinPartitions(*segment, "base_offset").mapInPandas(_index(max_entries), INDEXED)
 
 
 def lookup(targets: DataFrame, segments: DataFrame, index: DataFrame) -> DataFrame:
@@ -104,6 +111,12 @@ def gaps(batches: DataFrame) -> DataFrame:
     return followed.where("base_offset <> expected").select(*TP, "base_offset", "expected", (F.col("base_offset") - F.col("expected")).alias("gap"))
 
 
+def missing(segments: DataFrame) -> DataFrame:
+    """Segments before which others were removed, and how many offsets are missing there."""
+    before = F.lag("next_offset").over(W.partitionBy(*TP).orderBy("base_offset"))
+    return segments.withColumn("prev", before).where("base_offset > prev").select(*TP, "base_offset", (F.col("base_offset") - F.col("prev")).alias("missing"))
+
+
 def truncate(batches: DataFrame, cuts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Keep the whole batches that end below the cut (topic, partition_id, cut) of their partition. Returns them, and where each log then
     ends: after the last batch kept, or at the cut where nothing is left."""

@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.common import materialize, shared_dir, table
-from tidelog.functions import codec, names, varint
+from tidelog.functions import codec, metas, names, varint
 from tidelog.operators import compaction, groups, kslack, log, offsets, retention, segments
 from tidelog.plans.pipeline import TIMED_SQL
+from tidelog.sources import segment_files
 from tidelog.streaming import live
 
 #: The clock of the tested queries.
 NOW_MS = 1_743_292_800_000
 MAX_BYTES = 4_096
-DEFAULTS = {"retention_ms": 604_800_000, "max_segment_bytes": 1_073_741_824}
+DEFAULTS = {"retention_ms": 604_800_000, "retention_bytes": None, "max_segment_bytes": 1_073_741_824}
 TP, GTP = log.TP, offsets.GTP
 
 
@@ -132,6 +133,29 @@ def fetch_max_bytes(spark, d):
     return log.fetch_batches(asked, _batches(spark, d)).drop("max_bytes")
 
 
+@query(f"""WITH {REQ}, {BOUNDS} SELECT q.seq, q.topic, q.partition_id, q.fetch_offset, CASE WHEN log_end IS NULL THEN 5 WHEN fetch_offset > log_end THEN 2 ELSE 0 END AS error,
+  CASE WHEN log_end IS NULL OR fetch_offset > log_end THEN NULL WHEN fetch_offset < log_start THEN log_start ELSE fetch_offset END AS resume_at FROM req q LEFT JOIN bnd b ON q.topic = b.topic AND q.partition_id = b.partition_id""")
+def reset_positions(spark, d):
+    """Where readers go on whose position may have been deleted, or lie past the end."""
+    return log.resume(_requests(spark, d).select("seq", *TP, "fetch_offset"), _bounds(spark, d))
+
+
+@query(f"""WITH {REQ}, {REC}, {BOUNDS}, {BAT}, ans AS ({SQL['fetch_max_bytes'].replace(f"WITH {REQ}, {BAT}, ", "WITH ")})
+SELECT q.seq, q.topic, q.partition_id, q.fetch_offset, CASE WHEN b.log_end IS NULL THEN 5 WHEN q.fetch_offset > b.log_end OR q.fetch_offset < b.log_start THEN 2 ELSE 0 END AS error, coalesce(b.log_end, -1) AS high_watermark,
+  count(r.log_offset) AS n_records, coalesce(sum(r.size_bytes), 0)::BIGINT AS sum_bytes, min(r.log_offset) AS first_offset, max(r.log_offset) AS last_offset
+FROM (SELECT seq, CASE WHEN seq % 5 = 0 THEN topic || '-gone' ELSE topic END AS topic, partition_id, fetch_offset FROM req) q LEFT JOIN bnd b ON q.topic = b.topic AND q.partition_id = b.partition_id
+LEFT JOIN ans a ON a.seq = q.seq AND q.topic = a.topic AND b.log_end IS NOT NULL AND q.fetch_offset BETWEEN b.log_start AND b.log_end
+LEFT JOIN rec r ON r.topic = a.topic AND r.partition_id = a.partition_id AND r.log_offset BETWEEN a.first_base AND a.last_read GROUP BY ALL""")
+def fetch_records(spark, d):
+    """Requests over many partitions, some of which aren't there, answered with the records of whole batches up to the cap of each."""
+    gone = F.when(F.col("seq") % 5 == 0, F.concat("topic", F.lit("-gone"))).otherwise(F.col("topic"))
+    asked = _requests(spark, d).select("seq", gone.alias("topic"), "partition_id", "fetch_offset", F.lit(MAX_BYTES).alias("max_bytes"))
+    answers, records = log.fetch(asked, _bounds(spark, d), _batches(spark, d), _records(spark, d, "size_bytes"))
+    sums = records.groupBy("seq").agg(F.count(F.lit(1)).alias("n_records"), F.sum("size_bytes").alias("sum_bytes"), F.min("log_offset").alias("first_offset"), F.max("log_offset").alias("last_offset"))
+    out = answers.join(sums, "seq", "left").fillna(0, ["n_records", "sum_bytes"])
+    return out.select("seq", *TP, "fetch_offset", "error", "high_watermark", "n_records", "sum_bytes", "first_offset", "last_offset")
+
+
 @query("SELECT topic, partition_id, min(base_offset) AS earliest, max(next_offset) AS latest FROM segments GROUP BY ALL")
 def list_offsets(spark, d):
     return _bounds(spark, d).select(*TP, F.col("log_start").alias("earliest"), F.col("log_end").alias("latest"))
@@ -196,16 +220,30 @@ def produce_results(spark, d):
 @query(f"""WITH q AS (SELECT DISTINCT source AS topic FROM documents WHERE source IS NOT NULL UNION SELECT DISTINCT url FROM documents WHERE url IS NOT NULL UNION SELECT topic FROM topic_meta)
 SELECT q.topic, length(q.topic) % 3 AS partition_count, CASE WHEN NOT (regexp_full_match(q.topic, '[A-Za-z0-9._-]+') AND q.topic NOT IN ('.', '..')) OR length(q.topic) % 3 < 1 THEN 7
   WHEN m.topic IS NOT NULL THEN 6 ELSE 0 END AS error,
-  CASE WHEN length(q.topic) % 2 = 0 THEN 1000 ELSE {DEFAULTS['retention_ms']} END::BIGINT AS retention_ms, {DEFAULTS['max_segment_bytes']}::BIGINT AS max_segment_bytes
+  CASE WHEN length(q.topic) % 2 = 0 THEN 1000 ELSE {DEFAULTS['retention_ms']} END::BIGINT AS retention_ms, CASE WHEN length(q.topic) % 5 = 0 THEN 5000 END::BIGINT AS retention_bytes, {DEFAULTS['max_segment_bytes']}::BIGINT AS max_segment_bytes,
+  (CASE length(q.topic) % 4 WHEN 1 THEN 1 ELSE 0 END)::TINYINT AS cleanup
 FROM q LEFT JOIN (SELECT DISTINCT topic FROM topic_meta) m ON q.topic = m.topic""")
 def create_topics(spark, d):
     docs = table(spark, d, "documents")
     asked = docs.select(F.col("source").alias("topic")).union(docs.select("url")).union(table(spark, d, "topic_meta").select("topic")).where("topic is not null").distinct()
     n = F.length("topic")
-    requests = asked.select("topic", (n % 3).alias("partition_count"), F.when(n % 2 == 0, 1000).otherwise(-1).alias("retention_ms"), F.lit(None).cast("bigint").alias("max_segment_bytes"))
+    requests = asked.select(
+        "topic", (n % 3).alias("partition_count"), F.when(n % 2 == 0, 1000).otherwise(-1).alias("retention_ms"), F.when(n % 5 == 0, 5000).when(n % 5 == 1, 0).alias("retention_bytes"),
+        F.lit(None).cast("bigint").alias("max_segment_bytes"), F.when(n % 4 == 1, True).when(n % 4 == 2, False).alias("compact"),
+    )
     return log.create_topics(requests, table(spark, d, "topic_meta"), DEFAULTS)
 
 
+@query("""SELECT DISTINCT m.topic, s.partition_id, max_segment_bytes, max_segment_age_ms, index_interval_bytes, 10485760::BIGINT AS max_index_bytes, retention_ms, retention_bytes, 60000::BIGINT AS delete_delay_ms, cleanup, delete_retention_ms
+FROM segments s JOIN topic_meta m ON s.topic = m.topic""")
+def meta_roundtrip(spark, d):
+    """The metadata of every partition in their binary form, written to files and read again."""
+    parts = table(spark, d, "segments").select(*TP).distinct().join(F.broadcast(table(spark, d, "topic_meta").distinct()), "topic")  # a row per topic
+    root = shared_dir(spark, "metas")
+    metas.write(parts.withColumns({"max_index_bytes": F.lit(10_485_760).cast("bigint"), "delete_delay_ms": F.lit(60_000).cast("bigint")}), root)
+    return metas.read(spark, root)
+
+
 @query(f"""WITH {REQ}, {BOUNDS} SELECT q.seq, q.topic, q.partition_id, q.seq % 3 - 2 AS timestamp,
   CASE WHEN b.log_end IS NULL THEN 5 WHEN q.seq % 3 = 2 THEN 1 ELSE 0 END AS error, CASE WHEN b.log_end IS NULL OR q.seq % 3 = 2 THEN -1 WHEN q.seq % 3 = 0 THEN log_start ELSE log_end END AS answer
 FROM req q LEFT JOIN bnd b ON q.topic = b.topic AND q.partition_id = b.partition_id""")
@@ -214,7 +252,7 @@ def list_offsets_answers(spark, d):
     return log.list_offsets(asked, _bounds(spark, d))
 
 
-@query("SELECT api::INT AS api, version::INT AS version, CASE WHEN api IN (" + ", ".join(map(str, log.APIS)) + ") AND version = 0 THEN 0 ELSE 9 END AS error FROM range(20) a(api), range(2) v(version)")
+@query("""SELECT api::INT AS api, version::INT AS version, CASE WHEN version = 0 AND (api <= 3 OR api BETWEEN 8 AND 14 OR api = 19) THEN 0 ELSE 9 END AS error FROM range(20) a(api), range(2) v(version)""")
 def api_support(spark, d):
     asked = spark.range(40).select((F.col("id") / 2).cast("int").alias("api"), (F.col("id") % 2).cast("int").alias("version"))
     return log.supported(asked)
@@ -247,14 +285,13 @@ def fetch_ceiling(spark, d):
     return seen(True, "follower_sees").join(seen(False, "consumer_sees"), TP, "left").fillna(0)
 
 
-@query(f"""WITH {BAT}, {_CUTS}, f AS (SELECT b.*, c.cut, base_offset <> coalesce(lag(base_offset + last_offset_delta + 1) OVER w, cut) AS bad FROM bat b JOIN cuts c ON b.topic = c.topic AND b.partition_id = c.partition_id
-  WHERE base_offset >= cut AND base_offset % 41 <> 7 WINDOW w AS (PARTITION BY b.topic, b.partition_id ORDER BY base_offset))
+@query(f"""WITH {BAT}, {BOUNDS}, f AS (SELECT b.*, base_offset <> coalesce(lag(base_offset + last_offset_delta + 1) OVER w, log_start) AS bad FROM bat b JOIN bnd c ON b.topic = c.topic AND b.partition_id = c.partition_id
+  WINDOW w AS (PARTITION BY b.topic, b.partition_id ORDER BY base_offset))
 SELECT topic, partition_id, base_offset, NOT bool_or(bad) OVER (PARTITION BY topic, partition_id ORDER BY base_offset) AS accepted FROM f""")
 def follower_append(spark, d):
-    """The second half of each log as batches for a follower, some of which were lost on the way."""
-    ends = _bounds(spark, d).select(*TP, F.floor((F.col("log_start") + F.col("log_end")) / 2).alias("log_end"))
-    sent = _batches(spark, d).where("base_offset % 41 <> 7").join(ends, TP).where("base_offset >= log_end").select(*TP, "base_offset", "last_offset_delta")
-    return log.follow(sent, ends).select(*TP, "base_offset", "accepted")
+    """All batches of each log for a follower that is empty: up to the first gap they are appended."""
+    ends = _bounds(spark, d).select(*TP, F.col("log_start").alias("log_end"))
+    return log.follow(_batches(spark, d).select(*TP, "base_offset", "last_offset_delta"), ends).select(*TP, "base_offset", "accepted")
 
 
 @query("SELECT DISTINCT topic, coalesce(retention_ms, 1) AS retention_ms, coalesce(retention_bytes, -1) AS retention_bytes FROM topic_meta")
@@ -298,7 +335,9 @@ def graveyard_sweep(spark, d):
     return at.select(*TP, names.removed_name(F.col("topic"), F.col("partition_id"), F.col("at_ms")).alias("removed"), (F.lit(NOW_MS) - F.col("at_ms") >= 60_000).alias("due"))
 
 
-@query("SELECT code, text FROM (VALUES " + ", ".join(f"({k}, '{v}')" for k, v in log.ERRORS.items()) + ", (99, 'unrecognised error code')) t(code, text)")
+@query("""SELECT code, text FROM (VALUES (0, 'none'), (1, 'unknown broker error'), (2, 'offset out of range'), (3, 'corrupt message'), (4, 'not leader for partition'), (5, 'unknown topic or partition'),
+(6, 'topic already exists'), (7, 'invalid topic name'), (8, 'request timed out'), (9, 'unsupported api version'), (10, 'group coordinator not available'), (11, 'not the coordinator for this group'),
+(12, 'stale generation'), (13, 'unknown member id'), (14, 'rebalance in progress — rejoin'), (15, 'invalid group id'), (99, 'unrecognised error code')) t(code, text)""")
 def error_codes(spark, d):
     codes = spark.range(0, 17).select(F.when(F.col("id") == 16, 99).otherwise(F.col("id")).cast("int").alias("code"))
     return codes.withColumn("text", log.error_text(F.col("code")))
@@ -364,7 +403,29 @@ def leader_epochs(spark, d):
     return e.withColumn("next_start", F.lead("start_offset").over(W.partitionBy(*TP).orderBy("leader_epoch")))
 
 
-@query()
+@query(f"""WITH {BAT}, {BOUNDS}, e AS (SELECT topic, partition_id, leader_epoch, min(base_offset) AS start_offset FROM bat GROUP BY ALL), q AS (SELECT b.topic, b.partition_id, a.asked, b.log_end FROM bnd b, (SELECT unnest([-1, 0, 1, 2, 3, 1000]) AS asked) a)
+SELECT q.topic, q.partition_id, q.asked::INT AS asked, max(e.leader_epoch) FILTER (e.leader_epoch <= asked) AS epoch, CASE WHEN max(e.leader_epoch) FILTER (e.leader_epoch <= asked) IS NULL THEN -1
+  ELSE coalesce(min(e.start_offset) FILTER (e.leader_epoch > asked), q.log_end) END AS end_offset
+FROM q LEFT JOIN e ON q.topic = e.topic AND q.partition_id = e.partition_id GROUP BY q.topic, q.partition_id, q.asked, q.log_end""")
+def epoch_ends(spark, d):
+    """Where the log of each partition ended in the epochs that a follower asks about."""
+    asked = _bounds(spark, d).select(*TP, F.explode(F.array(*map(F.lit, (-1, 0, 1, 2, 3, 1000)))).alias("asked"))
+    return log.epoch_ends(asked, _batches(spark, d), _bounds(spark, d))
+
+
+@query(f"""WITH {BAT}, {BOUNDS}, r AS (SELECT b.*, i.r, log_end - i.r * (partition_id + 1) * 3 AS fetched, {NOW_MS} - i.r * (partition_id + 1) * 4000 AS came FROM bnd b, (SELECT unnest([0, 1, 2]) AS r) i),
+h AS (SELECT topic, partition_id, min(fetched) FILTER ({NOW_MS} - came < 10000) AS high_watermark, count(*) FILTER ({NOW_MS} - came < 10000) AS n_in_sync FROM r GROUP BY ALL)
+SELECT b.topic, b.partition_id, b.base_offset, CASE WHEN n_in_sync < 2 THEN 'not enough replicas' WHEN base_offset + last_offset_delta < high_watermark THEN 'acknowledged' ELSE 'timed out' END AS answer
+FROM bat b JOIN h ON b.topic = h.topic AND b.partition_id = h.partition_id""")
+def acks_all(spark, d):
+    """What producers that wait for all replicas in sync, of which two are required, are told of each batch now that their time is up."""
+    return log.acknowledge(_batches(spark, d), high_watermark(spark, d), 2).select(*TP, "base_offset", "answer")
+
+
+@query(f"""WITH {REC}, steps AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 2197175160) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+sums AS (SELECT topic, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(rec_value)), lambda i: ('0x' || substr(hex(rec_value), 2 * i + 1, 2))::BIGINT)),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))::BIGINT AS crc FROM rec, steps WHERE rec_value IS NOT NULL)
+SELECT topic, count(*) AS n, sum(crc)::BIGINT AS sum_crc, max(crc) AS max_crc FROM sums GROUP BY topic""")
 def crc_batches(spark, d):
     """CRC-32C of every value, per topic: count and sum."""
     r = _records(spark, d, "rec_value").where("rec_value is not null")
@@ -393,14 +454,38 @@ def batch_codec_roundtrip(spark, d):
 SELECT r.topic, r.partition_id, r.segment_base, count(*) AS n_records, max(r.log_offset) AS last_offset FROM rec r LEFT JOIN cut c
   ON r.topic = c.topic AND r.partition_id = c.partition_id AND r.segment_base = c.segment_base WHERE c.bad IS NULL OR r.batch_base < c.bad GROUP BY ALL""")
 def segment_scan(spark, d):
-    """Segments in their binary form, some batches damaged in one byte, scanned to the first damage."""
+    """Segment files, some batches of which are damaged in one byte, scanned to the first damage."""
     damaged = F.when(F.col("base_offset") % 29 == 0, F.concat(F.expr("substring(batch, 1, length(batch) - 1)"), F.unhex(F.lpad(F.hex(F.lit(255) - F.conv(F.hex(F.expr("substring(batch, length(batch), 1)")), 16, 10).cast("int")), 2, "0")))).otherwise(F.col("batch"))
-    parts = _encoded(spark, d).withColumn("batch", damaged).groupBy(*TP, "segment_base").agg(F.sort_array(F.collect_list(F.struct("base_offset", "batch"))).alias("held"))  # bounded by the segment size
-    content = F.aggregate("held", F.expr("cast('' as binary)"), lambda a, x: F.concat(a, x["batch"]))
-    found = codec.decode_segments(parts.select(*TP, "segment_base", content.alias("content")))
+    root = shared_dir(spark, "damaged")
+    segment_files.write_segments(_encoded(spark, d).withColumn("batch", damaged), root)
+    segment_files.register(spark)
+    found = spark.read.format("segments").load(root).where("error is null")
     return found.groupBy(*TP, "segment_base").agg(F.count(F.lit(1)).alias("n_records"), F.max("log_offset").alias("last_offset"))
 
 
+def _written(spark: SparkSession, d: str) -> str:
+    """All batches as segment files in a shared folder."""
+    root = shared_dir(spark, "segments")
+    segment_files.write_segments(_encoded(spark, d), root)
+    segment_files.register(spark)
+    return root
+
+
+@query(f"""WITH {REC} SELECT topic, partition_id, segment_base, log_offset, timestamp_delta, hex(rec_key) AS rec_key, hex(rec_value) AS rec_value FROM rec""")
+def segment_files_read(spark, d):
+    """Every record, written to segment files by the executors and read back through the data source."""
+    r = spark.read.format("segments").load(_written(spark, d))
+    return r.where("error is null").select(*TP, "segment_base", "log_offset", "timestamp_delta", F.hex("rec_key").alias("rec_key"), F.hex("rec_value").alias("rec_value"))
+
+
+@query(f"""WITH {BAT} SELECT topic, partition_id, segment_base, base_offset, batch_length, leader_epoch, record_count, max_timestamp,
+  coalesce(sum(batch_length + 12) OVER (PARTITION BY topic, partition_id, segment_base ORDER BY base_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS position FROM bat""")
+def segment_headers(spark, d):
+    """The headers of all batches of the segment files, by seeking from one to the next."""
+    h = spark.read.format("segments").option("headers_only", "true").load(_written(spark, d))
+    return h.select(*TP, "segment_base", "base_offset", "batch_length", "leader_epoch", "record_count", "max_timestamp", "position")
+
+
 # ---- segments and retention
 
 
@@ -439,13 +524,37 @@ def sparse_index(spark, d):
     return segments.sparse_index(_batches(spark, d), table(spark, d, "topic_meta"))
 
 
+#: Entries that the small indexes of the next queries hold.
+FEW = 2
+
+
+@query(f"""WITH RECURSIVE {_INDEX}, e AS (SELECT *, row_number() OVER (PARTITION BY topic, partition_id, segment_base ORDER BY base_offset) AS k FROM ix WHERE entry)
+SELECT topic, partition_id, segment_base, base_offset - segment_base AS rel_offset, position FROM e WHERE k <= {FEW}""")
+def sparse_index_full(spark, d):
+    """Indexes with room for few entries: the rest are dropped."""
+    return segments.sparse_index(_batches(spark, d), table(spark, d, "topic_meta"), FEW)
+
+
+@query(f"""WITH RECURSIVE {_PLACED.replace('m.max_segment_age_ms AS age', 'm.max_segment_age_ms AS age, m.index_interval_bytes AS every')}, r AS (
+  SELECT topic, partition_id, n, base_offset, base_offset AS segment_base, 0::BIGINT AS position, bytes, came AS begun, bytes::BIGINT AS since, 0 AS entries FROM bb WHERE n = 1
+  UNION ALL SELECT topic, partition_id, n, base_offset, CASE WHEN roll THEN base_offset ELSE segment_base END, CASE WHEN roll THEN 0 ELSE position END, bytes, CASE WHEN roll THEN came ELSE begun END,
+    CASE WHEN roll OR since >= every THEN 0 ELSE since END + bytes, CASE WHEN roll THEN 0 WHEN since >= every THEN entries + 1 ELSE entries END FROM (
+    SELECT b.topic, b.partition_id, b.n, b.base_offset, b.bytes, b.came, b.every, r.segment_base, r.begun, r.since, r.entries, r.position + r.bytes AS position,
+      r.position + r.bytes >= b.most OR b.came - r.begun >= b.age OR r.entries >= {FEW} AS roll
+    FROM r JOIN bb b ON b.topic = r.topic AND b.partition_id = r.partition_id AND b.n = r.n + 1))
+SELECT topic, partition_id, base_offset, segment_base, position FROM r""")
+def segment_roll_index(spark, d):
+    """Rolling where the index holds few entries: a full one closes the segment."""
+    return segments.roll(_batches(spark, d), table(spark, d, "topic_meta"), FEW)
+
+
 @query(f"""WITH RECURSIVE {_INDEX}, e AS (SELECT topic, partition_id, segment_base, base_offset, position FROM ix WHERE entry), {REQ},
 h AS (SELECT q.seq, q.topic, q.partition_id, q.fetch_offset AS target, max(s.base_offset) AS segment_base FROM req q JOIN segments s
   ON q.topic = s.topic AND q.partition_id = s.partition_id AND s.base_offset <= q.fetch_offset GROUP BY ALL)
 SELECT h.seq, h.topic, h.partition_id, h.target, h.segment_base, coalesce(max(e.base_offset) - h.segment_base, 0) AS rel_offset, coalesce(max(e.position), 0) AS position
 FROM h LEFT JOIN e ON h.topic = e.topic AND h.partition_id = e.partition_id AND h.segment_base = e.segment_base AND e.base_offset <= h.target GROUP BY h.seq, h.topic, h.partition_id, h.target, h.segment_base""")
 def index_lookup(spark, d):
-    index = segments.sparse_index(_batches(spark, d), table(spark, d, "topic_meta"))
+    index = materialize(segments.sparse_index(_batches(spark, d), table(spark, d, "topic_meta")), "index")  # read by two passes
     targets = _requests(spark, d).select("seq", *TP, F.col("fetch_offset").alias("target"))
     return segments.lookup(targets, table(spark, d, "segments"), index)
 
@@ -456,12 +565,10 @@ def contiguity_check(spark, d):
     return segments.contiguity(table(spark, d, "segments"), table(spark, d, "topic_meta"))
 
 
-@query(f"""WITH {BAT}, x AS (SELECT topic, partition_id, base_offset, lag(base_offset + last_offset_delta + 1) OVER (PARTITION BY topic, partition_id ORDER BY base_offset) AS expected
-  FROM bat WHERE base_offset % 10 <> 3)
+@query(f"""WITH {BAT}, x AS (SELECT topic, partition_id, base_offset, lag(base_offset + last_offset_delta + 1) OVER (PARTITION BY topic, partition_id ORDER BY base_offset) AS expected FROM bat)
 SELECT *, base_offset - expected AS gap FROM x WHERE base_offset <> expected""")
 def batch_gaps(spark, d):
-    """Gaps in a log that has lost the batches whose base ends in 3."""
-    return segments.gaps(_batches(spark, d).where("base_offset % 10 <> 3"))
+    return segments.gaps(_batches(spark, d))
 
 
 @query(f"""WITH {BAT} SELECT topic, partition_id, segment_base, max(base_offset + last_offset_delta + 1) AS next_offset, max(max_timestamp) AS max_ts_ms, sum(batch_length + 12)::BIGINT AS size_bytes, count(*) AS n_batches
@@ -487,15 +594,13 @@ def recover_prefix(spark, d):
     return segments.recover(good).select(*TP, "segment_base", "base_offset")
 
 
-_LIMITED = f"""lim AS (SELECT s.*, m.retention_ms, m.retention_bytes FROM segments s JOIN (SELECT DISTINCT topic, retention_ms, LEAST(coalesce(retention_bytes, 40000), 40000) AS retention_bytes, cleanup FROM topic_meta) m USING (topic) WHERE m.cleanup = 0),
+_LIMITED = f"""lim AS (SELECT s.*, m.retention_ms, m.retention_bytes FROM segments s JOIN (SELECT DISTINCT topic, retention_ms, retention_bytes, cleanup FROM topic_meta) m USING (topic) WHERE m.cleanup = 0),
 aged AS (SELECT *, NOT bool_or(NOT sealed OR NOT (next_offset = base_offset OR coalesce(max_ts_ms >= 0 AND {NOW_MS} - max_ts_ms >= retention_ms, false))) OVER (
   PARTITION BY topic, partition_id ORDER BY base_offset) AS expired FROM lim)"""
 
 
 def _meta(spark: SparkSession, d: str) -> DataFrame:
-    """The topics with a byte limit that these small logs reach."""
-    limit = F.least(F.coalesce("retention_bytes", F.lit(40_000)), F.lit(40_000))
-    return table(spark, d, "topic_meta").withColumn("retention_bytes", limit)
+    return table(spark, d, "topic_meta")
 
 
 @query(f"WITH {_LIMITED} SELECT topic, partition_id, base_offset, expired FROM aged")
@@ -503,19 +608,19 @@ def retention_age(spark, d):
     return retention.by_age(table(spark, d, "segments"), _meta(spark, d), NOW_MS).select(*TP, "base_offset", "expired")
 
 
-@query(f"""WITH {_LIMITED} SELECT topic, partition_id, base_offset, sealed AND sum(size_bytes) OVER (PARTITION BY topic, partition_id ORDER BY base_offset DESC) > retention_bytes AS evicted FROM lim""")
+@query(f"""WITH {_LIMITED} SELECT topic, partition_id, base_offset, sealed AND coalesce(sum(size_bytes) OVER (PARTITION BY topic, partition_id ORDER BY base_offset DESC) > retention_bytes, false) AS evicted FROM lim""")
 def retention_bytes(spark, d):
     return retention.by_size(table(spark, d, "segments"), _meta(spark, d)).select(*TP, "base_offset", "evicted")
 
 
-@query(f"""WITH {_LIMITED}, j AS (SELECT *, expired OR (sealed AND sum(CASE WHEN expired THEN 0 ELSE size_bytes END) OVER (PARTITION BY topic, partition_id ORDER BY base_offset DESC) > retention_bytes) AS gone FROM aged)
+@query(f"""WITH {_LIMITED}, j AS (SELECT *, expired OR (sealed AND coalesce(sum(CASE WHEN expired THEN 0 ELSE size_bytes END) OVER (PARTITION BY topic, partition_id ORDER BY base_offset DESC) > retention_bytes, false)) AS gone FROM aged)
 SELECT topic, partition_id, min(base_offset) FILTER (NOT gone) AS log_start, coalesce(sum(size_bytes) FILTER (NOT gone), 0)::BIGINT AS size_bytes, count(*) FILTER (NOT gone) AS n_kept, count(*) FILTER (gone) AS n_deleted
 FROM j GROUP BY topic, partition_id""")
 def retention_both(spark, d):
     return retention.new_bounds(retention.by_both(table(spark, d, "segments"), _meta(spark, d), NOW_MS))
 
 
-@query(f"""WITH {_LIMITED}, j AS (SELECT *, NOT expired AND sealed AND sum(CASE WHEN expired THEN 0 ELSE size_bytes END) OVER (PARTITION BY topic, partition_id ORDER BY base_offset DESC) > retention_bytes AS evicted FROM aged)
+@query(f"""WITH {_LIMITED}, j AS (SELECT *, NOT expired AND sealed AND coalesce(sum(CASE WHEN expired THEN 0 ELSE size_bytes END) OVER (PARTITION BY topic, partition_id ORDER BY base_offset DESC) > retention_bytes, false) AS evicted FROM aged)
 SELECT s.topic, s.partition_id, s.base_offset, CASE WHEN j.expired THEN 'expired' WHEN j.evicted THEN 'evicted'
   WHEN NOT s.sealed AND s.next_offset > s.base_offset AND (s.size_bytes >= m.max_segment_bytes OR (s.max_ts_ms >= 0 AND {NOW_MS} - s.max_ts_ms >= m.max_segment_age_ms)) THEN 'rolled' ELSE 'kept' END AS fate
 FROM segments s JOIN (SELECT DISTINCT topic, max_segment_bytes, max_segment_age_ms FROM topic_meta) m ON s.topic = m.topic
@@ -624,14 +729,20 @@ def dump_segments(spark, d):
     return compaction.dump(_records(spark, d, "segment_base", "batch_base", "rec_value"), table(spark, d, "segments"))
 
 
-@query("""SELECT topic, partition_id, base_offset, base_offset - prev AS missing FROM (SELECT *, lag(next_offset) OVER (PARTITION BY topic, partition_id ORDER BY base_offset) AS prev
-  FROM segments WHERE next_offset % 3 <> 1) WHERE base_offset > prev""")
+@query("""SELECT topic, partition_id, base_offset, base_offset - prev AS missing FROM (SELECT *, lag(next_offset) OVER (PARTITION BY topic, partition_id ORDER BY base_offset) AS prev FROM segments) WHERE base_offset > prev""")
 def segment_gaps(spark, d):
-    """Gaps in a log of which some segments were removed."""
-    from pyspark.sql import Window as W
+    return segments.missing(table(spark, d, "segments"))
 
-    before = F.lag("next_offset").over(W.partitionBy(*TP).orderBy("base_offset"))
-    return table(spark, d, "segments").where("next_offset % 3 <> 1").withColumn("prev", before).where("base_offset > prev").select(*TP, "base_offset", (F.col("base_offset") - F.col("prev")).alias("missing"))
+
+@query(f"""WITH {REC}, {BAT}, h AS (SELECT topic, partition_id, batch_base, count(*) AS n_records, min(log_offset) AS first_offset, max(log_offset) AS last_offset, count(*) FILTER (rec_value IS NULL) AS n_tombstones,
+  count(*) FILTER (log_offset <> expected) AS n_holes, sum(log_offset - expected)::BIGINT AS n_missing FROM (
+  SELECT *, coalesce(lag(log_offset) OVER (PARTITION BY topic, partition_id, segment_base ORDER BY log_offset) + 1, segment_base) AS expected FROM rec) GROUP BY topic, partition_id, batch_base)
+SELECT b.topic, b.partition_id, b.segment_base, b.base_offset, coalesce(sum(batch_length + 12) OVER (PARTITION BY b.topic, b.partition_id, b.segment_base ORDER BY b.base_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS position,
+  (batch_length + 12)::BIGINT AS bytes, max_timestamp, h.n_records, h.first_offset, h.last_offset, h.n_tombstones, h.n_holes, h.n_missing
+FROM bat b JOIN h ON b.topic = h.topic AND b.partition_id = h.partition_id AND b.base_offset = h.batch_base""")
+def dump_batches(spark, d):
+    """Every batch with its place in the segment, and what compaction has taken before and within it."""
+    return compaction.dump_batches(_records(spark, d, "segment_base", "batch_base", "rec_value"), _batches(spark, d))
 
 
 # ---- positions and groups
@@ -693,6 +804,12 @@ def assign_range(spark, d):
     return groups.ASSIGNORS["range"](_members(spark, d), table(spark, d, "segments"))
 
 
+@query(SQL["assign_range"])
+def assignment_roundtrip(spark, d):
+    """The assignment of each member in its binary form and read again."""
+    return metas.decode_assignments(metas.encode_assignments(assign_range(spark, d)))
+
+
 @query(f"""WITH {MEM}, w AS (SELECT DISTINCT group_id, member_id FROM mem), m AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY member_id) - 1 AS m, count(*) OVER (PARTITION BY group_id) AS n FROM w),
 p AS (SELECT x.group_id, q.topic, q.partition_id, row_number() OVER (PARTITION BY x.group_id ORDER BY q.topic, q.partition_id) - 1 AS i FROM (SELECT DISTINCT group_id, topic FROM mem) x JOIN par q ON x.topic = q.topic)
 SELECT p.group_id, m.member_id, p.topic, p.partition_id FROM p JOIN m ON p.group_id = m.group_id AND p.i % m.n = m.m""")
@@ -700,7 +817,12 @@ def assign_roundrobin(spark, d):
     return groups.ASSIGNORS["roundrobin"](_members(spark, d), table(spark, d, "segments"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {MEM}, w AS (SELECT group_id, member_id, row_number() OVER (PARTITION BY group_id ORDER BY member_id) - 1 AS m, count(*) OVER (PARTITION BY group_id) AS n FROM (SELECT DISTINCT group_id, member_id FROM mem)),
+p AS (SELECT x.group_id, q.topic, q.partition_id, row_number() OVER (PARTITION BY x.group_id ORDER BY q.topic, q.partition_id) - 1 AS i FROM (SELECT DISTINCT group_id, topic FROM mem) x JOIN par q ON x.topic = q.topic),
+r AS (SELECT DISTINCT group_id, 0::BIGINT AS i, 0::BIGINT AS turn FROM w UNION ALL
+  SELECT r.group_id, r.i + 1, min(r.turn + (w.m - r.turn % w.n + w.n) % w.n) + 1 FROM r JOIN p ON p.group_id = r.group_id AND p.i = r.i JOIN w ON w.group_id = r.group_id
+  JOIN mem ON mem.group_id = w.group_id AND mem.member_id = w.member_id AND mem.topic = p.topic GROUP BY r.group_id, r.i)
+SELECT r.group_id, w.member_id, p.topic, p.partition_id FROM r JOIN p ON p.group_id = r.group_id AND p.i = r.i - 1 JOIN w ON w.group_id = r.group_id AND w.m = (r.turn - 1) % w.n""")
 def assign_unequal(spark, d):
     return groups.ASSIGNORS["roundrobin-unequal"](_members(spark, d), table(spark, d, "segments"))
 
