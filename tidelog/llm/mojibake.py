@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.common import materialize, ship, spread
+from tidelog.common import HOT_KEYS, materialize, ship, spread
 
 UNI, BI, TRI = 1 << 16, 1 << 20, 1 << 21
 #: Nats: the price of a change between sound and garbled text, of a word between that the chain doesn't explain, the least gain of a word, and
@@ -129,7 +129,7 @@ class Undo:
             return None
 
     def written(self, raw: bytes, encoding: str) -> tuple[str, int] | None:
-        """The text and the number of characters lost, if no more were lost than characters beyond ASCII could be read."""
+        """The text and the number of characters lost, if no more were lost than characters beyond ASCII could be read; of encodings less strict than UTF-8, a tenth of these."""
         if encoding in self.table:
             return codecs.charmap_decode(raw, "strict", self.table[encoding])[0].replace(GONE, REPLACEMENT), 0
         try:
@@ -138,7 +138,7 @@ class Undo:
             text = raw.decode(encoding, "replace")
             lost = text.count(REPLACEMENT)
             read = len(_BEYOND.findall(text)) - lost
-            return (text.replace(REPLACEMENT, "").replace(GONE, REPLACEMENT), lost) if lost <= read else None
+            return (text.replace(REPLACEMENT, "").replace(GONE, REPLACEMENT), lost) if lost * (1 if encoding == "utf-8" else 10) <= read else None
 
     def cut(self, word: str, chain: str) -> bool:
         """Whether undoing ``chain`` leaves an incomplete character at the end of ``word``."""
@@ -186,7 +186,7 @@ class Undo:
             beyond = sum(c > "\x7f" for a, b, _ in pieces for c in word[a:b])
             dense, several = beyond >= 2 and 2 * beyond >= sum(b - a for a, b, _ in pieces), beyond >= 2
             same, name = tuple(pieces), ONE.get(read, read)
-            for encoding in ("utf-8", *WRITTEN[read]):
+            for encoding in ("utf-8", *WRITTEN[read]) if pieces[0][:2] == (0, len(word)) else ("utf-8",):  # parts of a word must be plain by themselves
                 if (same, encoding) in seen or (encoding in DENSE and not dense) or (encoding in MULTI and not several):
                     continue
                 alone = read in MULTI and beyond == 1 and encoding == "utf-8"
@@ -488,13 +488,16 @@ def posteriors(scored: DataFrame, documents: DataFrame, rounds: int = ROUNDS) ->
     """
     spark = scored.sparkSession
     part = ["doc_id", "source", "field"]
-    salted = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")  # a source with most of the evidence is spread over so many tasks
-    salts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")
+    salted = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")  # a hot source is spread over so many tasks
     pages = documents.groupBy(F.coalesce("source", F.lit("")).alias("source"), salted.alias("salt")).agg(F.count_distinct("doc_id").alias("n"))
     pages = materialize(pages.groupBy("source").agg(F.sum("n").alias("n_docs")), "mojibake-sources")
     n = pages.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0] or 1
-    told = scored.withColumns({"source": F.coalesce("source", F.lit("")), "salt": salted})
-    scored = materialize(told.join(pages.select("source", "n_docs", salts), ["source", "salt"]), "mojibake")
+    is_hot = F.col("n_docs") > max(SALTS, n // HOT_KEYS)
+    hot = F.broadcast(pages.where(is_hot).select("source", F.col("n_docs").alias("hot_docs")))  # fewer than HOT_KEYS rows
+    told = scored.withColumn("source", F.coalesce("source", F.lit(""))).join(hot, "source", "left").withColumn("salt", F.when(F.col("hot_docs").isNotNull(), salted + 1).otherwise(0))
+    told = told.join(pages.where(~is_hot).withColumn("salt", F.lit(0)), ["source", "salt"], "left")
+    scored = materialize(told.withColumn("n_docs", F.coalesce("hot_docs", "n_docs")).drop("hot_docs"), "mojibake")
+    salts = F.explode(F.when(F.col("hot"), F.array(*map(F.lit, range(1, SALTS + 1)))).otherwise(F.array(F.lit(0)))).alias("salt")
     chains = [r["chain"] for r in scored.select("chain").distinct().collect()]  # the inventory of chains bounds this
     overall = dict.fromkeys(chains, FIRST_SHARE / max(1, len(chains)))
     local: DataFrame | None = None
@@ -502,22 +505,22 @@ def posteriors(scored: DataFrame, documents: DataFrame, rounds: int = ROUNDS) ->
         general = spark.createDataFrame(list(overall.items()), "chain string, general double")  # a row per chain
         prior = scored.join(F.broadcast(general), "chain")
         if local is not None:
-            prior = prior.join(local.select("*", salts), ["source", "field", "chain", "salt"], "left")
+            prior = prior.join(local.select("source", "field", "chain", "weight", salts), ["source", "field", "chain", "salt"], "left")
             prior = prior.withColumn("prior", (F.coalesce("weight", F.lit(0.0)) + PRIOR_DOCS * F.col("general")) / (F.col("n_docs") + PRIOR_DOCS)).drop("weight")
         else:
             prior = prior.withColumn("prior", F.col("general"))
         # what isn't garbled is sound, with a gain of 0
         odds = prior.withColumn("odds", F.exp(F.least(F.col("gain") + F.log("prior"), F.lit(300.0))))
         whole = odds.groupBy(*part).agg(F.sum("odds").alias("all"), F.collect_list(F.struct("chain", "gain", "odds", "salt")).alias("ways"))  # as many as there are chains at most
-        answer = whole.select(*part, "all", F.explode("ways").alias("w")).select(*part, "w.chain", "w.gain", (F.col("w.odds") / (F.col("all") + 1.0)).alias("posterior"))
+        answer = whole.select(*part, "all", F.explode("ways").alias("w")).select(*part, "w.chain", "w.gain", "w.salt", (F.col("w.odds") / (F.col("all") + 1.0)).alias("posterior"))
         if k == rounds - 1:
             break
-        local = materialize(answer.groupBy("source", "field", "chain").agg(F.sum("posterior").alias("weight")), f"mojibake-em{k}")
+        local = materialize(answer.groupBy("source", "field", "chain", (F.col("salt") > 0).alias("hot")).agg(F.sum("posterior").alias("weight")), f"mojibake-em{k}")
         seen = {r["chain"]: r["w"] for r in local.groupBy("chain").agg(F.sum("weight").alias("w")).collect()}
         was, overall = overall, {c: (seen.get(c, 0.0) + FIRST_SHARE) / (3.0 * n + len(chains)) for c in chains}
         if k and all(abs(overall[c] - was[c]) <= SETTLED * was[c] for c in chains):
             break  # the answer above is that of priors which the next round wouldn't move
-    return answer if chains else scored.select(*part, "chain", "gain", F.lit(0.0).alias("posterior"))
+    return answer.select(*part, "chain", "gain", "posterior")
 
 
 def garbled(documents: DataFrame) -> DataFrame:
