@@ -139,11 +139,13 @@ def test_runs_are_immutable_and_merged_and_keep_their_first_offsets(spark, monke
         assert all(o == first[v] for v, o in again.items())
         runs = index.runs()
         assert len(runs) <= dedup.MAX_RUNS + 1
+        bits = index.manifest.read()[1]["bits"]
         for run in runs:
-            rows = sorted(map(tuple, index.read([run]).collect()))
-            assert written.setdefault(run, rows) == rows  # what was written stays as it is
-    assert index.read(index.runs()).agg(F.sum("n")).first()[0] == len(first)
-    assert index.manifest.read()[1]["bits"] > 4  # prefixes were cut finer as the index grew
+            held = [x for p in range(1 << bits) if (x := dedup.read_prefix(index.base, run, p))]
+            rows = [(*pair.item(), int(o)) for ids_, offsets in held for pair, o in zip(ids_, offsets, strict=True)]
+            assert written.setdefault((run, bits), rows) == rows and len({x[:2] for x in rows}) == len(rows)  # what was written stays as it is
+    assert sum(len(rows) for (run, bits_), rows in written.items() if run in runs and bits_ == bits) == len(first) == index.manifest.read()[1]["n"]
+    assert bits > 4  # prefixes were cut finer as the index grew
 
 
 def test_a_second_call_takes_only_what_is_new(spark):

@@ -70,6 +70,24 @@ def _file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def arrow_fs(path: str):
+    """The file system of a path for use within tasks, and the path in it: those that both Spark and Arrow reach (file, hdfs, s3, gs)."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1) if "://" in path else f"file://{path.removeprefix('file:')}")
+
+
+def put_file(path: str, data: bytes) -> None:
+    """Write a file within a task: aside, then renamed over what a former attempt may have left."""
+    system, at = arrow_fs(path)
+    folder, _, name = at.rpartition("/")
+    system.create_dir(folder)
+    aside = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    with system.open_output_stream(aside) as f:
+        f.write(data)
+    system.move(aside, at)
+
+
 def listing(spark: SparkSession, folder: str) -> list[str]:
     """Names in a folder, sorted; none where it doesn't exist."""
     fs, at = _file_system(spark, folder)

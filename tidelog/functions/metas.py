@@ -6,7 +6,6 @@ All numbers are big-endian; a text is its length in 16 bits and its bytes. Metad
 from __future__ import annotations
 
 import struct
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -87,20 +86,14 @@ def write(partitions: DataFrame, root: str) -> None:
     ship(partitions.sparkSession)
 
     def put(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
+        from tidelog.common import put_file
         from tidelog.functions import metas as m
 
-        system, base = fs.FileSystem.from_uri(root)
         for part in parts:
             rows = part.astype(object).where(part.notna(), None).to_dict("records")
             for r in rows:
-                folder = f"{base}/{r['topic']}-{r['partition_id']}"
-                system.create_dir(folder)
-                aside = f"{folder}/.{uuid.uuid4().hex}.tmp"
-                with system.open_output_stream(aside) as f:
-                    f.write(m.encode_meta(r["topic"], int(r["partition_id"]), {c: None if r[c] is None else int(r[c]) for c in (*m.NUMBERS, "cleanup", "delete_retention_ms")}))
-                system.move(aside, f"{folder}/{m.META_FILE}")
+                settings = {c: None if r[c] is None else int(r[c]) for c in (*m.NUMBERS, "cleanup", "delete_retention_ms")}
+                put_file(f"{root}/{r['topic']}-{r['partition_id']}/{m.META_FILE}", m.encode_meta(r["topic"], int(r["partition_id"]), settings))
             yield pd.DataFrame({"n": [len(rows)]})
 
     partitions.select(*COLUMNS).mapInPandas(put, "n bigint").agg(F.sum("n")).collect()

@@ -3,11 +3,12 @@
 A message is named by topic, partition, producer id, producer epoch and sequence; its 128-bit identifier is two
 independent 64-bit hashes of that name (for 10**12 messages the chance that any two share one is under 10**-14). An
 index holds, by hash prefix, immutable *runs*: sorted arrays of identifiers. Each incoming slice of the log is
-deduplicated in itself, what remains is looked up in the runs of its prefix by binary search, and the novel identifiers alone are
+deduplicated in itself, what remains is looked up in the runs of its prefix by binary search, which the task reads from the index's folder, and the novel identifiers alone are
 written as a new run; no run is ever changed. When there are more than ``MAX_RUNS`` runs before one is added, they are merged into one.
 The list of runs is a manifest that is replaced whole: an index in a folder of the caller's serves any later call, which takes only the slices that are new.
 
-Scale: identifiers are spread by hash prefix, with as many prefixes as keep a prefix near ``PREFIX_IDS`` identifiers; a merge cuts them finer when the index has grown.
+Scale: identifiers are spread by hash prefix, with as many prefixes as keep a prefix near ``PREFIX_IDS`` identifiers; a merge cuts them finer when the index has grown. The index is never
+shuffled: a task reads the files of its prefix, whatever the size of the rest.
 Copies are combined before the shuffle, so a message delivered a million times is one row there. The copies are then
 named by joining identifiers that occurred more than once; those with more than a thousandth of all copies are fewer
 than ``HOT_KEYS`` and are joined by broadcast, all others by shuffle, so no hot message lands in one task. Index and verdicts are
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -28,13 +30,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.common import HOT_KEYS, Manifest, materialize, shared_dir, ship
+from tidelog.common import HOT_KEYS, Manifest, arrow_fs, materialize, put_file, shared_dir, ship
 
 PREFIX_IDS = 1 << 18
 MAX_RUNS = 1
 SLICES = 3
 NAME = ["topic", "partition_id", "producer_id", "producer_epoch", "sequence"]
-OUT = "kind string, prefix int, high bigint, low bigint, first_offset bigint, n bigint, sorted_high binary, sorted_low binary, offsets binary"
+OUT = "kind string, prefix int, high bigint, low bigint, first_offset bigint, n bigint"
 _PAIR = np.dtype([("high", "<i8"), ("low", "<i8")])
 
 
@@ -74,66 +76,90 @@ def _search(run: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, found
 
 
-def _run_rows(prefix: int, ids: np.ndarray, offsets: np.ndarray, bits: int, finer: int) -> list[tuple]:
-    """Rows of a run: the sorted identifiers of a prefix of ``bits`` bits, cut into prefixes of ``finer`` bits."""
-    out = []
-    # bits of a prefix are the topmost of the first half taken as unsigned, whose sorting is that of the signed one within a prefix of a bit or more
-    new = (ids["high"].view(np.uint64) >> np.uint64(64 - finer)).astype(np.int64) if finer > bits else np.full(len(ids), prefix)
-    for p in np.unique(new):
-        own = new == p
-        x = ids[own]
-        out.append(("run", int(p), 0, 0, 0, len(x), x["high"].tobytes(), x["low"].tobytes(), offsets[own].astype("<i8").tobytes()))
-    return out
+def _file(base: str, run: str, prefix: int) -> str:
+    return f"{base}/{run}/{prefix >> 10}/{prefix}"
+
+
+def _write(base: str, run: str, prefix: int, ids: np.ndarray, offsets: np.ndarray) -> None:
+    """The sorted identifiers of a prefix and their first offsets, as one file of three arrays."""
+    put_file(_file(base, run, prefix), ids["high"].tobytes() + ids["low"].tobytes() + offsets.astype("<i8").tobytes())
 
 
-def _index_of(runs: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [(_pairs(np.frombuffer(r.sorted_high, "<i8"), np.frombuffer(r.sorted_low, "<i8")), np.frombuffer(r.offsets, "<i8")) for r in runs.itertuples()]
+def read_prefix(base: str, run: str, prefix: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """What a run holds of a prefix."""
+    system, path = arrow_fs(_file(base, run, prefix))
+    if not system.get_file_info(path).is_file:
+        return None
+    with system.open_input_file(path) as f:
+        high, low, offsets = np.frombuffer(f.read(), "<i8").reshape(3, -1)
+    return _pairs(high, low), offsets
+
+
+def _index_of(base: str, runs: list[str], prefix: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [found for r in runs if (found := read_prefix(base, r, prefix))]
 
 
 _COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 
 
-def _ingest_prefix(bits: int):
-    def ingest(key: tuple, runs: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+def _ingest_prefix(base: str, runs: list[str], name: str):
+    def ingest(key: tuple, new: pd.DataFrame) -> pd.DataFrame:
+        from tidelog.operators import dedup as d
+
         prefix = int(key[0])
-        ids = _pairs(new["high"].to_numpy("int64"), new["low"].to_numpy("int64"))
+        ids = d._pairs(new["high"].to_numpy("int64"), new["low"].to_numpy("int64"))
         first, n = new["first_offset"].to_numpy("int64").copy(), new["n"].to_numpy("int64")
         order = np.argsort(ids, order=("high", "low"))
         ids, first, n = ids[order], first[order], n[order]
         seen = np.zeros(len(ids), bool)
-        for run, offsets in _index_of(runs):
-            at, found = _search(run, ids)
+        for run, offsets in d._index_of(base, runs, prefix):
+            at, found = d._search(run, ids)
             first[found] = offsets[at[found]]
             seen |= found
+        if not seen.all():
+            d._write(base, name, prefix, ids[~seen], first[~seen])
         rows = pd.DataFrame({"kind": "copy", "prefix": prefix, "high": ids["high"], "low": ids["low"], "first_offset": first, "n": n})[seen | (n > 1)]
-        rows[["sorted_high", "sorted_low", "offsets"]] = None
-        novel = pd.DataFrame(_run_rows(prefix, ids[~seen], first[~seen], bits, bits), columns=_COLUMNS)
-        return pd.concat([rows.astype(object), novel.astype(object)], ignore_index=True)  # bigints never pass through floats
+        return pd.concat([rows, pd.DataFrame([("run", prefix, 0, 0, 0, int((~seen).sum()))], columns=d._COLUMNS)], ignore_index=True)
 
     return ingest
 
 
-def _merge_prefix(bits: int, finer: int):
-    def merge(key: tuple, runs: pd.DataFrame) -> pd.DataFrame:
-        parts = _index_of(runs)
-        ids, offsets = parts[0]
-        for other, more in parts[1:]:
-            at = np.searchsorted(ids["high"], other["high"], "left")  # identifiers are novel to their run, so equal first halves differ in the second
-            if (near := (at < len(ids)) & (ids["high"][np.minimum(at, len(ids) - 1)] == other["high"])).any():
-                for i in np.nonzero(near)[0]:
-                    while at[i] < len(ids) and ids[at[i]].item() < other[i].item():
-                        at[i] += 1
-            places, both = at + np.arange(len(other)), np.empty(len(ids) + len(other), _PAIR)
-            rest = np.ones(len(both), bool)
-            rest[places] = False
-            joint = np.empty(len(both), np.int64)
-            both[places], both[rest], joint[places], joint[rest] = other, ids, more, offsets
-            ids, offsets = both, joint
-        return pd.DataFrame(_run_rows(int(key[0]), ids, offsets, bits, finer), columns=_COLUMNS)
+def _merge_prefixes(base: str, runs: list[str], name: str, bits: int, finer: int):
+    def merge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from tidelog.operators import dedup as d
+
+        for part in parts:
+            for prefix in part["id"].tolist():
+                index = d._index_of(base, runs, prefix)
+                if not index:
+                    continue
+                ids, offsets = index[0]
+                for other, more in index[1:]:
+                    ids, offsets = d._merged(ids, offsets, other, more)
+                # bits of a prefix are the topmost of the first half taken as unsigned, whose sorting is that of the signed one within a prefix of a bit or more
+                new = (ids["high"].view(np.uint64) >> np.uint64(64 - finer)).astype(np.int64) if finer > bits else np.full(len(ids), prefix)
+                for p in np.unique(new):
+                    d._write(base, name, int(p), ids[new == p], offsets[new == p])
+            yield pd.DataFrame({"id": part["id"]})
 
     return merge
 
 
+def _merged(ids: np.ndarray, offsets: np.ndarray, other: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted runs as one: each identifier of the other moves up by those of the first below it."""
+    at, end = np.searchsorted(ids["high"], other["high"], "left"), np.searchsorted(ids["high"], other["high"], "right")
+    open_ = np.nonzero(end > at)[0]  # where first halves are equal the second ones decide; as a run has novel identifiers only, they differ
+    while len(open_):
+        open_ = open_[ids["low"][at[open_]] < other["low"][open_]]
+        at[open_] += 1
+        open_ = open_[at[open_] < end[open_]]
+    places, both, joint = at + np.arange(len(other)), np.empty(len(ids) + len(other), _PAIR), np.empty(len(ids) + len(other), np.int64)
+    rest = np.ones(len(both), bool)
+    rest[places] = False
+    both[places], both[rest], joint[places], joint[rest] = other, ids, more, offsets
+    return both, joint
+
+
 def prefix_bits(ids: int) -> int:
     return max(4, math.ceil(math.log2(max(1, ids) / PREFIX_IDS)))
 
@@ -148,15 +174,6 @@ class Index:
     def runs(self) -> list[str]:
         return self.manifest.read()[1].get("runs", [])
 
-    def read(self, runs: list[str]) -> DataFrame:
-        parts = [self.spark.read.schema(OUT).parquet(f"{self.base}/{r}").where("kind = 'run'") for r in runs]
-        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], OUT)
-
-    def _write(self, rows: DataFrame) -> str:
-        name = f"run-{uuid.uuid4().hex}"
-        rows.write.partitionBy("kind").parquet(f"{self.base}/{name}")
-        return name
-
     def ingest(self, incoming: DataFrame, n_new: int = 0) -> DataFrame:
         """Look one slice of messages up and add its novel identifiers as a run. Returns the identifiers met again (high, low, first_offset, n).
 
@@ -166,18 +183,23 @@ class Index:
         version, content = self.manifest.read()
         bits, runs, total = content.get("bits", prefix_bits(n_new)), content.get("runs", []), content.get("n", 0)
         if len(runs) > MAX_RUNS:
-            finer = max(bits, prefix_bits(total))
-            runs, bits = [self._write(self.read(runs).groupBy("prefix").applyInPandas(_merge_prefix(bits, finer), OUT))], finer
+            name, finer = f"run-{uuid.uuid4().hex}", max(bits, prefix_bits(total))
+            tasks = min(1 << bits, max(self.spark.sparkContext.defaultParallelism, (1 << bits) // 64))
+            self.spark.range(0, 1 << bits, 1, tasks).mapInPandas(_merge_prefixes(self.base, runs, name, bits, finer), "id bigint").agg(F.count("id")).collect()  # one number
+            runs, bits = [name], finer
         ids = (
             incoming.groupBy("high", "low")
             .agg(F.min("log_offset").alias("first_offset"), F.count(F.lit(1)).alias("n"))
             .withColumn("prefix", F.shiftrightunsigned("high", 64 - bits).cast("int"))
         )
-        name = self._write(self.read(runs).groupBy("prefix").cogroup(ids.groupBy("prefix")).applyInPandas(_ingest_prefix(bits), OUT))
-        added = self.read([name]).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        name = f"run-{uuid.uuid4().hex}"
+        path = f"{self.base}/verdicts-{name}"
+        ids.groupBy("prefix").applyInPandas(_ingest_prefix(self.base, runs, name), OUT).write.partitionBy("kind").parquet(path)
+        told = self.spark.read.schema(OUT).parquet(path)
+        added = told.where("kind = 'run'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         if not self.manifest.add(version + 1, {"runs": [*runs, name], "bits": bits, "n": total + added}):
             raise RuntimeError(f"another writer has changed {self.base}")
-        return self.spark.read.schema(OUT).parquet(f"{self.base}/{name}").where("kind = 'copy'").select("high", "low", "first_offset", "n")
+        return told.where("kind = 'copy'").select("high", "low", "first_offset", "n")
 
 
 def copies(records: DataFrame, batches: DataFrame, slices: int = SLICES, base: str | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from tidelog.common import _file_system, listing, ship
+from tidelog.common import _file_system, arrow_fs, listing, ship
 from tidelog.functions.codec import CRC_AT, CRC_FROM, DECODED, HEADER, Corrupt, batch_size, crc32c, decode_batch
 
 _DIRECTORY, _FILE = re.compile(r"([A-Za-z0-9._-]+)-(0|[1-9][0-9]*)"), re.compile(r"([0-9]{20})\.log")
@@ -29,13 +29,6 @@ HEADERS = "topic string, partition_id int, segment_base bigint, position bigint,
 DELETE_DELAY_MS = 60_000
 
 
-def opened(path: str):
-    """The file system of a path, and the path in it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
 class SegmentFile(InputPartition):
     def __init__(self, topic: str, partition: int, base: int, path: str) -> None:
         self.topic, self.partition, self.base, self.path = topic, partition, base, path
@@ -48,7 +41,7 @@ class SegmentReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
 
-        system, base = opened(self.root)
+        system, base = arrow_fs(self.root)
         out = []
         for x in sorted(system.get_file_info(fs.FileSelector(base, recursive=True)), key=lambda x: x.path):
             folder, _, name = x.path.rpartition("/")
@@ -61,7 +54,7 @@ class SegmentReader(DataSourceReader):
         if partition is None:  # a directory without segments
             return
         place = (partition.topic, partition.partition, partition.base)
-        system, _ = opened(self.root)
+        system, _ = arrow_fs(self.root)
         at = 0
         with system.open_input_file(partition.path) as f:
             end = f.size()
@@ -120,9 +113,9 @@ def write_segments(encoded: DataFrame, root: str) -> None:
     ship(encoded.sparkSession)
 
     def put(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tidelog.sources.segment_files import opened
+        from tidelog.common import arrow_fs
 
-        system, base = opened(root)
+        system, base = arrow_fs(root)
         place, out, names, written = None, None, ("", ""), 0
 
         def close() -> None:
