@@ -180,3 +180,41 @@ def test_consume_again_and_at_most_once(spark, tmp_path):
     assert run() == 1 and sorted(got) == list(range(12))
     got.clear()
     assert run(True, "b") == 1 and sorted(got) == list(range(12))
+
+
+def test_following_goes_on_until_told_to_stop(spark, tmp_path):
+    src, got = f"file://{tmp_path}/in", []
+    spark.range(10).write.parquet(src)
+
+    def handle(df, epoch):
+        got.extend(r[0] for r in df.collect())
+        if len(got) == 10:
+            spark.range(10, 12).write.mode("append").parquet(src)  # comes while the query runs
+
+    assert live.consume(spark.readStream.schema("id bigint").parquet(src), f"file://{tmp_path}/a", handle, follow=lambda: len(got) < 12) == 2 and sorted(got) == list(range(12))
+
+
+def test_reading_starts_where_something_is_left_or_fails(spark, tmp_path):
+    from tidelog.operators import log
+
+    src = f"file://{tmp_path}/in"
+    spark.range(5, 10).selectExpr("'t' as topic", "0 as partition_id", "id as log_offset").write.parquet(src)
+    stream = lambda: spark.readStream.schema("topic string, partition_id int, log_offset bigint").parquet(src)
+    bounds = spark.createDataFrame([("t", 0, 5, 10)], "topic string, partition_id int, log_start bigint, log_end bigint")
+    at = lambda o: log.resume(spark.createDataFrame([("t", 0, o)], "topic string, partition_id int, fetch_offset bigint"), bounds)
+    for o, first in ((0, 5), (7, 7)):
+        got = []
+        live.consume(live.starting_at(stream(), at(o)), f"file://{tmp_path}/{o}", lambda df, k, got=got: got.extend(r["log_offset"] for r in df.collect()))
+        assert sorted(got) == list(range(first, 10))
+    with pytest.raises(ValueError):
+        live.starting_at(stream(), at(11))
+
+
+def test_offsets_given_out_go_on_after_a_restart(spark, tmp_path):
+    src, base = f"file://{tmp_path}/in", f"file://{tmp_path}/run"
+    for k in range(3):
+        spark.range(100 * k, 100 * k + 50).selectExpr("id", "cast(id % 7 = 0 as int) as partition_id").write.mode("append").parquet(src)
+        out = live.give_offsets(spark.readStream.schema("id bigint, partition_id int").parquet(src), "id", base, 16)
+    for p in (0, 1):
+        rows = [tuple(r) for r in out.where(F.col("partition_id") == p).orderBy("id").select("id", "log_offset").collect()]
+        assert [o for _, o in rows] == list(range(len(rows))) and len(rows) > 20

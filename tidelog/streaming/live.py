@@ -1,8 +1,8 @@
 """Live versions: offsets, consumption, K-slack, compacted view and group coordinator on Structured Streaming.
 
 Each takes a streaming DataFrame and writes to a folder with a checkpoint; run with ``availableNow`` they catch up and end, and their result
-equals that of the batch operator. Offsets, positions and groups keep their state per key (partition or group) in the state store; the K-slack buffer and the compacted view keep it in
-files and spread a key over tasks. A micro-batch is read under the limits of its source (``maxFilesPerTrigger``), which bound what one key brings at a time.
+equals that of the batch operator. Groups and windowed counts keep their state per key in the state store; offsets, the K-slack buffer and the compacted view keep it in
+files, numbered by epoch, and spread a key over tasks, as each micro-batch is a step of the batch operator. A micro-batch is read under the limits of its source (``maxFilesPerTrigger``), which bound what one key brings at a time.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidelog.common import CHUNK_OFFSETS, Manifest, asof, chunked_lag, chunked_running_sum, ship
-from tidelog.operators import kslack, lsm
+from tidelog.operators import kslack, log, lsm
 from tidelog.operators.groups import EVENTS, RESULTS, names
 
 
@@ -41,18 +41,29 @@ def run_to_end(out: DataFrame, base: str, mode: str = "append") -> DataFrame:
     return out.sparkSession.read.schema(out.schema).parquet(f"{base}/out")
 
 
-def give_offsets(stream: DataFrame, order: str) -> DataFrame:
-    """``partition_id``, ``order`` and ``log_offset``: the next numbers of each partition, in the given order within a micro-batch."""
-    ship(stream.sparkSession)
+def give_offsets(stream: DataFrame, order: str, base: str, block: int = CHUNK_OFFSETS) -> DataFrame:
+    """``partition_id``, ``order`` (a bigint) and ``log_offset``: the next numbers of each partition, in the given order within a micro-batch; kept in ``base``, from which it goes on after any stop.
 
-    def number(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(order)
-        first = state.get[0] if state.exists else 0
-        state.update((first + len(rows),))
-        yield pd.DataFrame({"partition_id": key[0], order: rows[order].to_numpy(), "log_offset": range(first, first + len(rows))})
+    A micro-batch is appended by the batch operator, in slices of ``block`` of the order, so a partition that brings most of it is spread. Where each log ends lies in files, numbered by epoch in a manifest.
+    """
+    spark, manifest = stream.sparkSession, Manifest(stream.sparkSession, f"{base}/steps")
+    out, ends = f"partition_id int, {order} bigint, log_offset bigint", "partition_id int, log_end bigint"
+    read = lambda step, what, schema: spark.read.schema(schema).parquet(f"{base}/{step}/{what}") if step else spark.createDataFrame([], schema)
+
+    def number(batch: DataFrame, epoch: int) -> None:
+        if epoch + 1 in manifest.versions():
+            return
+        name, was = f"step{epoch:09d}-{uuid.uuid4().hex}", read(manifest.read(epoch + 1)[1].get("step"), "ends", ends)
+        log.append(batch, F.col("partition_id"), [order], F.floor(F.col(order) / block), was).select("partition_id", order, "log_offset").write.parquet(f"{base}/{name}/out")
+        new = read(name, "out", out).groupBy("partition_id").agg((F.max("log_offset") + 1).alias("log_end"))  # a row per partition
+        was.unionByName(new).groupBy("partition_id").agg(F.max("log_end").alias("log_end")).write.parquet(f"{base}/{name}/ends")
+        if not manifest.add(epoch + 1, {"step": name}):
+            raise RuntimeError(f"another query has taken step {epoch} in {base}")
 
-    schema = f"partition_id int, {order} bigint, log_offset bigint"
-    return stream.select(F.col("partition_id").cast("int"), order).groupBy("partition_id").applyInPandasWithState(number, schema, "next bigint", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.select(F.col("partition_id").cast("int"), F.col(order).cast("bigint"))
+    rows.writeStream.foreachBatch(number).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    parts = [read(manifest.read(v + 1)[1]["step"], "out", out) for v in manifest.versions()]
+    return reduce(DataFrame.unionByName, parts) if parts else read(None, "out", out)
 
 
 TIMED = "topic string, partition_id int, batch_base bigint, log_offset bigint, size_bytes int, e bigint, seen bigint"
@@ -166,8 +177,15 @@ def staged(rows: DataFrame, part: Column, parts: int, path: str) -> DataFrame:
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def consume(stream: DataFrame, base: str, handle: Callable[[DataFrame, int], None], at_most_once: bool = False) -> int:
-    """Hand every micro-batch to ``handle`` and return how many there were.
+def starting_at(stream: DataFrame, resumed: DataFrame) -> DataFrame:
+    """The stream from where ``log.resume`` says (topic, partition_id, error, resume_at); fails where a position is past the end or there is no such partition."""
+    if wrong := [tuple(r) for r in resumed.where("error <> 0").select(*TP, "error").collect()]:  # a row per partition
+        raise ValueError(f"can't read from these positions (topic, partition, error): {wrong}")
+    return stream.join(F.broadcast(resumed.select(*TP, F.col("resume_at").alias("__from"))), TP).where("log_offset >= __from").drop("__from")
+
+
+def consume(stream: DataFrame, base: str, handle: Callable[[DataFrame, int], None], at_most_once: bool = False, follow: Callable[[], bool] | None = None, poll_ms: int = 200) -> int:
+    """Hand every micro-batch to ``handle`` and return how many there were. Ends when all is read, or with ``follow`` goes on, looking for more every ``poll_ms``, as long as that says so.
 
     At least once: the position is committed after the output, so a crash in between hands the batch out again. At most once: an epoch
     whose mark is already there is passed over, and the mark is set before the output.
@@ -183,7 +201,11 @@ def consume(stream: DataFrame, base: str, handle: Callable[[DataFrame, int], Non
         handle(batch, epoch)
         seen.append(epoch)
 
-    stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    when = {"processingTime": f"{poll_ms} milliseconds"} if follow else {"availableNow": True}
+    query = stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{base}/checkpoint").trigger(**when).start()
+    while not query.awaitTermination(poll_ms / 1000) if follow else query.awaitTermination():
+        if not follow():
+            query.stop()
     return len(seen)
 
 
