@@ -251,6 +251,9 @@ def test_cleaned_segments_take_the_place_of_old_ones(spark, tmp_path):
     touched = spark.createDataFrame([("t", 0, 0), ("t", 0, 4)], "topic string, partition_id int, segment_base bigint")
     compaction.replace_segments(cleaned, touched, path)
     assert [r[0] for r in sorted(spark.read.parquet(path).select("log_offset").collect())] == [1, 2, 3, 6, 7]
+    with pytest.raises(LookupError):  # segment 4 is gone by now
+        compaction.replace_segments(cleaned.where("log_offset <> 1"), touched, path)
+    assert spark.read.parquet(path).count() == 5
 
 
 def test_a_follower_refuses_from_the_first_gap_on(spark):

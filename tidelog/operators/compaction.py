@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.common import chunked_running_sum
+from tidelog.common import _file_system, chunked_running_sum
 from tidelog.operators.log import BEFORE_LENGTH, TP
 
 
@@ -112,14 +112,17 @@ def replace_segments(cleaned: DataFrame, touched: DataFrame, path: str) -> None:
     """Put cleaned segments in the place of old ones in a table partitioned by topic, partition_id and segment_base.
 
     ``touched`` names the segments from which something was dropped; only those are written. The folder of a touched segment without
-    survivors is deleted. ``cleaned`` must not be read from ``path`` itself.
+    survivors is deleted. ``cleaned`` must not be read from ``path`` itself. Where a touched segment is gone, as retention may have taken it meanwhile, nothing is replaced and LookupError tells which.
     """
     spark = cleaned.sparkSession
     part = [*TP, "segment_base"]
+    for r in touched.select(*part).distinct().toLocalIterator():  # names of segments, one at a time
+        fs, folder = _file_system(spark, f"{path}/topic={r['topic']}/partition_id={r['partition_id']}/segment_base={r['segment_base']}")
+        if not fs.exists(folder):
+            raise LookupError(str(folder))
     written = cleaned.join(touched.select(*part).distinct(), part, "left_semi")
     written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*part).parquet(path)
     gone = touched.select(*part).distinct().join(cleaned.select(*part).distinct(), part, "left_anti")
-    hadoop = spark._jvm.org.apache.hadoop.fs
     for r in gone.toLocalIterator():  # names of emptied segments, one at a time
-        folder = hadoop.Path(f"{path}/topic={r['topic']}/partition_id={r['partition_id']}/segment_base={r['segment_base']}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        fs, folder = _file_system(spark, f"{path}/topic={r['topic']}/partition_id={r['partition_id']}/segment_base={r['segment_base']}")
+        fs.delete(folder, True)

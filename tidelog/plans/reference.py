@@ -690,12 +690,12 @@ def compact_report(spark, d):
     return compaction.pass_report(_judged(spark, d))
 
 
-_DIRTY = f"""{_CUTS}, rat AS (SELECT s.topic, s.partition_id, coalesce(sum(size_bytes) FILTER (sealed AND base_offset >= cut) / nullif(sum(size_bytes) FILTER (sealed), 0), 0)::DOUBLE AS dirty_ratio,
+_DIRTY = """cuts AS (SELECT topic, partition_id, (3 * min(base_offset) + max(next_offset)) // 4 AS cut FROM segments GROUP BY ALL), rat AS (SELECT s.topic, s.partition_id, coalesce(sum(size_bytes) FILTER (sealed AND base_offset >= cut) / nullif(sum(size_bytes) FILTER (sealed), 0), 0)::DOUBLE AS dirty_ratio,
   sum(size_bytes) FILTER (sealed) AS al FROM segments s JOIN cuts c ON s.topic = c.topic AND s.partition_id = c.partition_id GROUP BY s.topic, s.partition_id)"""
 
 
 def _ratios(spark: SparkSession, d: str) -> DataFrame:
-    marks = _bounds(spark, d).select(*TP, F.floor((F.col("log_start") + F.col("log_end")) / 2).alias("mark"))
+    marks = _bounds(spark, d).select(*TP, F.floor((3 * F.col("log_start") + F.col("log_end")) / 4).alias("mark"))  # as if a quarter had been cleaned
     return compaction.dirty_ratio(table(spark, d, "segments"), marks)
 
 
@@ -704,9 +704,9 @@ def dirty_ratio(spark, d):
     return _ratios(spark, d).withColumn("dirty_ratio", F.round("dirty_ratio", 9))
 
 
-@query(f"WITH {_DIRTY} SELECT topic, partition_id, round(dirty_ratio, 9) AS dirty_ratio FROM rat WHERE dirty_ratio > 0.3 ORDER BY rat.dirty_ratio DESC, topic, partition_id LIMIT 1")
+@query(f"WITH {_DIRTY} SELECT topic, partition_id, round(dirty_ratio, 9) AS dirty_ratio FROM rat WHERE dirty_ratio > 0.5 ORDER BY rat.dirty_ratio DESC, topic, partition_id LIMIT 1")
 def dirtiest(spark, d):
-    return compaction.dirtiest(_ratios(spark, d), 0.3).withColumn("dirty_ratio", F.round("dirty_ratio", 9))
+    return compaction.dirtiest(_ratios(spark, d)).withColumn("dirty_ratio", F.round("dirty_ratio", 9))
 
 
 _HOLES = """ho AS (SELECT topic, partition_id, segment_base, log_offset, log_offset - expected AS missing FROM (
