@@ -93,7 +93,9 @@ def pack_sizes(sizes: DataFrame, packs: DataFrame, n_docs: int, group_docs: int
     # the capacities are a parameter of the job: a handful of rows
     kinds = sorted({(r["pack_name"], int(r["capacity_tokens"])) for r in packs.where("capacity_tokens >= 1").select("pack_name", "capacity_tokens").distinct().collect()})
     grouped = sizes.where("doc_id is not null").withColumn("pack_group", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(groups)).cast("int"))
-    return (grouped if kinds else grouped.limit(0)).groupBy("pack_group").applyInPandas(_pack_group(kinds or [("", 1)]), OUT)
+    # a small shuffle and long work: in as many partitions as the session says, whatever their size
+    spread = (grouped if kinds else grouped.limit(0)).repartition(int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pack_group")
+    return spread.groupBy("pack_group").applyInPandas(_pack_group(kinds or [("", 1)]), OUT)
 
 
 def pack_documents(documents: DataFrame, packs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, group_docs: int = GROUP_DOCS) -> DataFrame:
