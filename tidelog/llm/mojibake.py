@@ -98,6 +98,8 @@ ALONE = ", alone"
 #: What is left of punctuation in UTF-8 that was read as windows-1252 or its subset and then lost its control characters.
 LEFT, LEFT_OF = "â", "’“”–—…"
 _REFERENCE = re.compile(r"&#?\w{2,31};?")
+_HIGH_CONTROL = re.compile(r"[\x80-\x9f]")
+_CHARACTER = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 _BEYOND = re.compile(r"[^\x00-\x7f]")
 _CONTROL = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\x9f]")
 
@@ -119,6 +121,7 @@ class Undo:
     def __init__(self) -> None:
         self.table = {e: letters_of(e) for e in (*SINGLE, *ONLY_WRITTEN)}
         self.map = {e: codecs.charmap_build(self.table[e]) for e in SINGLE}
+        self.lead = {e: re.compile(f"[{re.escape(self.table[e][0xC2:0xF5])}][{re.escape(self.table[e][0x80:0xC0])}]") for e in SINGLE}
         self.run = {e: re.compile(f"[{re.escape(self.table[e] + REPLACEMENT)}]+") for e in SINGLE}
 
     def bytes_of(self, word: str, read: str) -> bytes | None:
@@ -135,6 +138,9 @@ class Undo:
         try:
             return raw.decode(encoding).replace(GONE, REPLACEMENT), 0
         except UnicodeDecodeError:
+            # most words end here: without a character that can be read, or with too few bytes for the tenth, no more can be lost
+            if not _CHARACTER.search(raw) if encoding == "utf-8" else len(raw) < 21:
+                return None
             text = raw.decode(encoding, "replace")
             lost = text.count(REPLACEMENT)
             read = len(_BEYOND.findall(text)) - lost
@@ -159,50 +165,50 @@ class Undo:
     def valid(text: str, encoding: str, read: str) -> float:
         return VALID_UTF8 * min(3, sum(c > "\x7f" for c in text)) if encoding == "utf-8" and read in SINGLE else 0.0
 
-    def pieces(self, word: str, read: str) -> list[tuple[int, int, bytes]]:
-        """The parts of ``word`` that can come of a reading, and their bytes: all of it, or else, of a single-byte reading, its longest runs with characters beyond ASCII."""
-        if (raw := self.bytes_of(word, read)) is not None:
-            return [(0, len(word), raw)]
-        if read not in self.run:
-            return []
-        return [(m.start(), m.end(), self.bytes_of(m[0], read)) for m in self.run[read].finditer(word) if not m[0].isascii()]
-
-    def undone(self, word: str, pieces: list[tuple[int, int, bytes]], encoding: str, read: str) -> tuple[str, float] | None:
-        """``word`` with the pieces read as ``encoding`` that can be, and the bonus less what was lost; None where that changes nothing."""
+    def in_part(self, word: str, read: str) -> tuple[str, float] | None:
+        """``word``, which as a whole can't come of a single-byte reading, with those of its longest runs that can come of ``read`` and are UTF-8 read as that, and the bonus less what was lost."""
         out, at, bonus = [], 0, 0.0
-        for start, end, raw in pieces:
-            got = self.written(raw, encoding)
-            if got and got[0] != word[start:end] and not _CONTROL.search(got[0]):
-                out += [word[at:start], got[0]]
-                at, bonus = end, bonus + self.valid(got[0], encoding, read) - LOST * got[1]
+        for m in self.run[read].finditer(word):
+            got = None if m[0].isascii() else self.written(self.bytes_of(m[0], read), "utf-8")
+            if got and got[0] != m[0] and not _CONTROL.search(got[0]):
+                out += [word[at : m.start()], got[0]]
+                at, bonus = m.end(), bonus + self.valid(got[0], "utf-8", read) - LOST * got[1]
         return ("".join(out) + word[at:], bonus) if at else None
 
     def steps(self, word: str) -> list[tuple[str, str, float]]:
         """(chain, text, bonus) for every way to undo one wrong reading of ``word``."""
-        out, seen = [], set()
+        beyond = sum(c > "\x7f" for c in word)
+        dense, several = beyond >= 2 and 2 * beyond >= len(word), beyond >= 2
+        out, seen, whole = [], set(), False
         for read in (*SINGLE, *MULTI[:4]):  # whether a word can come of a reading, only encoding it shows: mac-roman has U+F8FF and two ligatures
-            if not (pieces := self.pieces(word, read)):
+            name, raw = ONE.get(read, read), self.bytes_of(word, read)
+            if raw is None:
                 continue
-            beyond = sum(c > "\x7f" for a, b, _ in pieces for c in word[a:b])
-            dense, several = beyond >= 2 and 2 * beyond >= sum(b - a for a, b, _ in pieces), beyond >= 2
-            same, name = tuple(pieces), ONE.get(read, read)
-            for encoding in ("utf-8", *WRITTEN[read]) if pieces[0][:2] == (0, len(word)) else ("utf-8",):  # parts of a word must be plain by themselves
-                if (same, encoding) in seen or (encoding in DENSE and not dense) or (encoding in MULTI and not several):
+            whole = whole or read in SINGLE
+            for encoding in ("utf-8", *WRITTEN[read]):
+                if (raw, encoding) in seen or (encoding in DENSE and not dense) or (encoding in MULTI and not several):
                     continue
                 alone = read in MULTI and beyond == 1 and encoding == "utf-8"
                 if read in MULTI and encoding in MULTI and beyond < 3:  # a character or two read as any other: no evidence
                     continue
-                seen.add((same, encoding))
-                if alone:  # a sign that became one letter, such as the dot between menu items
-                    text, lost = self.written(pieces[0][2], encoding) or ("a", 0)
-                    if all(c <= "\x7f" or unicodedata.category(c)[0] in "PS" for c in text) and not text.isascii():
-                        out.append((f"{encoding}>{read}{ALONE}", text, -LOST * lost))
-                elif got := self.undone(word, pieces, encoding, read):
-                    out.append((f"{encoding}>{name}", *got))
-            if read == "latin-1" and re.search("[\x80-\x9f]", word):  # controls are windows-1252 read as its subset
-                text = "".join(self.table["cp1252"][ord(c)] if "\x80" <= c <= "\x9f" else c for c in word)
+                seen.add((raw, encoding))
+                if got := self.written(raw, encoding):
+                    text, lost = got
+                    if alone:  # a sign that became one letter, such as the dot between menu items
+                        if all(c <= "\x7f" or unicodedata.category(c)[0] in "PS" for c in text):
+                            out.append((f"{encoding}>{read}{ALONE}", text, -LOST * lost))
+                        continue
+                    if text != word and not _CONTROL.search(text):
+                        out.append((f"{encoding}>{name}", text, self.valid(text, encoding, read) - LOST * lost))
+            if read == "latin-1" and _HIGH_CONTROL.search(word):  # controls are windows-1252 read as its subset
+                text = codecs.charmap_decode(raw, "strict", self.table["cp1252"])[0]
                 if text != word and not _CONTROL.search(text):
                     out.append(("cp1252>latin-1", text, VALID_UTF8))
+        for read in () if whole else SINGLE:  # UTF-8 needs the character of a first byte before that of a further one
+            name = ONE.get(read, read)
+            if self.lead[read].search(word) and (got := self.in_part(word, read)) and (name, got[0]) not in seen:
+                seen.add((name, got[0]))
+                out.append((f"utf-8>{name}", *got))
         return out
 
     def chains(self, word: str) -> list[tuple[str, str, float]]:
@@ -219,8 +225,10 @@ class Undo:
             out += [("utf-8>latin-1, controls lost", word.replace(LEFT, c), 0.0) for c in LEFT_OF]
             if word.count(LEFT) == 2:
                 out.append(("utf-8>latin-1, controls lost", word.replace(LEFT, "“", 1).replace(LEFT, "”"), 0.0))
+        twice = set()
         for chain, text, bonus in first:
-            if chain.startswith("utf-8>") and not text.isascii():
+            if chain.startswith("utf-8>") and not text.isascii() and (chain, text) not in twice:
+                twice.add((chain, text))
                 out += [(f"{c}+{chain}", t, bonus + b) for c, t, b in self.steps(text)]
         return out
 
@@ -495,7 +503,7 @@ def posteriors(scored: DataFrame, documents: DataFrame, rounds: int = ROUNDS) ->
     is_hot = F.col("n_docs") > max(SALTS, n // HOT_KEYS)
     hot = F.broadcast(pages.where(is_hot).select("source", F.col("n_docs").alias("hot_docs")))  # fewer than HOT_KEYS rows
     told = scored.withColumn("source", F.coalesce("source", F.lit(""))).join(hot, "source", "left").withColumn("salt", F.when(F.col("hot_docs").isNotNull(), salted + 1).otherwise(0))
-    told = told.join(pages.where(~is_hot).withColumn("salt", F.lit(0)), ["source", "salt"], "left")
+    told = told.join(pages.where(~is_hot).withColumn("salt", F.lit(0)).hint("merge"), ["source", "salt"], "left")
     scored = materialize(told.withColumn("n_docs", F.coalesce("hot_docs", "n_docs")).drop("hot_docs"), "mojibake")
     salts = F.explode(F.when(F.col("hot"), F.array(*map(F.lit, range(1, SALTS + 1)))).otherwise(F.array(F.lit(0)))).alias("salt")
     chains = [r["chain"] for r in scored.select("chain").distinct().collect()]  # the inventory of chains bounds this
@@ -505,7 +513,7 @@ def posteriors(scored: DataFrame, documents: DataFrame, rounds: int = ROUNDS) ->
         general = spark.createDataFrame(list(overall.items()), "chain string, general double")  # a row per chain
         prior = scored.join(F.broadcast(general), "chain")
         if local is not None:
-            prior = prior.join(local.select("source", "field", "chain", "weight", salts), ["source", "field", "chain", "salt"], "left")
+            prior = prior.join(local.select("source", "field", "chain", "weight", salts).hint("merge"), ["source", "field", "chain", "salt"], "left")
             prior = prior.withColumn("prior", (F.coalesce("weight", F.lit(0.0)) + PRIOR_DOCS * F.col("general")) / (F.col("n_docs") + PRIOR_DOCS)).drop("weight")
         else:
             prior = prior.withColumn("prior", F.col("general"))
