@@ -43,12 +43,12 @@ def crc_table() -> np.ndarray:
 LANE = 1_024
 
 
-@lru_cache(16)
-def _shift(n: int) -> np.ndarray:
-    """Tables by byte of what a checksum register becomes by ``n`` zero bytes."""
+@lru_cache(1)
+def _shift() -> np.ndarray:
+    """Tables by byte of what a checksum register becomes by LANE zero bytes."""
     one = np.uint32(1) << np.arange(32, dtype=np.uint32)  # the register is linear in its bits
     table = crc_table()
-    for _ in range(n):
+    for _ in range(LANE):
         one = (one >> 8) ^ table[one & 0xFF]
     out = np.zeros((4, 256), np.uint32)
     for k in range(4):
@@ -66,8 +66,10 @@ def crc32c_many(blobs: list[bytes]) -> np.ndarray:
     lanes = -(-sizes // LANE)
     owner = np.repeat(np.arange(len(blobs)), lanes)
     first = np.concatenate(([0], np.cumsum(lanes)[:-1]))
-    at = starts[owner] + (np.arange(len(owner)) - first[owner]) * LANE
-    length = np.minimum(LANE, starts[owner] + sizes[owner] - at)
+    nth = np.arange(len(owner)) - first[owner]
+    short = (sizes - (lanes - 1) * LANE)[owner]  # the first lane takes what is over, so that all others are full
+    length = np.where(nth == 0, short, LANE)
+    at = starts[owner] + np.where(nth == 0, 0, short + (nth - 1) * LANE)
     crc, order = np.zeros(len(owner), np.uint32), np.argsort(-length, kind="stable")
     crc[first[lanes > 0]] = 0xFFFFFFFF
     ordered = length[order]
@@ -76,12 +78,11 @@ def crc32c_many(blobs: list[bytes]) -> np.ndarray:
         crc[live] = (crc[live] >> 8) ^ table[(crc[live] ^ data[at[live] + k]) & 0xFF]
     out = np.full(len(blobs), 0xFFFFFFFF, np.uint32)
     out[lanes > 0] = crc[first[lanes > 0]]
-    for i in np.nonzero(lanes > 1)[0]:
-        whole, value = _shift(LANE), int(out[i])
-        for j in range(first[i] + 1, first[i] + lanes[i]):
-            t = whole if length[j] == LANE else _shift(int(length[j]))
-            value = int(t[0][value & 255] ^ t[1][value >> 8 & 255] ^ t[2][value >> 16 & 255] ^ t[3][value >> 24]) ^ int(crc[j])
-        out[i] = value
+    tables = _shift() if len(lanes) and lanes.max() > 1 else None
+    for j in range(1, int(lanes.max()) if len(lanes) else 0):
+        more = np.nonzero(lanes > j)[0]
+        value = out[more]
+        out[more] = tables[0][value & 255] ^ tables[1][value >> 8 & 255] ^ tables[2][value >> 16 & 255] ^ tables[3][value >> 24] ^ crc[first[more] + j]
     return out ^ np.uint32(0xFFFFFFFF)
 
 
